@@ -144,7 +144,7 @@ def dedup_lines(
     Of each component the first line stays: smallest id (nulls first), then text hash, then place.
     Lines shorter than a shingle, blank ones included, have no signature and always stay. A null text
     stays null with no lines; rows equal in id and text are one document and keep the same lines; all
-    other columns pass through, whatever their names. An empty table gives an empty one.
+    other columns pass through (n_lines and n_dropped are replaced). An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).withColumn("text_hash", F.xxhash64("body"))
@@ -165,12 +165,12 @@ def dedup_lines(
         .agg(F.collect_set("at").alias("_drops"))
     )
     drops = scratch.keep(drops)
-    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left")
+    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_doc"]) & (F.xxhash64(docs[text_col]) == drops["_hash"]), "left")
     cut = F.split(docs[text_col], "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_drops"))
-    text = F.when(F.col("_drops").isNull(), docs[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: cut[i]), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), drops["_drops"])
+    text = F.when(drops["_drops"].isNull(), docs[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: cut[i]), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else docs[c] for c in docs.columns],
+        *[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.coalesce(F.when(docs[text_col].isNull(), 0).otherwise(F.size(cut)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(drops["_drops"]), F.lit(0)).cast("long").alias("n_dropped"),
     )

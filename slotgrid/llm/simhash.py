@@ -117,4 +117,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     groups = near_duplicates(docs, id_col, text_col, **options)
     stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    return docs.join(stays, docs[id_col].eqNullSafe(stays["_id"]), "left_semi").dropDuplicates([id_col])
