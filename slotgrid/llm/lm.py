@@ -46,54 +46,73 @@ def vocabulary(path: str) -> dict[str, float]:
 
 
 class Lattice:
-    """Forward and backward recursion in log space; a character that is no piece is spelled by its byte pieces."""
+    """Forward and backward recursion in log space; a character that is no piece is spelled by its byte pieces.
+
+    Pieces sit in a tree of characters, so the arcs from a place are found in one walk that ends where no piece goes on.
+    """
 
     def __init__(self, logs: dict[str, float]):
         self.logs = logs
-        self.longest = max(map(len, logs))
-
-    def arcs(self, word: str) -> list[list[tuple[int, float, list[str]]]]:
-        """For each end, the (start, log weight, pieces) of the arcs that stop there."""
-        text, logs = "▁" + word, self.logs
-        out: list[list[tuple[int, float, list[str]]]] = [[]]
-        for stop in range(1, len(text) + 1):
-            found = []
-            for start in range(max(0, stop - self.longest), stop):
-                weight = logs.get(text[start:stop])
-                if weight is not None:
-                    found.append((start, weight, [text[start:stop]]))
-            if not found or found[-1][0] != stop - 1:
-                spelled = [f"<0x{b:02X}>" for b in text[stop - 1].encode("utf-8", "surrogatepass")]
-                found.append((stop - 1, sum(logs[s] for s in spelled), spelled))
-            out.append(found)
+        self.tree: dict = {}
+        for piece, log in logs.items():
+            node = self.tree
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = log
+
+    def arcs(self, text: str, start: int) -> list[tuple[int, float]]:
+        """(stop, log weight) of the arcs from `start`."""
+        node, out = self.tree, []
+        for stop in range(start, len(text)):
+            node = node.get(text[stop])
+            if node is None:
+                break
+            log = node.get("")
+            if log is not None:
+                out.append((stop + 1, log))
+        if not out or out[0][0] != start + 1:
+            out.insert(0, (start + 1, sum([self.logs[s] for s in self.spelled(text[start])])))
         return out
 
     @staticmethod
-    def forward(arcs: list[list[tuple[int, float, list[str]]]]) -> list[float]:
-        alpha = [0.0]
-        for found in arcs[1:]:
-            terms = [alpha[start] + weight for start, weight, _ in found]
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
-        return alpha
+    def spelled(char: str) -> list[str]:
+        return [f"<0x{b:02X}>" for b in char.encode("utf-8", "surrogatepass")]
+
+    def forward(self, text: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
+        """Log weight of all paths to each place, and the arcs from it."""
+        n, exp, log = len(text), math.exp, math.log
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        alpha, arcs = [0.0] * (n + 1), []
+        for start in range(n):
+            if start:
+                here = terms[start]
+                top = max(here)
+                alpha[start] = top if len(here) == 1 else top + log(sum([exp(t - top) for t in here]))
+            found = self.arcs(text, start)
+            arcs.append(found)
+            for stop, weight in found:
+                terms[stop].append(alpha[start] + weight)
+        top = max(terms[n])
+        alpha[n] = top + log(sum([exp(t - top) for t in terms[n]]))
+        return alpha, arcs
 
     def marginal(self, word: str) -> float:
-        return self.forward(self.arcs(word))[-1]
+        return self.forward("\u2581" + word)[0][-1]
 
     def expect(self, word: str, times: float, into: dict[str, float]) -> None:
         """Adds the expected piece counts of `times` occurrences of a word."""
-        arcs = self.arcs(word)
-        alpha = self.forward(arcs)
-        beta = [-math.inf] * len(alpha)
-        beta[-1] = 0.0
-        for stop in range(len(arcs) - 1, 0, -1):
-            for start, weight, pieces in arcs[stop]:
-                path = beta[stop] + weight
-                share = times * math.exp(alpha[start] + path - alpha[-1])
-                for piece in pieces:
-                    into[piece] = into.get(piece, 0.0) + share
-                high, low = max(beta[start], path), min(beta[start], path)
-                beta[start] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+        text, exp = "\u2581" + word, math.exp
+        alpha, arcs = self.forward(text)
+        whole, beta = alpha[-1], [0.0] * len(alpha)
+        for start in range(len(arcs) - 1, -1, -1):
+            paths = [beta[stop] + weight for stop, weight in arcs[start]]
+            top = max(paths)
+            beta[start] = top if len(paths) == 1 else top + math.log(sum([exp(t - top) for t in paths]))
+            for (stop, _), path in zip(arcs[start], paths):
+                share = times * exp(alpha[start] + path - whole)
+                piece = text[start:stop]
+                for part in [piece] if piece in self.logs else self.spelled(piece):
+                    into[part] = into.get(part, 0.0) + share
 
 
 def _trains(doc: int | None, folds: int, held_out: int) -> bool:
