@@ -125,11 +125,10 @@ class Automaton:
                             hit = max(hit, size)
                     brief = self.brief[link[brief]] if link[brief] >= 0 else -1
                 if hit:
-                    if found and at - hit <= found[-1][1]:
-                        first, _ = found.pop()
-                        found.append((min(first, at - hit), at))
-                    else:
-                        found.append((at - hit, at))
+                    first = at - hit
+                    while found and first <= found[-1][1]:
+                        first = min(first, found.pop()[0])
+                    found.append((first, at))
         return found, names
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -120,6 +121,24 @@ def test_decontamination(spark, docs, hard, sf, shard):
         assert Counter(rows(found)) == Counter((r[0], *plain_contamination(r[1], plain)) for r in rows(df.select("doc_id", "text")))
 
 
+def test_automaton_against_all_windows():
+    rng = random.Random(3)
+    for _ in range(400):
+        items = [(f"i{k}", " ".join(rng.choices("abc", k=rng.randint(1, 9)))) for k in range(rng.randint(1, 5))]
+        text = rng.choices("abcd", k=rng.randint(0, 40))
+        hit, names = set(), set()
+        for name, item in items:
+            item = item.split()
+            size = min(4, len(item))
+            for window in {tuple(item[i : i + size]) for i in range(len(item) - size + 1)}:
+                for at in range(len(text) - size + 1):
+                    if tuple(text[at : at + size]) == window:
+                        hit |= set(range(at, at + size))
+                        names.add(name)
+        spans, found = decontam.Automaton(items, 4).spans([w.encode() for w in text])
+        assert found == names and [i for a, b in spans for i in range(a, b)] == sorted(hit)
+
+
 def test_decontaminate_cuts_and_keeps(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     df = spark.createDataFrame([(1, "Keep this, ONE two three four five six seven eight nine ten eleven! and that part stays as it was, all of it here."), (2, "clean text"), (3, "one two three four five six seven eight nine ten"), (4, None)], "doc_id long, text string")
