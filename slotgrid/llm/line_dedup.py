@@ -14,7 +14,9 @@ from .scratch import Scratch
 SHINGLE = 10
 BANDS, ROWS = 7, 3
 #: Rounds of comparing each bucket with one of its lines; they save work and change no result.
-ROUNDS = 6
+ROUNDS = 3
+#: 64-bit words of a line's mark, a bitmap of its shingle hashes.
+MARK = 8
 SIMILARITY = 0.8
 #: A table of candidate line ids of at most so many rows (8 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -63,38 +65,55 @@ def similar(a: str, b: str, shingle: int, similarity: float) -> Column:
     return F.expr(f"exists({sizes}, y -> y.k >= {similarity}D * (y.n - y.k))")
 
 
+def marks(lines: DataFrame, shingle: int) -> DataFrame:
+    """(line_id, mark): a bitmap of each line's shingle hashes, `w0` and on, and the number `n` of its shingles with repeats."""
+    hashed = lines.select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", "chars", F.explode(F.expr(_shingles("chars", shingle))).alias("at"))
+    hashed = hashed.select("line_id", F.expr(f"xxhash64(substring(chars, at, {4 * shingle}))").alias("h"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1))
+    words = [F.bit_or(F.when(word == i, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(MARK)]
+    made = hashed.groupBy("line_id").agg(*words, F.count(F.lit(1)).alias("n"))
+    return made.select("line_id", F.struct(*[f"w{i}" for i in range(MARK)], "n").alias("mark"))
+
+
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only for lines that cannot reach the limit.
+
+    Two marks differ in no more bits than the shingle sets differ in members, which at the limit is
+    (1 - limit) / (1 + limit) of the sum of the sizes; the counts with repeats bound the sizes from above.
+    """
+    apart = " + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(MARK))
+    return F.expr(f"{apart} <= {(1 - similarity) / (1 + similarity)}D * ({a}.n + {b}.n) + 1e-6D")
+
+
 def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int, rows: int, shingle: int, similarity: float) -> DataFrame:
     """(node, component) of the lines that are linked to another line.
 
     In each of some rounds every band bucket compares its lines with one of them, another each round;
     what those stars join needs no further comparing. Then every pair of a bucket whose ends are still
     apart is compared as well, so no link between components is lost, and a group of near copies
-    costs some stars, not a square.
+    costs some stars, not a square. A pair whose marks rule it out goes inside the join; the rest are
+    read as whole lines.
     """
     lines = (
         docs.select(F.explode(F.split(text, "\n")).alias("line"))
         .select(_normal(F.col("line")).alias("line"))
         .where(F.char_length("line") >= shingle)
-        .select(F.xxhash64("line").alias("line_id"), F.encode("line", "UTF-32").alias("chars"))
+        .select(F.xxhash64("line").alias("line_id"), "line")
     )
-    bucketed = signatures(lines, bands, rows, shingle)
+    bucketed = signatures(lines.select("line_id", F.encode("line", "UTF-32").alias("chars")), bands, rows, shingle)
     full = bucketed.groupBy("band").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y")).where("x <> y").select("band")
     members = scratch.keep(bucketed.join(full, "band"))
     ids = scratch.keep(members.select("line_id").distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = lines.join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"])
-    texts = scratch.keep(texts.withColumn("n", F.expr(f"size({_set('chars', shingle)})")))
-    sizes = texts.select("line_id", "n")
+    texts = scratch.keep(lines.join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         for end in "ab":
-            pairs = pairs.join(sizes.select(F.col("line_id").alias(end), F.col("n").alias(f"n_{end}")), end)
-        pairs = pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).drop("n_a", "n_b")
-        for end in "ab":
-            pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col("chars").alias(f"chars_{end}")), end)
-        return pairs.where(similar("chars_a", "chars_b", shingle, similarity)).drop("chars_a", "chars_b")
+            pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col("line").alias(f"line_{end}")), end)
+        pairs = pairs.withColumns({f"chars_{end}": F.encode(f"line_{end}", "UTF-32") for end in "ab"})
+        return pairs.where(similar("chars_a", "chars_b", shingle, similarity)).select("a", "b", "of_a", "of_b")
 
-    placed = members.withColumn("component", F.col("line_id"))
+    placed = scratch.keep(members.join(marks(texts, shingle), "line_id").withColumn("component", F.col("line_id")))
     tried = None
 
     def step(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, bool]:
@@ -106,10 +125,11 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
         return scratch.keep(relabel(placed.withColumnRenamed("component", "old"), moved, "old").drop("old")), True
 
     for turn in range(ROUNDS):
-        head = F.min(F.struct(F.xxhash64(F.lit(turn), "line_id").alias("turn"), "line_id", "component")).alias("head")
+        head = F.min(F.struct(F.xxhash64(F.lit(turn), "line_id").alias("turn"), "line_id", "component", "mark")).alias("head")
         ends = F.min("component").alias("x"), F.max("component").alias("y")
         heads = placed.groupBy("band").agg(head, *ends).where("x <> y").select("band", "head")
-        pairs = placed.join(heads, "band").where("component <> head.component").select(
+        near = placed.join(heads, "band").where("component <> head.component").where(may_be_similar("mark", "head.mark", similarity))
+        pairs = near.select(
             F.least("line_id", "head.line_id").alias("a"),
             F.greatest("line_id", "head.line_id").alias("b"),
             F.col("component").alias("of_a"),
@@ -122,8 +142,9 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
             break
     split = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     apart = scratch.keep(placed.join(split, "band"))
-    left, right = (apart.select("band", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}")) for n in "ab")
-    rest = left.join(right, "band").where("of_a <> of_b AND a < b").dropDuplicates(["a", "b"])
+    left, right = (apart.select("band", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), F.col("mark").alias(f"mark_{n}")) for n in "ab")
+    rest = left.join(right, "band").where("of_a <> of_b AND a < b").where(may_be_similar("mark_a", "mark_b", similarity))
+    rest = rest.select("a", "b", "of_a", "of_b").dropDuplicates(["a", "b"])
     placed, _ = step(rest.join(tried, ["a", "b"], "left_anti"), placed)
     return placed.where("line_id <> component").select(F.col("line_id").alias("node"), "component").distinct()
 
