@@ -16,7 +16,9 @@ BANDS, ROWS = 7, 3
 #: Rounds of comparing each bucket with one of its lines; they save work and change no result.
 ROUNDS = 3
 #: 64-bit words of a line's mark, a bitmap of its shingle hashes.
-MARK = 8
+MARK = 32
+#: Lines of a bucket compared with all of it by one task; a larger bucket is dealt to several.
+SHARE = 500
 SIMILARITY = 0.8
 #: A table of candidate line ids of at most so many rows (8 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -69,7 +71,7 @@ def marks(lines: DataFrame, shingle: int) -> DataFrame:
     """(line_id, mark): a bitmap of each line's shingle hashes, `w0` and on, and the number `n` of its shingles with repeats."""
     hashed = lines.select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", "chars", F.explode(F.expr(_shingles("chars", shingle))).alias("at"))
     hashed = hashed.select("line_id", F.expr(f"xxhash64(substring(chars, at, {4 * shingle}))").alias("h"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1)).cast("int")
     words = [F.bit_or(F.when(word == i, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(MARK)]
     made = hashed.groupBy("line_id").agg(*words, F.count(F.lit(1)).alias("n"))
     return made.select("line_id", F.struct(*[f"w{i}" for i in range(MARK)], "n").alias("mark"))
@@ -91,8 +93,8 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
     In each of some rounds every band bucket compares its lines with one of them, another each round;
     what those stars join needs no further comparing. Then every pair of a bucket whose ends are still
     apart is compared as well, so no link between components is lost, and a group of near copies
-    costs some stars, not a square. A pair whose marks rule it out goes inside the join; the rest are
-    read as whole lines.
+    costs some stars, not a square. There a pair whose marks rule it out goes inside the join; the
+    rest are read as whole lines.
     """
     lines = (
         docs.select(F.explode(F.split(text, "\n")).alias("line"))
@@ -113,7 +115,7 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
         pairs = pairs.withColumns({f"chars_{end}": F.encode(f"line_{end}", "UTF-32") for end in "ab"})
         return pairs.where(similar("chars_a", "chars_b", shingle, similarity)).select("a", "b", "of_a", "of_b")
 
-    placed = scratch.keep(members.join(marks(texts, shingle), "line_id").withColumn("component", F.col("line_id")))
+    placed = members.withColumn("component", F.col("line_id"))
     tried = None
 
     def step(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, bool]:
@@ -125,11 +127,10 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
         return scratch.keep(relabel(placed.withColumnRenamed("component", "old"), moved, "old").drop("old")), True
 
     for turn in range(ROUNDS):
-        head = F.min(F.struct(F.xxhash64(F.lit(turn), "line_id").alias("turn"), "line_id", "component", "mark")).alias("head")
+        head = F.min(F.struct(F.xxhash64(F.lit(turn), "line_id").alias("turn"), "line_id", "component")).alias("head")
         ends = F.min("component").alias("x"), F.max("component").alias("y")
         heads = placed.groupBy("band").agg(head, *ends).where("x <> y").select("band", "head")
-        near = placed.join(heads, "band").where("component <> head.component").where(may_be_similar("mark", "head.mark", similarity))
-        pairs = near.select(
+        pairs = placed.join(heads, "band").where("component <> head.component").select(
             F.least("line_id", "head.line_id").alias("a"),
             F.greatest("line_id", "head.line_id").alias("b"),
             F.col("component").alias("of_a"),
@@ -140,10 +141,15 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
         placed, more = step(pairs, placed)
         if not more:
             break
-    split = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    ends = F.min("component").alias("x"), F.max("component").alias("y")
+    split = placed.groupBy("band").agg(*ends, F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("x <> y").select("band", "shares")
     apart = scratch.keep(placed.join(split, "band"))
-    left, right = (apart.select("band", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), F.col("mark").alias(f"mark_{n}")) for n in "ab")
-    rest = left.join(right, "band").where("of_a <> of_b AND a < b").where(may_be_similar("mark_a", "mark_b", similarity))
+    few = texts.join(apart.select("line_id").distinct(), "line_id", "left_semi")
+    apart = scratch.keep(apart.join(marks(few, shingle), "line_id"))
+    left, right = (apart.select("band", "shares", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), F.col("mark").alias(f"mark_{n}")) for n in "ab")
+    left = left.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
+    right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    rest = left.join(right, ["band", "share"]).where("of_a <> of_b AND a < b").where(may_be_similar("mark_a", "mark_b", similarity))
     rest = rest.select("a", "b", "of_a", "of_b").dropDuplicates(["a", "b"])
     placed, _ = step(rest.join(tried, ["a", "b"], "left_anti"), placed)
     return placed.where("line_id <> component").select(F.col("line_id").alias("node"), "component").distinct()
