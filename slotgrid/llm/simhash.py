@@ -113,8 +113,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one document of each near-duplicate group: the one with the smallest id (rows equal in id and text: one of them).
 
-    Rows with a null id stay only where no row of their group has an id.
+    Groups are formed by text, so rows that share an id or have none but differ in text are told apart.
+    A row with a null id stays only where no row of its group has an id. The columns stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_id"]), "left_semi").dropDuplicates([id_col])
+    digest = F.xxhash64(docs[text_col])
+    groups = near_duplicates(docs.select(digest.alias("_hash"), docs[text_col].alias("_text")), "_hash", "_text", **options)
+    groups = groups.select("_hash", "component_id").distinct()
+    keys = docs.select(docs[id_col].alias("_id"), digest.alias("_hash"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("first")
+    stays = keys.join(groups, "_hash").groupBy("component_id").agg(first).select("first._id", "first._hash")
+    stays = Scratch(docs.sparkSession, "stays").keep(stays)
+    return docs.join(stays, docs[id_col].eqNullSafe(stays["_id"]) & (digest == stays["_hash"]), "left_semi").dropDuplicates([id_col, text_col])

@@ -173,6 +173,8 @@ def test_simhash(docs, hard):
         assert Counter(rows(simhash.near_duplicates(df))) == Counter((d, f"{f:016x}", least[root(f)]) for d, f in plain)
     kept = [r[0] for r in rows(simhash.keep_one(hard).select("doc_id"))]
     assert 4 in kept and 5 not in kept
+    same = hard.sparkSession.createDataFrame([(None, "the first text of all that has no id"), (None, "quite another one, without an id too"), (3, "alpha beta gamma delta"), (3, "some words that stand elsewhere"), (3, "alpha beta gamma delta")], "doc_id long, text string")
+    assert Counter(rows(simhash.keep_one(same))) == Counter(set(rows(same)))
 
 
 def plain_lines(df):
