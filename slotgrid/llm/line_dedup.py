@@ -15,7 +15,7 @@ SHINGLE = 10
 BANDS, ROWS = 7, 3
 #: Rounds of comparing each bucket with one of its lines; they save work and change no result.
 ROUNDS = 3
-#: 64-bit words of a line's mark, a bitmap of its shingle hashes.
+#: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes.
 MARK = 32
 #: Lines of a bucket compared with all of it by one task; a larger bucket is dealt to several.
 SHARE = 500
@@ -68,11 +68,10 @@ def similar(a: str, b: str, shingle: int, similarity: float) -> Column:
 
 
 def marks(lines: DataFrame, shingle: int) -> DataFrame:
-    """(line_id, mark): a bitmap of each line's shingle hashes, `w0` and on, and the number `n` of its shingles with repeats."""
-    hashed = lines.select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", "chars", F.explode(F.expr(_shingles("chars", shingle))).alias("at"))
-    hashed = hashed.select("line_id", F.expr(f"xxhash64(substring(chars, at, {4 * shingle}))").alias("h"))
+    """(line_id, mark): per line, `w0` and on hold for each bit whether an odd number of its distinct shingles falls on it; `n` counts them."""
+    hashed = lines.select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", F.explode(F.expr(_set("chars", shingle))).alias("h"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1)).cast("int")
-    words = [F.bit_or(F.when(word == i, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(MARK)]
+    words = [F.bit_xor(F.when(word == i, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(MARK)]
     made = hashed.groupBy("line_id").agg(*words, F.count(F.lit(1)).alias("n"))
     return made.select("line_id", F.struct(*[f"w{i}" for i in range(MARK)], "n").alias("mark"))
 
@@ -80,8 +79,8 @@ def marks(lines: DataFrame, shingle: int) -> DataFrame:
 def may_be_similar(a: str, b: str, similarity: float) -> Column:
     """False only for lines that cannot reach the limit.
 
-    Two marks differ in no more bits than the shingle sets differ in members, which at the limit is
-    (1 - limit) / (1 + limit) of the sum of the sizes; the counts with repeats bound the sizes from above.
+    Shared shingles cancel out, so two marks differ in no more bits than the shingle sets differ in
+    members, which at the limit is (1 - limit) / (1 + limit) of the sum of the sizes.
     """
     apart = " + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(MARK))
     return F.expr(f"{apart} <= {(1 - similarity) / (1 + similarity)}D * ({a}.n + {b}.n) + 1e-6D")
