@@ -149,7 +149,9 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
     left = left.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
     right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     rest = left.join(right, ["band", "share"]).where("of_a <> of_b AND a < b").where(may_be_similar("mark_a", "mark_b", similarity))
-    rest = rest.select("a", "b", "of_a", "of_b").dropDuplicates(["a", "b"])
+    # A fixed number of partitions: the pairs are small rows, but each costs a comparison of two lines.
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = rest.select("a", "b", "of_a", "of_b").repartition(wide, "a", "b").dropDuplicates(["a", "b"])
     placed, _ = step(rest.join(tried, ["a", "b"], "left_anti"), placed)
     return placed.where("line_id <> component").select(F.col("line_id").alias("node"), "component").distinct()
 
