@@ -196,7 +196,9 @@ def dedup_lines(
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_doc"]) & (F.xxhash64(docs[text_col]) == drops["_hash"]), "left")
     cut = F.split(docs[text_col], "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), drops["_drops"])
-    text = F.when(drops["_drops"].isNull(), docs[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: cut[i]), "\n"))
+    # The outer lambda cuts the text once, not once a line.
+    kept = F.transform(F.array(F.struct(cut.alias("cut"), stay.alias("stay"))), lambda z: F.array_join(F.transform(z["stay"], lambda i: F.get(z["cut"], i)), "\n"))[0]
+    text = F.when(drops["_drops"].isNull(), docs[text_col]).otherwise(kept)
     return joined.select(
         *[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.coalesce(F.when(docs[text_col].isNull(), 0).otherwise(F.size(cut)), F.lit(0)).cast("long").alias("n_lines"),
