@@ -33,12 +33,13 @@ class Forest:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: int = 8, ridge: float = 1.0) -> Forest:
-    """Boosts logistic loss on `x` (n, d) and labels 0/1; cuts are quantiles, gains come from per-bin gradient sums. Deterministic."""
+def fit(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, *, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: int = 8, ridge: float = 1.0) -> Forest:
+    """Boosts logistic loss on `x` (n, d) and labels 0/1, or shares of ones, with `weights` (1 each if left out); cuts are quantiles, gains come from per-bin gradient sums. Deterministic."""
     n, d = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for j in range(d)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], axis=1) if n else np.zeros((0, d), int)
-    p = np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3)
+    w = np.ones(n) if weights is None else weights
+    p = np.clip((w * y).sum() / w.sum() if n else 0.5, 1e-3, 1 - 1e-3)
     base = float(np.log(p / (1 - p)))
     f = np.full(n, base)
     feature, cut, left, value, roots = [], [], [], [], []
@@ -49,7 +50,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, rate:
 
     for _ in range(trees if n else 0):
         q = 1 / (1 + np.exp(-f))
-        g, h = y - q, q * (1 - q)
+        g, h = w * (y - q), w * q * (1 - q)
         root = new(0.0)
         roots.append(root)
         open_nodes = [(root, np.arange(n))]
@@ -58,15 +59,16 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, rate:
             for node, rows in open_nodes:
                 gs, hs = g[rows].sum(), h[rows].sum()
                 best, at = 1e-6, None
-                if level < depth and len(rows) >= 2 * least:
+                whole = w[rows].sum()
+                if level < depth and whole >= 2 * least:
                     for j in range(d):
                         size = len(edges[j]) + 1
                         if size < 2:
                             continue
                         b = binned[rows, j]
-                        gc, hc, nc = (np.cumsum(np.bincount(b, w, size))[:-1] for w in (g[rows], h[rows], np.ones(len(rows))))
+                        gc, hc, nc = (np.cumsum(np.bincount(b, v, size))[:-1] for v in (g[rows], h[rows], w[rows]))
                         gain = gc**2 / (hc + ridge) + (gs - gc) ** 2 / (hs - hc + ridge) - gs**2 / (hs + ridge)
-                        gain[(nc < least) | (len(rows) - nc < least)] = 0
+                        gain[(nc < least) | (whole - nc < least)] = 0
                         k = int(np.argmax(gain))
                         if gain[k] > best:
                             best, at = gain[k], (j, k)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gbdt import Forest, fit
+from .scratch import Scratch
 
 # The base patterns in the order their spans are listed. Possessive forms and look-behinds only save
 # retries at places that cannot match; \G keeps a match that starts right after the one before.
@@ -26,9 +27,11 @@ GENERATORS = {
 }
 #: Words in the 24 characters before a candidate that speak for it.
 HINTS = r"(?i)(phone|tel|mobile|call|fax|ssn|social|card|account|iban|passport|mail|contact|token|secret|passw|api|key|auth|credential)"
-#: Most candidates the trees are fitted on: those of smallest hash. Most false spans a threshold may let through, as a share of all.
+#: Most distinct candidates the trees are fitted on, about, shared evenly by the kinds. Most false spans a threshold may let through, as a share of all.
 TRAIN_CANDIDATES = 20_000
 FALSE_SHARE = 0.05
+#: Limits are log-odds on a grid of so many steps a unit, from 0 up; scores beyond the last step count as that.
+STEPS, TOP = 64, 30
 SPAN = "array<struct<start:bigint,stop:bigint,found:string,before:string>>"
 FEATURES = ["size", "digits", "letters", "upper", "separators", "groups", "hex", "dots", "at", "hint", "equals", "plus"]
 
@@ -102,11 +105,13 @@ def features(x: Column) -> list[Column]:
 
 
 def train(docs: DataFrame, text: str, rows: int = TRAIN_CANDIDATES) -> tuple[Forest, dict[str, float]]:
-    """Trees and the score limit of each generator, from at most `rows` candidates.
+    """Trees, fitted on about `rows` distinct candidates at most, and the least log-odds of each generator, set over all candidates.
 
     The checked base spans teach: a candidate is one if it passes the check of a base kind or a hint stands before it, with
-    an assignment for secrets. Half of the sample fits, the other half sets each limit: the lowest at which
-    at most `FALSE_SHARE` of what passes is false, or none.
+    an assignment for secrets. Candidates alike in kind and features are one cell with its counts. A hash of text and
+    place halves them: one half fits, all of the other sets each limit: the lowest at which at most `FALSE_SHARE` of what passes
+    is false, or infinity. A kind with too many cells keeps each with a chance in proportion to its count, and always those
+    of many copies; the weights make up for it.
     """
     body = F.col(text)
     kinds = {**BASE, **GENERATORS}
@@ -117,19 +122,33 @@ def train(docs: DataFrame, text: str, rows: int = TRAIN_CANDIDATES) -> tuple[For
     each = [F.transform(matches(body, p), cell(kind)) for kind, p in kinds.items()]
     told = (F.col("hint") == 1) & ((F.col("kind") != "secret") | (F.col("equals") == 1))
     label = F.when(F.col("kind").isin(list(BASE)), F.col("good")).otherwise(told)
-    cells = docs.select(F.explode(F.flatten(F.array(*each))).alias("c")).select("c.*").withColumn("label", label.cast("double"))
-    sample = cells.orderBy(F.xxhash64(*FEATURES, "kind"), *FEATURES, "kind", "label").limit(rows).toArrow()
+    found = docs.select(F.xxhash64(body).alias("hash"), F.posexplode(F.flatten(F.array(*each))).alias("place", "c")).select("hash", "place", "c.*")
+    one, fits = F.coalesce(label.cast("long"), F.lit(0)), F.pmod(F.xxhash64("hash", "place"), F.lit(2)) == 0
+    counts = [F.sum(F.when(half, v).otherwise(0)).alias(name) for name, half, v in (("n", fits, F.lit(1)), ("ones", fits, one), ("held", ~fits, F.lit(1)), ("held_ones", ~fits, one))]
+    cells = Scratch(docs.sparkSession, "pii").keep(found.groupBy("kind", *FEATURES).agg(*counts))
+    share = max(1, rows // len(kinds))
+    sizes = {r["kind"]: r for r in cells.where("n > 0").groupBy("kind").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n")).collect()}
+    many = F.lit(0.0)
+    for kind, r in sizes.items():
+        if r["cells"] > share:
+            many = F.when(F.col("kind") == kind, F.lit(r["n"] / share)).otherwise(many)
+    chance = F.pmod(F.xxhash64("kind", *FEATURES), F.lit(1 << 30)) / float(1 << 30)
+    sample = cells.where("n > 0").withColumn("weight", F.greatest(F.col("n").cast("double"), many)).where(chance * F.col("weight") < F.col("n"))
+    sample = sample.select(*FEATURES, "kind", "weight", (F.col("ones") / F.col("n")).alias("label")).toArrow().sort_by([(c, "ascending") for c in [*FEATURES, "kind"]])
     x = np.stack([sample[f].to_numpy() for f in FEATURES], axis=1) if len(sample) else np.zeros((0, len(FEATURES)))
-    y = sample["label"].to_numpy() if len(sample) else np.zeros(0)
-    odd = np.arange(len(y)) % 2 == 1
-    forest = fit(x[~odd], y[~odd], trees=20, depth=3, rate=0.3, bins=32)
-    limits, kind = {}, np.array(sample["kind"].to_pylist())
-    scores = forest.score(x)
+    y, weights = (sample[c].to_numpy() if len(sample) else np.zeros(0) for c in ("label", "weight"))
+    forest = fit(x, y, weights, trees=20, depth=3, rate=0.3, bins=32)
+    scored = cells.where(F.col("kind").isin(list(GENERATORS)) & (F.col("held") > 0)).select("kind", "held", "held_ones", F.struct(*FEATURES).alias("x"))
+    step = F.least(F.floor(F.expr(raw_score(forest)) * STEPS), F.lit(STEPS * TOP)).cast("long")
+    passing = scored.select("kind", "held", "held_ones", step.alias("step")).where("step >= 0").groupBy("kind", "step").agg(F.sum("held").alias("n"), F.sum("held_ones").alias("ones"))
+    steps = sorted(passing.collect(), key=lambda r: -r["step"])
+    limits = dict.fromkeys(GENERATORS, float("inf"))
     for name in GENERATORS:
-        here = odd & (kind == name) if len(kind) else np.zeros(0, bool)
-        order = np.argsort(-scores[here], kind="stable")
-        passed = np.cumsum(1 - y[here][order]) / (np.arange(len(order)) + 1) <= FALSE_SHARE
-        limits[name] = float(max(scores[here][order][np.flatnonzero(passed)[-1]], 0.5)) if passed.any() else 2.0
+        n = ones = 0
+        for r in (r for r in steps if r["kind"] == name):
+            n, ones = n + r["n"], ones + r["ones"]
+            if n - ones <= FALSE_SHARE * n:
+                limits[name] = r["step"] / STEPS
     return forest, limits
 
 
@@ -163,9 +182,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = base.withColumn("base", F.concat(*[tagged(k, F.col(k)) for k in BASE]))
     more = []
     for kind, pattern in GENERATORS.items():
-        if limits[kind] > 1:
+        least = limits[kind]
+        if least == float("inf"):
             continue
-        least = float(np.log(limits[kind] / max(1 - limits[kind], 1e-12)))
         free = F.filter(matches(F.col("text"), pattern), lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
         cells = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), *[f.alias(n) for n, f in zip(FEATURES, features(x))]))
         base = base.withColumn(f"_{kind}", cells)

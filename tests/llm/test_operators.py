@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import partial
 
 import duckdb
 import pytest
@@ -73,6 +74,18 @@ def test_pii_base(docs, hard):
         assert all(set(b.split(",")) <= set(s.split(",")) for _, b, s in got if b)
 
 
+def test_pii_sample_holds_more_than_copies(spark, monkeypatch):
+    """Many copies of a few vectors leave room in the sample for the other kinds, and every candidate counts for the limits."""
+    digest = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(120)]
+    texts = ["mail me: a@b.co" if i % 2 else "ip 10.0.0.1 here" for i in range(1200)]
+    texts += [f'api token = "{d}"' for d in digest[:60]] + [f"build {d} done" for d in digest[60:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "train", partial(pii.train, rows=200))
+    got = dict(rows(pii.find_pii(df).select("doc_id", pii.joined(F.col("spans")))))
+    assert sum("secret:" in got[i] for i in range(1200, 1260)) >= 55
+    assert sum("secret:" in got[i] for i in range(1260, 1320)) <= 5
+
+
 def plain_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     places, labels = [], set()
