@@ -19,11 +19,13 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators of further candidates; their spans may overlap each other and the base ones.
+#: Generators of further candidates; their spans may overlap each other and the base ones. None has an upper length: a
+#: long run of numbers is proposed in pieces that end between two of them (a rest too short for a piece goes to the one
+#: before), a longer number as a whole.
 GENERATORS = {
-    "number": r"(?<![0-9A-Za-z])[0-9(][0-9().\x20/-]{6,30}[0-9](?![0-9A-Za-z])",
-    "spoken_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{2,40}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{2,20}){1,4}",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])",
+    "number": r"(?<![0-9A-Za-z])(?:[0-9(][0-9().\x20/-]{6,30}[0-9](?![0-9A-Za-z])(?:(?![0-9().\x20/-]{9})[0-9().\x20/-]*[0-9](?![0-9A-Za-z]))?|[0-9]{32,}+(?![A-Za-z]))",
+    "spoken_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{2,}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{2,}+)++",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
 }
 #: Words in the 24 characters before a candidate that speak for it.
 HINTS = r"(?i)(phone|tel|mobile|call|fax|ssn|social|card|account|iban|passport|mail|contact|token|secret|passw|api|key|auth|credential)"

@@ -86,6 +86,17 @@ def test_pii_sample_holds_more_than_copies(spark, monkeypatch):
     assert sum("secret:" in got[i] for i in range(1260, 1320)) <= 5
 
 
+def test_pii_candidates_of_any_length(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choices("abcdefABCDEF0123456789+/", k=n - 1)) + "7"
+    label = "x" * 45
+    cases = [("secret", key(n)) for n in (40, 200, 300, 2_000, 50_000)] + [("secret", "q" * 60 + "7" * 3)]
+    cases += [("number", "7" * n) for n in (30, 40, 200)] + [("number", "030 1234567 " * 2 + "89 123 45"), ("spoken_email", f"{label}(at){label}" + "(dot)abc" * 6), ("spoken_email", "me (at) here (dot) org")]
+    df = spark.createDataFrame([(i, f"see: {found} and more") for i, (_, found) in enumerate(cases)], "doc_id long, text string")
+    got = rows(df.orderBy("doc_id").select(*[F.transform(pii.matches(F.col("text"), p), lambda x: x["found"]).alias(k) for k, p in pii.GENERATORS.items()]))
+    assert [dict(zip(pii.GENERATORS, r))[kind] for r, (kind, _) in zip(got, cases)] == [[found] for _, found in cases]
+
+
 def plain_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     places, labels = [], set()
