@@ -21,7 +21,7 @@ FLUSH = 200_000
 #: Weight of the vocabulary's own scores, in pieces, against the counts of the corpus.
 PRIOR = 1_000.0
 #: Expectation steps over the distinct words of the corpus.
-STEPS = 1
+STEPS = 3
 END = "</s>"
 LN10 = math.log(10)
 

@@ -314,3 +314,25 @@ def test_empty_tables(spark, hard, sf):
     labels, bench = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     for df in (line_dedup.dedup_lines(none), pii.find_pii(none), license_scan.scan(none), simhash.near_duplicates(none), bpe.encode_documents(none), lm.score_documents(none), decontam.find_contamination(none, bench), decontam.find_contamination(none, bench.limit(0)), quality.score_documents(none, labels)):
         assert df.count() == 0
+
+
+def test_lm_takes_three_steps(spark):
+    """The scores are those of three expectation steps, done here one word at a time."""
+    import public_tokenizers
+
+    texts = [(i, f"the cat number {i} sat on the mat and looked at the other cats") for i in range(30)]
+    prior = logs = lm.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    counts = Counter(w.decode() for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*lm.words(t), b""])
+    for _ in range(3):
+        lattice, expected = lm.Lattice(logs), {}
+        for word, c in counts.items():
+            if word:
+                lattice.expect(word, c, expected)
+            else:
+                expected[lm.END] = expected.get(lm.END, 0.0) + c
+        total = math.fsum(expected.values()) + lm.PRIOR
+        logs = {piece: math.log((expected.get(piece, 0.0) + lm.PRIOR * math.exp(log)) / total) for piece, log in prior.items()}
+    lattice = lm.Lattice(logs)
+    got = rows(lm.score_documents(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id"))
+    for (_, text), r in zip(texts, got):
+        assert math.isclose(r[6], (sum(lattice.marginal(w.decode()) for w in lm.words(text)) + logs[lm.END]) / math.log(10), rel_tol=1e-9)
