@@ -101,6 +101,8 @@ class WordBpe:
     def learn(self, words: set[str]) -> None:
         """Encodes new words together: one vectorised check of all adjacent pairs of all proposals."""
         order = list(words)
+        if not order:
+            return
         spelled = ["".join(self.chars[b] for b in w.encode("utf-8", "surrogatepass")) for w in order]
         proposals = [self.propose(s) for s in spelled]
         sizes = np.array([len(p) for p in proposals])

@@ -336,3 +336,8 @@ def test_lm_takes_three_steps(spark):
     got = rows(lm.score_documents(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id"))
     for (_, text), r in zip(texts, got):
         assert math.isclose(r[6], (sum(lattice.marginal(w.decode()) for w in lm.words(text)) + logs[lm.END]) / math.log(10), rel_tol=1e-9)
+
+
+def test_bpe_of_special_tokens_alone(spark):
+    got = rows(bpe.encode_documents(spark.createDataFrame([(1, "<|endoftext|>")], "doc_id long, text string")))
+    assert [r[:2] for r in got] == [(1, 1)]
