@@ -13,6 +13,10 @@ from .scratch import Scratch
 
 SHINGLE = 10
 BANDS, ROWS = 7, 3
+#: Lines of at most so many characters are compared by shorter shingles as well: one changed character costs a shingle of 10
+#: the limit below 99 characters, one of 5 below 49. Chance pairs share more of these, so a band takes more minima.
+SHORT, SHORT_SHINGLE = 110, 5
+SHORT_BANDS, SHORT_ROWS = 13, 5
 #: Rounds of comparing each bucket with one of its lines; they save work and change no result.
 ROUNDS = 3
 #: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes.
@@ -29,8 +33,8 @@ def _normal(line: Column) -> Column:
 
 
 def _shingles(code_points: str, shingle: int) -> str:
-    """SQL for the start bytes of all shingles of a UTF-32 column, four bytes a code point."""
-    return f"sequence(1, octet_length({code_points}) - {4 * (shingle - 1)}, 4)"
+    """SQL for the start bytes of all shingles of a UTF-32 column, four bytes a code point; a shorter line is one shingle."""
+    return f"sequence(1, greatest(1, octet_length({code_points}) - {4 * (shingle - 1)}), 4)"
 
 
 def _seed(j: int, n: int) -> int:
@@ -86,8 +90,8 @@ def may_be_similar(a: str, b: str, similarity: float) -> Column:
     return F.expr(f"{apart} <= {(1 - similarity) / (1 + similarity)}D * ({a}.n + {b}.n) + 1e-6D")
 
 
-def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int, rows: int, shingle: int, similarity: float) -> DataFrame:
-    """(node, component) of the lines that are linked to another line.
+def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int, rows: int, shingle: int, similarity: float, least: int = 1, most: int | None = None) -> DataFrame:
+    """(node, component) of the lines of `least` to `most` characters that are linked to another line.
 
     In each of some rounds every band bucket compares its lines with one of them, another each round;
     what those stars join needs no further comparing. Then every pair of a bucket whose ends are still
@@ -98,7 +102,7 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
     lines = (
         docs.select(F.explode(F.split(text, "\n")).alias("line"))
         .select(_normal(F.col("line")).alias("line"))
-        .where(F.char_length("line") >= shingle)
+        .where((F.char_length("line") >= least) & (F.lit(True) if most is None else F.char_length("line") <= most))
         .select(F.xxhash64("line").alias("line_id"), "line")
     )
     bucketed = signatures(lines.select("line_id", F.encode("line", "UTF-32").alias("chars")), bands, rows, shingle)
@@ -168,19 +172,22 @@ def dedup_lines(
 ) -> DataFrame:
     """`docs` with repeated lines removed from the text, and the columns n_lines, n_dropped (long).
 
-    Lines are compared trimmed and in lower case, as sets of all their `shingle`-character substrings.
+    Lines are compared trimmed and in lower case, as sets of all their `shingle`-character substrings;
+    lines of at most `SHORT` characters also as sets of their substrings of `SHORT_SHINGLE`, of which either similarity links them.
     Of each component the first line stays: smallest id (nulls first), then text hash, then place.
-    Lines shorter than a shingle, blank ones included, have no signature and always stay. A null text
+    A line shorter than a short shingle is one shingle, so it links with its copies alone; blank lines always stay. A null text
     stays null with no lines; rows equal in id and text are one document and keep the same lines; all
     other columns pass through (n_lines and n_dropped are replaced). An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).withColumn("text_hash", F.xxhash64("body"))
-    found = line_components(plain, "body", scratch, bands=bands, rows=rows, shingle=shingle, similarity=similarity)
+    found = line_components(plain, "body", scratch, bands=bands, rows=rows, shingle=shingle, similarity=similarity, least=shingle)
+    short = line_components(plain, "body", scratch, bands=SHORT_BANDS, rows=SHORT_ROWS, shingle=SHORT_SHINGLE, similarity=similarity, most=max(SHORT, shingle))
+    found = connected_components(found.union(short).select(F.col("node").alias("a"), F.col("component").alias("b")), scratch)
     places = (
         plain.select("doc", "text_hash", F.posexplode(F.split("body", "\n")).alias("at", "line"))
         .withColumn("line", _normal(F.col("line")))
-        .where(F.char_length("line") >= shingle)
+        .where("line <> ''")
         .select("doc", "text_hash", "at", F.xxhash64("line").alias("line_id"))
     )
     places = scratch.keep(relabel(places, found, "line_id").select("doc", "text_hash", "at", "component"))

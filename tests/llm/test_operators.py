@@ -341,3 +341,13 @@ def test_lm_takes_three_steps(spark):
 def test_bpe_of_special_tokens_alone(spark):
     got = rows(bpe.encode_documents(spark.createDataFrame([(1, "<|endoftext|>")], "doc_id long, text string")))
     assert [r[:2] for r in got] == [(1, 1)]
+
+
+def test_line_dedup_of_short_and_nearly_equal_lines(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=48)).join("xy") for _ in range(60)]
+    near = [x[:25] + "#" + x[26:] for x in base]
+    texts = ["\n".join(base), "\n".join(near), "les.\n\nand ornd.\n}\nles!", "Les.\n\nand ornd.\n}", "les. \nnew"]
+    out = dict(rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "text")))
+    assert out[0] == texts[0] and len([x for x in out[1].split("\n") if x]) <= 2
+    assert (out[2], out[3], out[4]) == (texts[2], "", "new")
