@@ -80,8 +80,39 @@ def frequencies(docs: DataFrame, text: str, tokens: list[str]) -> dict[str, int]
     return {t: 0 for t in tokens} | {r["token"]: r["count"] for r in counted}
 
 
+def window_matches(docs: DataFrame, text: str, keys: list[str], sets: dict[str, list[str]], prefix: Column, containment: float) -> DataFrame:
+    """(keys, label, containment): the best share of each template's words in a window of the text, line ends or not, where it reaches the limit.
+
+    A window has the template's number of words over the limit, so it has room for marks between wrapped lines. Only texts with
+    a prefix token, and enough of a template's words anywhere, have their windows counted; each starts at a word of the template.
+    """
+    held = docs.where(F.regexp_like(F.lower(F.col(text)), prefix)).select(*keys, words(F.col(text)).alias("w"))
+
+    def best(label: str, template: list[str]) -> Column:
+        size = math.ceil(len(re.findall(WORD, TEMPLATES[label])) / containment)
+        need = math.ceil(containment * len(template) - 1e-9)
+        own = F.array(*[F.lit(t) for t in template])
+        placed = F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+        hits = F.filter(placed, lambda x: F.array_contains(own, x["t"]))
+
+        def count(h: Column) -> Column:
+            def window(x: Column, at: Column) -> Column:
+                inside = F.filter(F.slice(h, at + 1, F.lit(size)), lambda y: y["i"] < x["i"] + size)
+                return F.size(F.array_distinct(F.transform(inside, lambda y: y["t"])))
+
+            return F.array_max(F.transform(h, window))
+
+        # the outer lambda makes the hits once, not once a window
+        share = F.transform(F.array(hits), count)[0]
+        enough = F.size(F.array_intersect("w", own)) >= need
+        return F.struct(F.lit(label).alias("label"), F.when(enough, share).alias("share"), F.lit(need).alias("need"), F.lit(len(template)).alias("n"))
+
+    cells = held.select(*keys, F.explode(F.array(*[best(label, template) for label, template in sets.items()])).alias("c"))
+    return cells.where("c.share >= c.need").select(*keys, "c.label", (F.col("c.share") / F.col("c.n")).alias("containment"))
+
+
 def template_matches(docs: DataFrame, text: str, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
-    """(keys, label, containment): the best containment of each template in a line of a document, where it reaches the limit.
+    """(keys, label, containment): the best containment of each template in a line or a window of words of a document, where it reaches the limit.
 
     Tokens are ordered by their frequency over all documents, rarest first. A line that holds a share
     t of a template's n words holds one of its first n - ceil(t n) + 1; only lines with such a token are joined.
@@ -105,6 +136,7 @@ def template_matches(docs: DataFrame, text: str, keys: list[str], containment: f
     near = tokens.join(F.broadcast(index), "token").where("size(bag) >= need AND size(template) - at >= need")
     share = F.size(F.array_intersect("bag", "template"))
     full = near.withColumn("share", share).where("share >= need").withColumn("containment", F.col("share") / F.size("template"))
+    full = full.select(*keys, "label", "containment").union(window_matches(docs, text, keys, sets, F.lit(any_prefix), containment))
     return full.groupBy(*keys, "label").agg(F.max("containment").alias("containment"))
 
 
@@ -112,7 +144,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, con
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score): one row per row of `docs`.
 
     Base places are those of `PHRASES`; `labels` adds the templates found (see `template_matches`); score is the best
-    containment, 1 where a phrase stands, 0 where nothing does. Blocks are lines. Null texts count as empty: no words, no
+    containment, 1 where a phrase stands, 0 where nothing does. Blocks are lines, and windows of words across line ends. Null texts count as empty: no words, no
     labels, null places, score 0. Rows equal in id and text are found alike; null ids are kept; other columns
     are not read; an empty table gives an empty one.
     """

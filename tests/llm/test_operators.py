@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from functools import partial
@@ -351,3 +352,14 @@ def test_line_dedup_of_short_and_nearly_equal_lines(spark):
     out = dict(rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "text")))
     assert out[0] == texts[0] and len([x for x in out[1].split("\n") if x]) <= 2
     assert (out[2], out[3], out[4]) == (texts[2], "", "new")
+
+
+def test_licenses_wrapped_over_lines(spark):
+    """A notice is found however its lines are broken and marked."""
+    cases = [(label, width, mark) for label in license_scan.TEMPLATES for width, mark in ((40, ""), (80, ""), (40, " * "), (72, "    # "))]
+    around = "Some words of code before it\n\n%s\n\nand some words after it."
+    texts = [around % "\n".join(mark + x for x in textwrap.wrap(license_scan.TEMPLATES[label], width)) for label, width, mark in cases]
+    texts.append("\n".join(f"{w} stands far from any other of these words, as one line of many in a long text would" for w in license_scan.TEMPLATES["isc-notice"].split()))
+    got = dict(rows(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "labels")))
+    assert all(label in got[i].split(",") for i, (label, _, _) in enumerate(cases))
+    assert got[len(cases)] == ""
