@@ -19,6 +19,8 @@ CONTAINER = {"article", "body", "div", "main", "section", "td"}
 ASIDE_TAGS = {"aside", "button", "dialog", "fieldset", "footer", "form", "head", "header", "menu", "nav", "object", "select", "svg", "canvas", "title"} | RAW
 ASIDE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"}
 ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
+#: Parts of a name that say what the page has around, or a state, not what the element is.
+QUALIFIERS = {"has", "no", "not", "with", "without", "hide", "show", "is", "enabled", "disabled", "open", "closed", "active", "visible", "hidden", "fixed", "sticky"}
 #: Tags that a start tag closes if they are open above the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -34,6 +36,8 @@ class Node:
     place: int
     above: Node | None = None
     score: float = 0.0
+    #: Whether only its name makes it boilerplate.
+    named: bool = False
 
 
 @dataclass
@@ -52,6 +56,31 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
+def _named_aside(names: str) -> bool:
+    """Whether a class or id is a boilerplate word, alone or as a part of a name without a qualifier."""
+    return any(not QUALIFIERS & parts and bool(ASIDE_WORDS & parts) for parts in (set(re.split("[_-]+", name)) for name in names.lower().split()))
+
+
+def _lift(found: list[Block]) -> None:
+    """Drops the mark that a name gave to an element with most of the page's unlinked text, unless an article or main outside it has text."""
+    plain = {id(b): len(b.text) - b.linked for b in found if not any(x.aside and not x.named for x in b.nodes)}
+    inside: dict[int, int] = {}
+    for b in found:
+        for x in b.nodes:
+            if x.named:
+                inside[x.place] = inside.get(x.place, 0) + plain.get(id(b), 0)
+    whole = sum(plain.values())
+    large = {place for place, n in inside.items() if 2 * n > whole}
+    for b in found:
+        if large and id(b) in plain and any(x.tag in ("article", "main") for x in b.nodes):
+            large &= {x.place for x in b.nodes}
+    for b in found:
+        for x in b.nodes:
+            if x.place in large:
+                x.aside = False
+        b.aside = any(x.aside for x in b.nodes)
+
+
 def blocks(page: str) -> list[Block]:
     """All text blocks of a page in order; unclosed, stray and cut-off tags are taken as browsers do, near enough."""
     root = Node("", "", False, 0)
@@ -112,14 +141,16 @@ def blocks(page: str) -> list[Block]:
                 if stack[i].tag not in INLINE:
                     break
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found[3])}
-        marks = set(re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-        aside = tag in ASIDE_TAGS or attributes.get("role", "").lower() in ASIDE_ROLES or (tag not in ("html", "body", "article", "main") and bool(marks & ASIDE_WORDS))
+        hard = tag in ASIDE_TAGS or attributes.get("role", "").lower() in ASIDE_ROLES
+        named = not hard and tag not in ("html", "body", "article", "main") and _named_aside(f"{attributes.get('class', '')} {attributes.get('id', '')}")
         n += 1
         above = stack[-1]
         path = above.path if tag in INLINE or tag == "p" else f"{above.path}>{_step(tag, attributes)}"
-        stack.append(Node(tag, path, aside, n, above))
+        stack.append(Node(tag, path, hard or named, n, above, named=named))
         links += tag == "a"
     flush()
+    if any(x.named for b in out for x in b.nodes):
+        _lift(out)
     return out
 
 
@@ -136,14 +167,25 @@ def best_container(found: list[Block]) -> Node | None:
     return max(nodes.values(), key=lambda x: (x.score, -x.place), default=None)
 
 
+def _whole(node: Node) -> Node:
+    """The nearest article or main that a container stands in, itself included; without one the container."""
+    up: Node | None = node
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.above
+    return up or node
+
+
 def main_text(page: str | None, path: str | None) -> str:
-    """Blocks inside the elements of generalised path `path`, else inside the page's own best container; '' if there are none."""
+    """Blocks of the article around the elements of generalised path `path`, else around the page's own best container; '' if there are none."""
     found = blocks(page or "")
-    kept = [b.text for b in found if not b.aside and any(x.path == path and x.tag in CONTAINER for x in b.nodes)]
-    if not kept:
+    usable = [b for b in found if not b.aside]
+    tops = {_whole(x).place for b in usable for x in b.nodes if x.path == path and x.tag in CONTAINER}
+    if not tops:
         own = best_container(found)
-        kept = [b.text for b in found if not b.aside and (own is None or any(x is own for x in b.nodes))]
-    return "\n".join(kept)
+        if own is None:
+            return "\n".join(b.text for b in usable)
+        tops = {_whole(own).place}
+    return "\n".join(b.text for b in usable if any(x.place in tops for x in b.nodes))
 
 
 def host(url: str | None) -> str:

@@ -363,3 +363,18 @@ def test_licenses_wrapped_over_lines(spark):
     got = dict(rows(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "labels")))
     assert all(label in got[i].split(",") for i, (label, _, _) in enumerate(cases))
     assert got[len(cases)] == ""
+
+
+def test_html_wrappers_named_after_what_they_have():
+    page = "<body><div class='nav'><a>Home</a> menu</div><div %s><h1>Head</h1><p>The text of the article is here, long enough.</p><div class='sidebar-left'>Other</div></div><div class='site-footer'>Foot</div></body>"
+    for mark in ("class='content has-sidebar'", "id='page' class='no-sidebar'", "class='layout-with-nav'", "class='post-with-comments'", "class='entry social-enabled'", "class='builder-widget'"):
+        assert html_extract.main_text(page % mark, None) == "Head\nThe text of the article is here, long enough.", mark
+    ad = "<body><div class='ad'>An advertisement that is longer than all the rest of the page together.</div><article><p>Short text.</p></article></body>"
+    assert html_extract.main_text(ad, None) == "Short text."
+
+
+def test_html_keeps_the_whole_article():
+    page = "<body><article><h1>Head</h1><p>Lead.</p><div class='body'><p>The long text of the first section stands here.</p></div><div class='more'><p>Second section.</p></div><div class='related'>Other</div></article><div class='x'>Out</div></body>"
+    want = "Head\nLead.\nThe long text of the first section stands here.\nSecond section."
+    assert html_extract.main_text(page, ">body>article>div.body") == want
+    assert html_extract.main_text(page, None) == want
