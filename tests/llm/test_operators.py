@@ -10,6 +10,8 @@ from collections import Counter
 from functools import partial
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,3 +380,34 @@ def test_html_keeps_the_whole_article():
     want = "Head\nLead.\nThe long text of the first section stands here.\nSecond section."
     assert html_extract.main_text(page, ">body>article>div.body") == want
     assert html_extract.main_text(page, None) == want
+
+
+def test_bpe_hard_texts_equal_library():
+    """Random texts of signs, marks, apostrophes, odd white space and special tokens, and words too long for a pair scan, in slices of one and many."""
+    tokenizers = pytest.importorskip("tokenizers")
+    reference = tokenizers.Tokenizer.from_file(bpe._path(None))
+    coder, rng = bpe.load(bpe._path(None)), random.Random(1)
+    alpha = "abcdefghijklmnop THE ing's''reéñßΣς中 \n\t\x1c\x1d\x85\xa0 😀12٣½.,;!?<>|\x00\x7f́"
+    units = ["<|endoftext|>", "<|startoftext|>", "it's", "WE'LL", "''d've", "ΑΣ", "İ", "ﬁ", "x́", "가"]
+    texts = ["", "  ", "<|endoftext|>", "x" * 5000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))]
+    texts += ["".join(rng.choice(units) if rng.random() < 0.1 else rng.choice(alpha) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for start, size in [*bpe.slices(pa.array(texts), 20_000), (0, 3)]:
+        ids, names = coder.encode(pa.array(texts[start : start + size]))
+        for text, got, decoded in zip(texts[start:], ids.to_pylist(), names.to_pylist()):
+            want = reference.encode(text, add_special_tokens=False).ids
+            assert (got, decoded) == (" ".join(map(str, want)), reference.decode(want, skip_special_tokens=False)), text[:80]
+
+
+def test_bpe_pair_check_equals_merging():
+    coder, rng = bpe.load(bpe._path(None)), random.Random(2)
+    inner = [i for i, name in enumerate(coder.names) if not name.endswith(coder.end)]
+    pairs = [(rng.choice(inner), rng.randrange(coder.size)) for _ in range(3000)]
+    pairs += [p for p in zip(coder.left.tolist(), coder.right.tolist()) if p[0] != p[1]][:2000]
+
+    def spelled(i):
+        name = coder.names[i]
+        return coder.symbols(name.removesuffix(coder.end)) if name.endswith(coder.end) else [coder.number[c] for c in name]
+
+    good = coder.compatible(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert good.tolist() == [coder.merge(spelled(a) + spelled(b)) == [a, b] for a, b in pairs]
+    assert 0 < good.sum() < len(pairs)
