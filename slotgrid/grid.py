@@ -18,10 +18,12 @@ class GridSpec:
     step: int = 300
     history: int = 12
     future: int = 6
+    #: Columns besides the entity that part a series, such as time buckets.
+    within: tuple[str, ...] = ()
 
     def window(self) -> WindowSpec:
         """One partitioning and order for all windows of a job, so that they share one exchange and sort."""
-        return Window.partitionBy(self.entity).orderBy(self.epoch)
+        return Window.partitionBy(self.entity, *self.within).orderBy(self.epoch)
 
     def span(self, first: int, last: int) -> WindowSpec:
         """Exact-time range from `first` to `last` slots away."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,8 +14,12 @@ def month_cells(df: DataFrame, entity: str, day: str, value: str) -> DataFrame:
 
 
 def spine(cells: DataFrame) -> DataFrame:
-    """Every entity with every year and month seen, absent cells with zero days."""
-    frame = cells.select("entity").distinct().join(F.broadcast(cells.select("year", "month").distinct()), F.lit(True))
+    """Every entity with every month from the first to the last one seen, absent cells with zero days; two dates pass through the driver."""
+    first, last = cells.agg(F.min(F.make_date("year", "month", F.lit(1))), F.max(F.make_date("year", "month", F.lit(1)))).first()
+    if first is None:
+        return cells.select("entity", "year", "month", "days")
+    start = F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 MONTH")))
+    frame = cells.select("entity").distinct().select("entity", start.alias("start")).select("entity", F.year("start").alias("year"), F.month("start").alias("month"))
     return frame.join(cells, ["entity", "year", "month"], "left").select("entity", "year", "month", F.coalesce("days", F.lit(0)).alias("days"))
 
 
@@ -31,8 +35,80 @@ def panel_means(cells: DataFrame, fixed: DataFrame, years: list[int]) -> DataFra
     return rows.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("total") / F.col("days")).alias("mean"))
 
 
+def adjacent_years(cells: DataFrame, cutoff: float) -> DataFrame:
+    """(entity, month, year, before, after): daily means of the entities that reach the cutoff in a month of one year and of the next; one window, no self join."""
+    good = cells.where(F.col("coverage") >= cutoff).select("entity", "year", "month", (F.col("total") / F.col("days")).alias("before"))
+    following = Window.partitionBy("entity", "month").orderBy("year").rangeBetween(1, 1)
+    return good.withColumn("after", F.max("before").over(following)).where("after IS NOT NULL")
+
+
 def paired_years(cells: DataFrame, cutoff: float) -> DataFrame:
     """(year, month): change to the next year over entities that reach the cutoff in both."""
-    good = cells.where(F.col("coverage") >= cutoff).select("entity", "year", "month", (F.col("total") / F.col("days")).alias("mean"))
-    after = good.select("entity", (F.col("year") - 1).alias("year"), "month", F.col("mean").alias("mean_after"))
-    return good.join(after, ["entity", "year", "month"]).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("mean_after") - F.col("mean")).alias("delta"))
+    return adjacent_years(cells, cutoff).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("after") - F.col("before")).alias("delta"))
+
+
+def paired_support(cells: DataFrame, cutoff: float) -> DataFrame:
+    """(year, month) of every pair of years with cells: both means over the common entities, their difference, and SUPPORTED or NO_COMMON."""
+    pairs = cells.select("year", "month").distinct()
+    pairs = pairs.join(pairs.select((F.col("year") - 1).alias("year"), "month"), ["year", "month"])
+    found = adjacent_years(cells, cutoff).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.avg("before").alias("before"), F.avg("after").alias("after"))
+    out = pairs.join(found, ["year", "month"], "left")
+    return out.select("year", "month", F.coalesce("n", F.lit(0)).alias("n"), "before", "after", (F.col("after") - F.col("before")).alias("delta"), F.when(F.col("n") > 0, "SUPPORTED").otherwise("NO_COMMON").alias("status"))
+
+
+def slot_coverage(df: DataFrame, entity: str, epoch: str, step: int) -> DataFrame:
+    """(entity, month_start): stamps, occupied slots, phases, stamps off the grid, slots hit twice, slots the calendar expects and those between first and last."""
+    at = F.col(epoch)
+    month = F.trunc(F.to_date(F.timestamp_seconds(at)), "month")
+    stamps = df.where(at.isNotNull()).groupBy(F.col(entity).alias("entity"), month.alias("month_start"), at.alias("at")).agg(F.count(F.lit(1)).alias("k"))
+    out = stamps.groupBy("entity", "month_start").agg(
+        F.sum("k").alias("n"), F.count(F.lit(1)).alias("stamps"), F.count_distinct(F.floor(F.col("at") / step)).alias("occupied"), F.count_distinct(F.pmod("at", F.lit(step))).alias("phases"),
+        F.sum((F.pmod("at", F.lit(step)) != 0).cast("long")).alias("off_grid"), F.min("at").alias("first"), F.max("at").alias("last"),
+    )
+    days = F.dayofmonth(F.last_day("month_start"))
+    return out.withColumns({"slot_collisions": F.col("stamps") - F.col("occupied"), "expected": (days * (86_400 // step)).cast("long"), "span_slots": F.floor(F.col("last") / step) - F.floor(F.col("first") / step) + 1})
+
+
+def hour_panel(df: DataFrame, entity: str, epoch: str, value: str, hours: int, days: int) -> DataFrame:
+    """(hour): mean over entities of their hourly means, for the entities that have all `hours` hours, each on at least `days` days; entities weigh the same."""
+    at = F.timestamp_seconds(epoch)
+    cells = df.groupBy(F.col(entity).alias("entity"), F.hour(at).alias("hour")).agg(F.count_distinct(F.to_date(at)).alias("days"), F.avg(value).alias("mean"))
+    whole = cells.where(F.col("days") >= days).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == hours)
+    return cells.join(whole.select("entity"), "entity", "left_semi").groupBy("hour").agg(F.count(F.lit(1)).alias("entities"), F.avg("mean").alias("mean"))
+
+
+def annual(cells: DataFrame, years: list[int], cutoff: float) -> DataFrame:
+    """(year): entities, the mean total of all, and of those that reach the cutoff in every month of every one of `years`."""
+    rows = cells.where(F.col("year").isin(years))
+    good = F.count(F.when(F.col("coverage") >= cutoff, 1)) == 12 * len(years)
+    fixed = rows.groupBy("entity").agg(good.alias("fixed"))
+    totals = rows.groupBy("entity", "year").agg(F.sum("total").alias("total"), F.sum("days").alias("days"), F.count(F.lit(1)).alias("months")).join(fixed, "entity")
+    return totals.groupBy("year").agg(F.count(F.lit(1)).alias("entities"), F.avg("total").alias("mean_total"), F.sum(F.col("fixed").cast("long")).alias("fixed_entities"), F.avg(F.when(F.col("fixed"), F.col("total"))).alias("fixed_mean"))
+
+
+def mean_of_means(df: DataFrame, outer: list[str], inner: list[str], values: list[str]) -> DataFrame:
+    """Per `outer`: the mean over the inner groups of each value's mean, and how many inner groups have one; unknown stays unknown, never zero."""
+    first = df.groupBy(*outer, *inner).agg(*[F.avg(v).alias(v) for v in values])
+    return first.groupBy(*outer).agg(*[F.avg(v).alias(v) for v in values], *[F.count(v).alias(f"n_{v}") for v in values])
+
+
+def extremes(means: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Per `by`: the least and greatest `value` and the `order` cell that has it; ties go to the smaller cell, nulls take no part."""
+    known = means.where(F.col(value).isNotNull())
+    low, high = F.struct(F.col(value).alias("v"), F.col(order).alias("o")), F.struct((-F.col(value)).alias("v"), F.col(order).alias("o"))
+    out = known.groupBy(*by).agg(F.min(low).alias("low"), F.min(high).alias("high"))
+    return out.select(*by, F.col("low.o").alias(f"low_{order}"), F.col("low.v").alias("low"), F.col("high.o").alias(f"high_{order}"), (-F.col("high.v")).alias("high"))
+
+
+def distance_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
+    """Great-circle distance on a sphere of 6371.0088 km."""
+    a = F.sin(F.radians(lat_b - lat_a) / 2) ** 2 + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.sin(F.radians(lon_b - lon_a) / 2) ** 2
+    return 2 * 6371.0088 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+def widest_separation(places: DataFrame, entity: str, lat: str, lon: str) -> DataFrame:
+    """(entity, places, km): distinct coordinates of each entity and the largest distance between two; pairs arise within an entity's few distinct places alone."""
+    each = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(entity, lat, lon).distinct()
+    a, b = each.select(entity, F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a")), each.select(entity, F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b"))
+    far = a.join(b, entity).groupBy(entity).agg(F.max(distance_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).alias("km"))
+    return each.groupBy(entity).agg(F.count(F.lit(1)).alias("places")).join(far, entity)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +40,57 @@ def lag_exact(spec: GridSpec, k: int) -> Column:
 
 
 def features(grid: DataFrame, spec: GridSpec) -> DataFrame:
-    """Past-only features over short (2 slots) and full history: sums, maximum, deviation, wet slots, change, ratio, runs and recency."""
+    """Past-only features over the last 2 slots, the 2 before them, and the full history.
+
+    Sums, maximum, deviation and wet slots are null unless their frame is whole. Changes compare with the exact slot or block
+    before; the ratio of the short to the full sum is 0 where both are 0. A row of marks, 1 for a wet slot and 0 for a dry one
+    from the oldest on, gives runs and recency by what its end trims to: run_slots counts the wet slots up to now (run_censored:
+    the run fills the history), since_event_s the seconds since the last wet slot, null with no_event where there is none
+    (since_event_code is then the whole history). Nulls in a frame count as absent slots.
+    """
     v = F.col(spec.value).cast("double")
     full = 1 - spec.history
     out = grid.withColumn("sum_2", complete(spec, -1, 0, F.sum(v))).withColumn("sum_all", complete(spec, full, 0, F.sum(v)))
+    out = out.withColumn("sum_before_2", complete(spec, -3, -2, F.sum(v)))
     out = out.withColumn("max_all", complete(spec, full, 0, F.max(v))).withColumn("std_all", complete(spec, full, 0, F.stddev_pop(v)))
     out = out.withColumn("wet_all", complete(spec, full, 0, F.sum((v > 0).cast("long"))))
     out = out.withColumn("lag_1", lag_exact(spec, 1).cast("double")).withColumn("change_1", v - F.col("lag_1"))
+    out = out.withColumn("change_2", F.col("sum_2") - F.col("sum_before_2"))
     out = out.withColumn("ratio", F.when(F.col("sum_all") == 0, 0.0).otherwise(F.col("sum_2") / F.col("sum_all")))
-    event = F.max(F.when(v > 0, F.col(spec.epoch))).over(spec.span(full, 0))
-    still = F.max(F.when(v == 0, F.col(spec.epoch))).over(spec.span(full, 0))
-    whole = F.col("sum_all").isNotNull()
-    run = F.when(whole, F.when(still.isNull(), spec.history).otherwise(((F.col(spec.epoch) - still) / spec.step).cast("long")))
-    since = F.when(whole, F.col(spec.epoch) - event)
-    return out.withColumn("run_slots", run.cast("long")).withColumn("since_event_s", since.cast("long"))
+    out = out.withColumn("_marks", complete(spec, full, 0, F.collect_list(F.when(v > 0, "1").when(v.isNotNull(), "0"))))
+    marks = F.array_join("_marks", "")
+    run = F.length(marks) - F.length(F.rtrim(marks, F.lit("1")))
+    dry = F.length(marks) - F.length(F.rtrim(marks, F.lit("0")))
+    since = F.when(dry < spec.history, dry * spec.step)
+    out = out.withColumns({"run_slots": run.cast("long"), "since_event_s": since.cast("long"), "run_censored": (run == spec.history).cast("long")})
+    out = out.withColumn("no_event", (dry == spec.history).cast("long"))
+    return out.withColumn("since_event_code", F.when(F.col("no_event") == 1, spec.history * spec.step).otherwise(F.col("since_event_s")).cast("long")).drop("_marks")
+
+
+def over_buckets(grid: DataFrame, spec: GridSpec, slots: int, build: Callable[[DataFrame, GridSpec], DataFrame]) -> DataFrame:
+    """What `build(grid, spec)` gives, with each series cut into buckets of `slots` slots, so that one long series is many groups.
+
+    A row is copied into every bucket whose rows can see it, and copies are dropped after the windows. History and future
+    must each be shorter than a bucket.
+    """
+    if max(spec.history, spec.future) >= slots:
+        raise ValueError("a bucket must be longer than the history and the future")
+    width, at = slots * spec.step, F.col(spec.epoch)
+    seen_by = F.array_distinct(F.array(*[F.floor((at + shift) / width) for shift in (0, -spec.future * spec.step, (spec.history - 1) * spec.step)]))
+    dealt = build(grid.withColumn("_bucket", F.explode(seen_by)), replace(spec, within=("_bucket",)))
+    return dealt.where(F.col("_bucket") == F.floor(at / width)).drop("_bucket")
+
+
+def edge_reasons(anchors: DataFrame, spec: GridSpec) -> DataFrame:
+    """`anchors` of `targets` with edge_reason: DATASET_END or DATASET_START where the frame reaches past the epochs that any series has."""
+    first, last = anchors.agg(F.min(spec.epoch), F.max(spec.epoch)).first()
+    at = F.col(spec.epoch)
+    why = [F.when(~F.col("target_valid") & (at + spec.future * spec.step > F.lit(last)), "DATASET_END"), F.when(~F.col("history_valid") & (at - (spec.history - 1) * spec.step < F.lit(first)), "DATASET_START")]
+    return anchors.withColumn("edge_reason", F.array_compact(F.array(*why)))
+
+
+def padded(grid: DataFrame, spec: GridSpec, start: int, stop: int, build: Callable[[DataFrame, GridSpec], DataFrame]) -> DataFrame:
+    """`build` for the epochs from `start` to before `stop` alone: the scan is widened by what the windows see, and trimmed after them."""
+    at = F.col(spec.epoch)
+    wide = grid.where(at.between(start - (spec.history - 1) * spec.step, stop + spec.future * spec.step))
+    return build(wide, spec).where((at >= start) & (at < stop))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.predicates import finite, missing
+from .functions.predicates import blank, usable
 from .grid import GridSpec, epoch_of, to_grid
+from .registry import QUERIES, ORACLE_SQL, query  # noqa: F401
 from .operators import clean, coverage, ecdf, folds, joins, rules, windows
 from .sources import tables
 
@@ -19,19 +18,6 @@ THRESHOLDS = ["0", "50", "100", "200"]
 YEARS = [1996, 1997, 1998, 1999, 2000]
 TRAIN_END, EVAL_END = 1_705_276_800, 1_705_881_600
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet")
@@ -89,8 +75,8 @@ def _rules() -> dict:
     value = F.expr("try_cast(row.value AS DOUBLE)")
     return {
         "FIELD_COUNT": F.col("fields") != 4,
-        "MISSING_USER": missing(F.coalesce("row.user_id", F.lit(""))),
-        "BAD_VALUE": ~finite(value),
+        "MISSING_USER": blank(F.col("row.user_id")),
+        "BAD_VALUE": ~usable(value),
         "NEGATIVE": value < 0,
         "OFF_GRID": F.expr("try_cast(row.epoch AS BIGINT)") % 300 != 0,
     }

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from slotgrid.queries import ORACLE_SQL, QUERIES
+from slotgrid.plans import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
