@@ -112,3 +112,29 @@ def widest_separation(places: DataFrame, entity: str, lat: str, lon: str) -> Dat
     a, b = each.select(entity, F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a")), each.select(entity, F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b"))
     far = a.join(b, entity).groupBy(entity).agg(F.max(distance_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).alias("km"))
     return each.groupBy(entity).agg(F.count(F.lit(1)).alias("places")).join(far, entity)
+
+
+def period_gaps(cells: DataFrame) -> DataFrame:
+    """(entity, year, next_year, gap_months): months from an entity's last cell of a year to its first of the next year it has; the last year has no row."""
+    years = cells.groupBy("entity", "year").agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    order = Window.partitionBy("entity").orderBy("year")
+    out = years.withColumns({"next_year": F.lead("year").over(order), "next_first": F.lead("first").over(order)}).where("next_year IS NOT NULL")
+    return out.withColumn("gap_months", (F.col("next_year") - F.col("year")) * 12 + F.col("next_first") - F.col("last"))
+
+
+def gap_classes(df: DataFrame, entity: str, epoch: str, step: int) -> DataFrame:
+    """(kind, n, longest) of the gaps to the row before: one step, shorter, longer, or no multiple of the step."""
+    gap = F.col(epoch) - F.lag(epoch).over(Window.partitionBy(entity).orderBy(epoch))
+    kind = F.when(F.col("gap") == step, "STEP").when(F.col("gap") < step, "SHORTER").when(F.col("gap") % step != 0, "OFF_STEP").otherwise("LONGER")
+    return df.select(gap.alias("gap")).where("gap IS NOT NULL").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("longest"))
+
+
+def phase_transitions(df: DataFrame, entity: str, epoch: str, phase: str, depth: int = 4) -> DataFrame:
+    """Rows whose phase differs from the row before: that phase (p1), the gap, and whether the `depth` rows before agreed; the first `depth` rows of a series have none."""
+    order = Window.partitionBy(entity).orderBy(epoch)
+    lags = {f"p{k}": F.lag(phase, k).over(order) for k in range(1, depth + 1)}
+    out = df.withColumns({**lags, "gap": F.col(epoch) - F.lag(epoch).over(order)}).where(F.col(f"p{depth}").isNotNull() & (F.col(phase) != F.col("p1")))
+    steady = F.lit(True)
+    for k in range(2, depth + 1):
+        steady = steady & (F.col(f"p{k}") == F.col("p1"))
+    return out.select(entity, epoch, phase, "p1", "gap", steady.cast("long").alias("steady_before"))

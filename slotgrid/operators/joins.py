@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,109 @@ def compare_values(left: DataFrame, right: DataFrame, keys: list[str], value: st
     return both.agg(F.sum((~F.col("_a").eqNullSafe(F.col("_b"))).cast("long")).alias("unequal"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_difference"))
 
 
-def signature(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Row count and hash sum per group; equal tables have equal signatures whatever their order."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("hash_sum"))
+def signature(df: DataFrame, by: list[str], columns: list[str], sums: int = 1) -> DataFrame:
+    """Row count and hash sums per group, each with a seed of its own; equal tables have equal signatures whatever their order."""
+    hashes = [F.sum(F.xxhash64(*columns, F.lit(k)).cast("decimal(38,0)")).alias(f"hash_sum_{k}" if k else "hash_sum") for k in range(sums)]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *hashes)
+
+
+def column_signature(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(name, n, nulls, hash_sum) per column, hashed together with the keys, so that swapped values show; one pass."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(F.xxhash64(*keys, c).cast("decimal(38,0)")).alias(f"h_{c}") for c in columns],
+        *[F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias(f"z_{c}") for c in columns],
+    )
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col("_n").alias("n"), F.col(f"z_{c}").alias("nulls"), F.col(f"h_{c}").alias("hash_sum")) for c in columns])
+    return row.select(F.explode(each).alias("c")).select("c.*")
+
+
+def lookup(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", limit: int = 1_000_000) -> DataFrame:
+    """Join with a side table of unique keys; it is broadcast only if it has at most `limit` rows, and shuffled otherwise."""
+    small = side.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(side) if small else side, keys, how)
+
+
+def compare_columns(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(name, compared, unequal, null_mismatch, max_difference, only_left, only_right) per numeric column; one full outer join serves all.
+
+    Nulls equal nulls; keys on one side alone are counted and not compared; null keys match nothing.
+    """
+    a = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_l"))
+    b = right.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(1).alias("_r"))
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+
+    def count(c: Column) -> Column:
+        return F.coalesce(F.sum(c.cast("long")), F.lit(0))
+
+    parts = [count(both).alias("compared"), count(F.col("_r").isNull()).alias("only_left"), count(F.col("_l").isNull()).alias("only_right")]
+    for c in columns:
+        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
+        parts += [count(both & ~x.eqNullSafe(y)).alias(f"u_{c}"), count(both & (x.isNull() != y.isNull())).alias(f"m_{c}"), F.max(F.when(both, F.abs(x - y))).cast("double").alias(f"d_{c}")]
+    row = a.join(b, keys, "full_outer").agg(*parts)
+    each = [F.struct(F.lit(c).alias("name"), "compared", F.col(f"u_{c}").alias("unequal"), F.col(f"m_{c}").alias("null_mismatch"), F.col(f"d_{c}").alias("max_difference"), "only_left", "only_right") for c in columns]
+    return row.select(F.explode(F.array(*each)).alias("c")).select("c.*")
+
+
+def unequal_examples(left: DataFrame, right: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """(keys, place): the k smallest keys present on both sides whose values differ; nulls equal nulls."""
+    both = left.select(*keys, F.col(value).alias("_a")).join(right.select(*keys, F.col(value).alias("_b")), keys).where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return both.orderBy(*keys).limit(k).select(*keys, F.row_number().over(Window.orderBy(*keys)).alias("place"))
+
+
+def inflation(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: rows of the left, rows after a left join, and how many the join adds."""
+    many = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = left.join(many, keys, "left").agg(F.count(F.lit(1)).alias("left_rows"), F.sum(F.coalesce("_n", F.lit(1))).alias("joined_rows"))
+    return out.withColumn("inflation", F.col("joined_rows") - F.col("left_rows"))
+
+
+def guard_join(left: DataFrame, right: DataFrame, keys: list[str], *, require_all_left: bool = False, require_all_right: bool = False) -> DataFrame:
+    """One row that says whether a one-to-one join is safe: rows, null and repeated keys of each side, matches, match rates, PASS or FAIL.
+
+    Both sides share one exchange: a union with flags, counted per key. Any null or repeated key fails, as does a key without
+    a match on a side that requires all. Rates are null for a side without keys.
+    """
+    null = F.greatest(*[F.col(k).isNull().cast("int") for k in keys]) == 1
+    sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    per_key = sides.groupBy(*keys).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+
+    def count(c: Column) -> Column:
+        return F.coalesce(F.sum(c.cast("long")), F.lit(0))
+
+    out = per_key.agg(
+        F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"),
+        F.coalesce(F.sum(F.when(null, F.col("l"))), F.lit(0)).alias("left_null_keys"), F.coalesce(F.sum(F.when(null, F.col("r"))), F.lit(0)).alias("right_null_keys"),
+        count(~null & (F.col("l") > 1)).alias("left_duplicates"), count(~null & (F.col("r") > 1)).alias("right_duplicates"),
+        count(~null & (F.col("l") > 0)).alias("_lk"), count(~null & (F.col("r") > 0)).alias("_rk"), count(~null & (F.col("l") > 0) & (F.col("r") > 0)).alias("matched_keys"),
+    )
+    bad = F.col("left_null_keys") + F.col("right_null_keys") + F.col("left_duplicates") + F.col("right_duplicates") > 0
+    if require_all_left:
+        bad = bad | (F.col("matched_keys") < F.col("_lk"))
+    if require_all_right:
+        bad = bad | (F.col("matched_keys") < F.col("_rk"))
+    rates = {f"{s}_match_rate": F.when(F.col(k) > 0, F.col("matched_keys") / F.col(k)) for s, k in (("left", "_lk"), ("right", "_rk"))}
+    return out.withColumns({**rates, "verdict": F.when(bad, "FAIL").otherwise("PASS")}).drop("_lk", "_rk")
+
+
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: rows of each side and of their inner join, and whether the join keeps every left row exactly."""
+    sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    out = sides.groupBy(*keys).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r")).agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"), F.sum(F.col("l") * F.col("r")).alias("joined_rows"))
+    return out.withColumn("whole", (F.col("joined_rows") == F.col("left_rows")).cast("long"))
+
+
+def score_difference(left: DataFrame, right: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
+    """One row: matched keys and the largest absolute difference of two score tables."""
+    both = left.select(*keys, F.col(p).alias("_a")).join(right.select(*keys, F.col(p).alias("_b")), keys)
+    return both.agg(F.count(F.lit(1)).alias("matched"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_difference"))
+
+
+def partition_violations(df: DataFrame, epoch: str, day: str, shifts: dict[str, int]) -> DataFrame:
+    """Per day partition and named shift in seconds: rows whose shifted epoch falls on another day."""
+    return df.groupBy(day).agg(*[F.sum((F.dayofmonth(F.timestamp_seconds(F.col(epoch) + s)) != F.col(day)).cast("long")).alias(n) for n, s in shifts.items()])
+
+
+def existence(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row with 1 for each condition that some row meets, else 0; nulls meet none."""
+    return df.agg(*[F.coalesce(F.max(c.cast("long")), F.lit(0)).alias(n) for n, c in conditions.items()])

@@ -2,4 +2,4 @@
 
 from .. import queries  # noqa: F401
 from ..registry import ORACLE_SQL, QUERIES  # noqa: F401
-from . import cleaning  # noqa: F401
+from . import cleaning, comparisons, coverage_views, evaluation, fitting, labels, scoring  # noqa: F401

@@ -275,9 +275,9 @@ def m6_entity_support(spark, sf):
     return folds.supported(_anchors(spark, sf), "entity", 20).select("entity", "slot")
 
 
-@query()
+@query(f"WITH {TARGETS} SELECT entity, slot FROM a WHERE (entity * 7919 + slot // 86400 * 104729 + 7) % 10007 < 1000")
 def m1_sample(spark, sf):
-    return folds.sample(_anchors(spark, sf), ["entity", "slot"], 0.1).select("entity", "slot")
+    return folds.sample(_anchors(spark, sf), {"entity": 1, "slot": 86_400}, 1_000).select("entity", "slot")
 
 
 @query()

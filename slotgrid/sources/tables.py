@@ -43,7 +43,25 @@ def read_partition(spark: SparkSession, root: str, part: str) -> DataFrame:
     return spark.read.option("basePath", root).parquet(f"{root}/{part}")
 
 
+def read_strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header of a fixed schema; a malformed row fails the job, and the header must name the schema's columns."""
+    return spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
+
+
+def read_tables(spark: SparkSession, root: str, contracts: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """The named tables of a root, each held against its contract."""
+    return {name: read_contract(spark, f"{root}/{name}", contract) for name, contract in contracts.items()}
+
+
+def write_small(df: DataFrame, path: str) -> None:
+    """A small side table as one file."""
+    df.coalesce(1).write.parquet(path)
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: rows of each table that the other lacks, with multiplicity."""
-    left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left"))
-    return left.join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right")), F.lit(True))
+    """One row: rows of each table that the other lacks, with multiplicity, and the rows of the first; one aggregate over both."""
+    columns = a.columns
+    sides = a.withColumn("_s", F.lit(1)).unionByName(b.withColumn("_s", F.lit(-1)))
+    per_row = sides.groupBy(*columns).agg(F.sum("_s").alias("d"), F.sum((F.col("_s") == 1).cast("long")).alias("k"))
+    zero = F.lit(0).cast("long")
+    return per_row.agg(F.coalesce(F.sum(F.greatest(F.col("d"), zero)), zero).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("d"), zero)), zero).alias("only_right"), F.coalesce(F.sum("k"), zero).alias("written"))
