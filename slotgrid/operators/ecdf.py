@@ -13,13 +13,44 @@ def fit(df: DataFrame, group: str, value: str) -> DataFrame:
     return counted.select(group, value, F.sum("k").over(order).alias("cum_n"), F.sum("k").over(Window.partitionBy(group)).alias("n"))
 
 
-def fit_all(df: DataFrame, value: str) -> DataFrame:
-    """(value, cum_n) over all rows: values are ranged over partitions, each is summed apart, and a window over the few partition totals gives each its start."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("k")).repartitionByRange(value).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
-    own = counted.withColumn("_c", F.sum("k").over(Window.partitionBy("_p").orderBy(value)))
-    totals = counted.groupBy("_p").agg(F.sum("k").alias("_t"))
+def running(df: DataFrame, order: list[str], amount: str) -> DataFrame:
+    """`df` with `running`, the sum of `amount` up to each row in `order`, over all rows.
+
+    Rows are ranged over partitions, each is summed apart, and a window over the few partition totals gives each its start,
+    so no task gets every row. Rows equal in `order` share a sum.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    own = ranged.withColumn("_c", F.sum(amount).over(Window.partitionBy("_p").orderBy(*order)))
+    totals = own.groupBy("_p").agg(F.max("_c").alias("_t"))
     starts = totals.withColumn("_b", F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).select("_p", "_b")
-    return own.join(F.broadcast(starts), "_p").select(value, (F.col("_c") + F.col("_b")).alias("cum_n"))  # one row a partition
+    return own.join(F.broadcast(starts), "_p").withColumn("running", F.col("_c") + F.col("_b")).drop("_p", "_c", "_b")  # one row a partition
+
+
+def fit_all(df: DataFrame, value: str) -> DataFrame:
+    """(value, cum_n) over all rows, nulls left out."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("k"))
+    return running(counted, [value], "k").select(value, F.col("running").alias("cum_n"))
+
+
+def as_of(cdf: DataFrame, asked: DataFrame, group: str, value: str, level: str) -> DataFrame:
+    """(group, level, n, above) for the rows (group, level) of `asked`: one sort per group finds for each level the last value not above it; groups without values have none."""
+    exact = "decimal(38,18)"
+    known = cdf.select(group, F.col(value).cast(exact).alias("_v"), "cum_n", "n", F.lit(0).alias("_f"))
+    wanted = asked.select(group, F.col(level).cast(exact).alias("_v"), F.lit(None).cast("long").alias("cum_n"), F.lit(None).cast("long").alias("n"), F.lit(1).alias("_f"))
+    below = F.coalesce(F.last("cum_n", ignorenulls=True).over(Window.partitionBy(group).orderBy("_v", "_f")), F.lit(0))
+    out = known.unionByName(wanted).withColumns({"_below": below, "_n": F.max("n").over(Window.partitionBy(group))})
+    return out.where((F.col("_f") == 1) & F.col("_n").isNotNull()).select(group, F.col("_v").alias(level), F.col("_n").alias("n"), (F.col("_n") - F.col("_below")).alias("above"))
+
+
+def as_of_all(cdf: DataFrame, levels: DataFrame, group: str, value: str, level: str) -> DataFrame:
+    """(level, share): the share of all values above each level."""
+    exact = "decimal(38,18)"
+    own = F.col("cum_n") - F.coalesce(F.lag("cum_n").over(Window.partitionBy(group).orderBy(value)), F.lit(0))
+    counts = cdf.select(F.col(value).cast(exact).alias("_v"), own.alias("k")).groupBy("_v").agg(F.sum("k").alias("k")).withColumn("_f", F.lit(0))
+    both = counts.unionByName(levels.select(F.col(level).cast(exact).alias("_v"), F.lit(0).cast("long").alias("k"), F.lit(1).alias("_f")))
+    whole = counts.agg(F.sum("k")).first()[0] or 0
+    found = running(both, ["_v", "_f"], "k").where("_f = 1")
+    return found.select(F.col("_v").alias(level), (F.lit(1.0) - F.col("running") / F.lit(whole)).alias("share"))
 
 
 def check(cdf: DataFrame, group: str, value: str, rows: DataFrame) -> DataFrame:

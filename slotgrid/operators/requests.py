@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import GridSpec
+from .ecdf import as_of, as_of_all
 from .records import decimal_shape
 
 
@@ -59,14 +60,8 @@ def answer(asked: DataFrame, anchors: DataFrame, cdf: DataFrame, spec: GridSpec,
     )
     out = out.withColumn("reject_reason", reason).withColumn("_level", F.when(F.col("reject_reason").isNull(), level))
     pairs = out.where("_level IS NOT NULL").select(F.col("entity").alias("grp"), "_level").distinct()
-    value = F.col("value").cast("decimal(38,18)")
-    below = F.coalesce(F.max(F.when(value <= F.col("_level"), F.col("cum_n"))), F.lit(0))
-    own = pairs.join(cdf, "grp").groupBy("grp", "_level").agg(F.max("n").alias("_n"), (F.max("n") - below).alias("_above"))
-    levels = pairs.select("_level").distinct()
-    # one row per distinct threshold and group: counts of the whole are the sums over groups
-    each = cdf.select("grp", "value", "cum_n", "n").join(F.broadcast(levels) if levels.count() <= 10_000 else levels, value <= F.col("_level"), "inner").groupBy("grp", "_level").agg(F.max("cum_n").alias("below"))
-    whole = cdf.groupBy("grp").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
-    overall = levels.join(each.groupBy("_level").agg(F.sum("below").alias("below")), "_level", "left").select("_level", (F.lit(1.0) - F.coalesce("below", F.lit(0)) / F.lit(whole)).alias("_share"))
-    scored = out.join(own.withColumnRenamed("grp", "entity"), ["entity", "_level"], "left").join(overall, "_level", "left")
+    own = as_of(cdf, pairs, "grp", "value", "_level").select(F.col("grp").alias("entity"), "_level", F.col("n").alias("_n"), F.col("above").alias("_above"))
+    overall = as_of_all(cdf, pairs.select("_level").distinct(), "grp", "value", "_level").withColumnRenamed("share", "_share")
+    scored = out.join(own, ["entity", "_level"], "left").join(overall, "_level", "left")
     p = F.coalesce((F.col("_above") + prior * F.col("_share")) / (F.col("_n") + prior), F.col("_share"))
     return scored.select(*[c for c in asked.columns], "reject_reason", F.when(F.col("reject_reason").isNull(), p).alias("p"))
