@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +116,170 @@ class Lattice:
                     into[part] = into.get(part, 0.0) + share
 
 
+#: Characters of a word beyond which it is taken alone; shorter ones are taken many at a time.
+ALONE_FROM = 64
+_POINTS = 0x110000
+
+
+class Trie:
+    """The pieces as a tree in arrays: `edges` are sorted keys of node and code point, `child` the nodes they lead to, `piece` the piece that ends at a node or -1."""
+
+    def __init__(self, pieces: list[str]):
+        self.pieces = pieces
+        step: list[dict[int, int]] = [{}]
+        piece = [-1]
+        for i, name in enumerate(pieces):
+            node = 0
+            for char in map(ord, name):
+                if char not in step[node]:
+                    step[node][char] = len(step)
+                    step.append({}), piece.append(-1)
+                node = step[node][char]
+            piece[node] = i
+        found = sorted((node * _POINTS + char, to) for node, out in enumerate(step) for char, to in out.items())
+        self.edges, self.child = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
+        self.piece = np.array(piece, np.int64)
+
+    def go(self, node: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The nodes after one more code point each, -1 where no piece goes on."""
+        keys = node * _POINTS + points
+        at = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
+        return np.where(self.edges[at] == keys, self.child[at], -1)
+
+
+class Lattices:
+    """The lattices of many words at once: all arcs as arrays, in one numbering of all places of all words."""
+
+    def __init__(self, trie: Trie, words: list[str]):
+        texts = ["\u2581" + w for w in words]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        found, depth = [], 1
+        unique, back = np.unique(points, return_inverse=True)
+        active, node = np.arange(len(points)), self._roots(trie, unique)[back]
+        single = np.zeros(len(points), bool)
+        while True:
+            active, node = active[node >= 0], node[node >= 0]
+            if not len(active):
+                break
+            piece = trie.piece[node]
+            ends_here = piece >= 0
+            found.append((active[ends_here], np.full(int(ends_here.sum()), depth), piece[ends_here]))
+            if depth == 1:
+                single[active[ends_here]] = True
+            inside = active + depth < ends[active]
+            active, node = active[inside], node[inside]
+            node = trie.go(node, points[active + depth])
+            depth += 1
+        spelled = np.flatnonzero(~single)
+        found.append((spelled, np.ones(len(spelled), np.int64), -1 - points[spelled]))
+        start, length, self.piece = (np.concatenate(c) for c in zip(*found))
+        #: Place numbers: a word of n characters has n + 1 places.
+        self.start = start + owner[start]
+        self.stop = self.start + length
+        self.first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        self.last = self.first + sizes
+        self.places = int(len(points) + len(texts))
+        self.word = owner[start]
+        self.depth = int(sizes.max(initial=0))
+
+    @staticmethod
+    def _roots(trie: Trie, points: np.ndarray) -> np.ndarray:
+        return trie.go(np.zeros(len(points), np.int64), points)
+
+    def weights(self, logs: np.ndarray, spelled: dict[int, float]) -> np.ndarray:
+        """Log weight of each arc; a character without a piece weighs what its byte pieces weigh together."""
+        out = logs[np.maximum(self.piece, 0)]
+        odd = np.flatnonzero(self.piece < 0)
+        if len(odd):
+            chars, back = np.unique(-1 - self.piece[odd], return_inverse=True)
+            out[odd] = np.array([spelled[c] for c in chars.tolist()])[back]
+        return out
+
+    def _sweep(self, begin: np.ndarray, source: np.ndarray, target: np.ndarray, distance: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Log sums over all paths from `begin` (one place a word) along arcs from `source` to `target`, which lies `distance` places from the begin."""
+        total = np.full(self.places, -np.inf)
+        total[begin] = 0.0
+        order = np.argsort(distance * np.int64(self.places) + target, kind="stable")
+        source, target, weight = source[order], target[order], weight[order]
+        cuts = np.searchsorted(distance[order], np.arange(1, self.depth + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a == b:
+                continue
+            ends, terms = target[a:b], total[source[a:b]] + weight[a:b]
+            groups = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+            top = np.maximum.reduceat(terms, groups)
+            width = np.diff(np.concatenate([groups, [b - a]]))
+            total[ends[groups]] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, width)), groups))
+        return total
+
+    def forward(self, weight: np.ndarray) -> np.ndarray:
+        return self._sweep(self.first, self.start, self.stop, self.stop - self.first[self.word], weight)
+
+    def marginals(self, weight: np.ndarray) -> np.ndarray:
+        """Log weight of all segmentations of each word."""
+        return self.forward(weight)[self.last]
+
+    def expect(self, weight: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expected uses of each arc in `times` occurrences of its word."""
+        alpha = self.forward(weight)
+        beta = self._sweep(self.last, self.stop, self.start, self.last[self.word] - self.start, weight)
+        return times[self.word] * np.exp(alpha[self.start] + weight + beta[self.stop] - alpha[self.last][self.word])
+
+
+class Scorer:
+    """Weights of the pieces with what tasks need to apply them to batches of words."""
+
+    def __init__(self, trie: Trie, logs: dict[str, float]):
+        self.trie, self.logs = trie, logs
+        self.values = np.array([logs[p] for p in trie.pieces])
+        self.bytes = [logs[f"<0x{b:02X}>"] for b in range(256)]
+        self.plain: Lattice | None = None
+
+    def _spelled(self, lattices: Lattices) -> dict[int, float]:
+        chars = np.unique(-1 - lattices.piece[lattices.piece < 0]).tolist()
+        return {c: sum([self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")]) for c in chars}
+
+    def _long(self) -> Lattice:
+        if self.plain is None:
+            self.plain = Lattice(self.logs)
+        return self.plain
+
+    def marginals(self, words: list[str]) -> list[float]:
+        out = [0.0] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= ALONE_FROM]
+        if short:
+            lattices = Lattices(self.trie, [words[i] for i in short])
+            for i, log in zip(short, lattices.marginals(lattices.weights(self.values, self._spelled(lattices))).tolist()):
+                out[i] = log
+        for i, w in enumerate(words):
+            if len(w) > ALONE_FROM:
+                out[i] = self._long().marginal(w)
+            elif not w:
+                out[i] = self.logs[END]
+        return out
+
+    def expect(self, words: list[str], times: list[int], into: np.ndarray, rest: dict[str, float]) -> None:
+        """Adds expected piece counts of the words to `into`, by piece; those of byte pieces, long words and ends to `rest`, by name."""
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= ALONE_FROM]
+        if short:
+            lattices = Lattices(self.trie, [words[i] for i in short])
+            counts = lattices.expect(lattices.weights(self.values, self._spelled(lattices)), np.array([times[i] for i in short], float))
+            known = lattices.piece >= 0
+            into += np.bincount(lattices.piece[known], counts[known], len(into))
+            chars, back = np.unique(-1 - lattices.piece[~known], return_inverse=True)
+            for char, n in zip(chars.tolist(), np.bincount(back, counts[~known], len(chars)).tolist()):
+                for b in chr(char).encode("utf-8", "surrogatepass"):
+                    rest[f"<0x{b:02X}>"] = rest.get(f"<0x{b:02X}>", 0.0) + n
+        for w, n in zip(words, times):
+            if len(w) > ALONE_FROM:
+                self._long().expect(w, n, rest)
+            elif not w:
+                rest[END] = rest.get(END, 0.0) + n
+
+
 def _trains(doc: int | None, folds: int, held_out: int) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % folds != held_out
 
@@ -147,21 +312,21 @@ def count_words(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn(counts: DataFrame, logs: dict[str, float], prior: dict[str, float]) -> dict[str, float]:
+def learn(counts: DataFrame, trie: Trie, logs: dict[str, float], prior: dict[str, float]) -> dict[str, float]:
     """Natural log probabilities of the pieces after an expectation step from `logs` over all training words; at most one row a piece reaches the driver."""
-    shared = counts.sparkSession.sparkContext.broadcast(logs)
+    shared = counts.sparkSession.sparkContext.broadcast(Scorer(trie, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, expected = Lattice(shared.value), {}
+        scorer, rest = shared.value, {}
+        expected = np.zeros(len(scorer.values))
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word:
-                    lattice.expect(word, c, expected)
-                else:
-                    expected[END] = expected.get(END, 0.0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(expected), pa.string()), pa.array(list(expected.values()), pa.float64())], names=["piece", "n"])
+            scorer.expect(batch.column(0).to_pylist(), batch.column(1).to_pylist(), expected, rest)
+        used = np.flatnonzero(expected)
+        names, values = [scorer.trie.pieces[i] for i in used.tolist()] + list(rest), expected[used].tolist() + list(rest.values())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["piece", "n"])
 
     rows = counts.where("c > 0").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
     expected = dict(zip(rows["piece"].to_pylist(), rows["n"].to_pylist()))
     total = math.fsum(expected.values()) + PRIOR
     return {piece: math.log((expected.get(piece, 0.0) + PRIOR * math.exp(log)) / total) for piece, log in prior.items()}
@@ -187,15 +352,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = scratch.keep(count_words(plain, folds, held_out))
     train_tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     prior = logs = vocabulary(path)
+    trie = Trie(list(prior))
     for _ in range(STEPS):
-        logs = learn(counts, logs, prior)
-    shared_logs = spark.sparkContext.broadcast(logs)
+        logs = learn(counts, trie, logs, prior)
+    shared_logs = spark.sparkContext.broadcast(Scorer(trie, logs))
     floor = train_tokens + distinct + 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared_logs.value)
         for batch in batches:
-            scores = [lattice.marginal(w) / LN10 if w else lattice.logs[END] / LN10 for w in batch.column(0).to_pylist()]
+            scores = np.array(shared_logs.value.marginals(batch.column(0).to_pylist())) / LN10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["word", "c", "log"])
 
     weighed = scratch.keep(counts.mapInArrow(weigh, "word string, c long, log double"))
