@@ -1,32 +1,18 @@
-"""Intermediate tables in the shared checkpoint folder: they cut lineage and outlive lost executors."""
+"""Intermediate tables in the shared folder, and the size of the batches that Python workers get."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import Scratch, shared_dir  # noqa: F401
 
+#: Rows and bytes of one Arrow batch at most: whole texts are long, and a worker holds a few batches at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a local folder is made only where the setting is absent (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="slotgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
-
-class Scratch:
-    """Writes tables as Parquet below the shared folder and reads them back."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits for Arrow batches where they are higher; results do not depend on them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = spark.conf.get(key, None)
+        if found is None or not str(found).lstrip("-").isdigit() or not 0 < int(found) <= most:
+            spark.conf.set(key, str(most))
