@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 K = 5
 #: Queries in one broadcast block: BLOCK vectors of 64 terms are 4 MB.
 BLOCK = 8192
@@ -63,17 +65,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
 
     Both tables take part as integer weights (see `weights`). Queries go out in broadcast blocks of
     about `block` rows, dealt by a hash of the id, one pass over the candidates each; a task keeps k
-    rows a query, which a window then merges. A candidate with the query's id is left out, ties go to
+    rows a query, which a window then merges. A block's rows are written and its broadcast is dropped before the next
+    block, so the driver and the tasks hold one block, whatever the number of queries. A candidate with the query's id is left out, ties go to
     the smaller id, and a query with fewer candidates has fewer rows. Vectors that are null or hold
-    null or non-finite components, and rows with a null id, take no part. Repeated rows count as rows: repeated
-    queries share one result. Vectors of other lengths count as padded by zero. Empty tables give no rows.
+    null or non-finite components, and rows with a null id, take no part. Repeated rows count as rows: queries
+    that repeat an id share one result, that of the smallest vector under it, and no row of a query's id is its candidate. Vectors of other lengths count as padded by zero. Empty tables give no rows.
     """
     spark = vectors.sparkSession
 
     def plain(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), weights(F.col(vector_col)).alias("w")).where("id IS NOT NULL AND w IS NOT NULL")
 
-    candidates, asked = plain(vectors), plain(queries).dropDuplicates(["id"])
+    candidates, asked = plain(vectors), plain(queries).groupBy("id").agg(F.min("w").alias("w"))
+    scratch = Scratch(spark, "topk")
     n_blocks = -(-asked.count() // block)
     found = None
     for b in range(n_blocks):
@@ -112,6 +116,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
             )
 
         part = candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+        if n_blocks > 1:
+            part = scratch.keep(part)
+            shared.unpersist()
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
