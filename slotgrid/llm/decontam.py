@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, small_batches
+
 WINDOW = 10
 #: Characters of item text in one automaton; a larger benchmark is split into several, one pass each.
 SHARD_CHARS = 4_000_000
@@ -155,13 +157,13 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_chars: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in lists of about `shard_chars` characters, one list on the driver at a time."""
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_chars: int) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """How many lists come and a list of items of about `shard_chars` characters, one on the driver at a time."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard_chars))
     for shard in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == shard).toLocalIterator()]
+        yield n, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == shard).toLocalIterator()]
 
 
 def find_contamination(
@@ -176,11 +178,13 @@ def find_contamination(
     under one id count once; all columns of `docs` pass through (one named contamination is replaced). Empty tables give empty results.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,stop:bigint>>>"
     out = docs.drop("contamination").withColumn("contamination", F.lit(None).cast(kind))
     names = out.columns
     place = names.index(text_col)
-    for items in _shards(benchmark, item_col, item_text, shard_chars):
+    scratch = Scratch(spark, "decontam")
+    for n_shards, items in _shards(benchmark, item_col, item_text, shard_chars):
         shared = spark.sparkContext.broadcast(Automaton(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
@@ -198,6 +202,10 @@ def find_contamination(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], schema=batch.schema)
 
         out = out.mapInArrow(run, out.schema)
+        if n_shards > 1:
+            # one automaton lives at a time: its pass is written before the next one is built
+            out = scratch.keep(out)
+            shared.unpersist()
     return out
 
 
