@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components, relabel
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 BITS, SEGMENTS, DISTANCE = 64, 3, 4
 WIDTH = 4
 SEED = 42
+#: Distinct fingerprints beyond which two segments are used: balls of radius 2 cost 16 times the look-ups, but a look-up then finds
+#: 2,048 times fewer fingerprints, and those found by chance grow with the square of the table.
+TWO_SEGMENTS_FROM = 30_000_000
 #: Shingle hashes turned into bits at once.
-SLICE = 65_536
+SLICE = 16_384
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -45,6 +48,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int =
             fps = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, "id long, fp long")
 
@@ -91,7 +95,7 @@ def fingerprint_components(fps: DataFrame, scratch: Scratch, *, n_segments: int
     return connected_components(star.union(more), scratch)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_segments: int = SEGMENTS, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_segments: int | None = None, distance: int = DISTANCE) -> DataFrame:
     """(id_col, fingerprint as 16 hex digits, component_id): one row per row of `docs`.
 
     component_id is the smallest id reachable over links of at most `distance` differing bits, so equal
@@ -102,6 +106,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(with_fingerprints(docs, id_col, text_col))
     classes = scratch.keep(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    if n_segments is None:
+        n_segments = SEGMENTS if classes.count() <= TWO_SEGMENTS_FROM else 2
     found = fingerprint_components(classes.select("fp"), scratch, n_segments=n_segments, distance=distance)
     placed = relabel(classes, found, "fp")
     leads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
