@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gbdt import Forest, fit
+from .scratch import small_batches
 
 #: Most labelled rows the trees are fitted on: those of smallest hash of the id.
 TRAIN_ROWS = 20_000
@@ -83,6 +84,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     With no labels every score is 0.5. All columns pass through (one named quality_score is replaced); an empty table gives an empty one.
     """
     docs = docs.drop("quality_score")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, rows=rows, folds=folds))
     out = docs.withColumn("quality_score", F.lit(None).cast("struct<held_out:boolean,score:double,predicted:int>"))
     text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
