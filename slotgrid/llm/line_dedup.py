@@ -5,6 +5,8 @@ DataFrame functions only; one line of each component stays.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,24 @@ BANDS, ROWS = 7, 3
 #: the limit below 99 characters, one of 5 below 49. Chance pairs share more of these, so a band takes more minima.
 SHORT, SHORT_SHINGLE = 110, 5
 SHORT_BANDS, SHORT_ROWS = 13, 5
-#: Rounds of comparing each bucket with one of its lines; they save work and change no result.
-ROUNDS = 3
+#: Rounds of comparing each bucket with one of its lines; they save work and change no result. More follow while many pairs
+#: are still apart, for each line placed, and a round joins a twentieth of them or more.
+ROUNDS, MOST_ROUNDS = 3, 14
+APART = 0.25
+HEADS = 8
 #: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes.
 MARK = 32
 #: Lines of a bucket compared with all of it by one task; a larger bucket is dealt to several.
 SHARE = 500
+#: Places of a component beyond which it counts as hot.
+HOT = 1_000
 SIMILARITY = 0.8
+#: Cells (shingles x minima) of one block in `signatures`; the code made for a block must stay small enough to be compiled.
+BLOCK_CELLS = 84
+#: Most minima of one aggregate.
+MINIMA = 35
+#: Lowest bits of a band that tell its scheme.
+SCHEME_BITS = 2
 #: A table of candidate line ids of at most so many rows (8 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -38,24 +51,41 @@ def _shingles(code_points: str, shingle: int) -> str:
 
 
 def _seed(j: int, n: int) -> int:
-    """The j-th of n points spread evenly over the signed 64-bit numbers."""
-    return (j << 64) // n - (1 << 63)
+    """The j-th of n points spread evenly over the signed 32-bit numbers."""
+    return (j << 32) // n - (1 << 31)
 
 
-def signatures(lines: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """(line_id, band): one row per line and band, from `lines` (line_id, chars as UTF-32 bytes).
+def signatures(lines: DataFrame, bands: int, rows: int, shingle: int, scheme: int = 0) -> DataFrame:
+    """(line_id, band): one row per line and band, from `lines` (line_id, chars as UTF-32 bytes); the lowest `SCHEME_BITS` of a band are its scheme.
 
     The j-th minimum is that of hash XOR c_j for points c_j spread over the hash range: the shingle
     nearest to c_j in the XOR order. Any shingle of a union is equally likely to be it, so two lines
-    agree with a probability equal to their Jaccard similarity, and one hash a shingle serves all.
+    agree with a probability equal to their Jaccard similarity, and one hash a shingle serves all. Hashes of 32 bits make
+    the minima half as long; where two shingles share one, a pair too many is compared.
+    A row stands for a block of neighbouring shingles, whose least values are taken before any grouping; places past
+    the last shingle repeat it, which changes no minimum.
     """
     n = bands * rows
-    hashed = lines.select("line_id", "chars", F.explode(F.expr(_shingles("chars", shingle))).alias("at")).select(
-        "line_id", F.expr(f"xxhash64(substring(chars, at, {4 * shingle}))").alias("h")
-    )
-    minima = hashed.groupBy("line_id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_seed(j, n)))).alias(f"m{j}") for j in range(n)])
-    keys = [F.xxhash64(F.lit(i), *[f"m{i * rows + r}" for r in range(rows)]) for i in range(bands)]
-    return minima.select("line_id", F.explode(F.array(*keys)).alias("band"))
+    parts = -(-n // MINIMA)
+    own = -(-bands // parts)
+    wide = max(2, BLOCK_CELLS // (own * rows))
+    last = f"greatest(1, octet_length(chars) - {4 * (shingle - 1)} - 3)"
+    blocks = lines.select("line_id", "chars", F.expr(last).alias("last")).select("line_id", "chars", "last", F.explode(F.expr(f"sequence(1, last, {4 * wide})")).alias("at"))
+    hashed = blocks.select("line_id", *[F.expr(f"hash(substring(chars, least(at + {4 * i}, last), {4 * shingle}))").alias(f"h{i}") for i in range(wide)])
+    point, keys = {}, ["line_id"]
+    if parts > 1:
+        # many minima in one aggregate make code too long to be compiled, so a part of the bands is a group of its own
+        hashed, keys = hashed.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(parts)]))), ["line_id", "part"]
+    for j in range(own * rows):
+        point[j] = F.lit(_seed(j, n)).cast("int")
+        for k in range(1, parts):
+            point[j] = F.when(F.col("part") == k, F.lit(_seed(min(k * own * rows + j, n - 1), n)).cast("int")).otherwise(point[j])
+    least = hashed.select(*keys, *[F.least(*[F.col(f"h{i}").bitwiseXOR(c) for i in range(wide)]).alias(f"m{j}") for j, c in point.items()])
+    minima = least.groupBy(*keys).agg(*[F.min(f"m{j}").alias(f"m{j}") for j in point])
+    place = F.col("part") if parts > 1 else F.lit(0)
+    found = [F.when(place * own + i < bands, F.xxhash64(F.lit(shingle), place * own + i, *[f"m{i * rows + r}" for r in range(rows)])) for i in range(own)]
+    band = F.explode(F.array_compact(F.array(*found)))
+    return minima.select("line_id", band.alias("band")).select("line_id", F.expr(f"shiftleft(band, {SCHEME_BITS}) | {scheme}L").alias("band"))
 
 
 def _set(chars: str, shingle: int) -> str:
@@ -75,37 +105,55 @@ def marks(lines: DataFrame, shingle: int) -> DataFrame:
     """(line_id, mark): per line, `w0` and on hold for each bit whether an odd number of its distinct shingles falls on it; `n` counts them."""
     hashed = lines.select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", F.explode(F.expr(_set("chars", shingle))).alias("h"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1)).cast("int")
-    words = [F.bit_xor(F.when(word == i, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(F.lit(0))).alias(f"w{i}") for i in range(MARK)]
-    made = hashed.groupBy("line_id").agg(*words, F.count(F.lit(1)).alias("n"))
+    bits = hashed.groupBy("line_id", word.alias("word")).agg(F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits"), F.count(F.lit(1)).alias("n"))
+    words = [F.max(F.when(F.col("word") == i, F.col("bits"))) for i in range(MARK)]
+    made = bits.groupBy("line_id").agg(*[F.coalesce(w, F.lit(0)).alias(f"w{i}") for i, w in enumerate(words)], F.sum("n").alias("n"))
     return made.select("line_id", F.struct(*[f"w{i}" for i in range(MARK)], "n").alias("mark"))
 
 
 def may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """False only for lines that cannot reach the limit.
+    """False only for lines that cannot reach the limit; the sizes and a part of the marks settle most pairs.
 
     Shared shingles cancel out, so two marks differ in no more bits than the shingle sets differ in
     members, which at the limit is (1 - limit) / (1 + limit) of the sum of the sizes.
     """
-    apart = " + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(MARK))
-    return F.expr(f"{apart} <= {(1 - similarity) / (1 + similarity)}D * ({a}.n + {b}.n) + 1e-6D")
+    def apart(words: int) -> str:
+        return " + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(words))
+
+    sizes = f"least({a}.n, {b}.n) >= {similarity}D * greatest({a}.n, {b}.n) - 1e-6D"
+    most = f"{(1 - similarity) / (1 + similarity)}D * ({a}.n + {b}.n) + 1e-6D"
+    return F.expr(f"{sizes} AND {apart(MARK // 8)} <= {most} AND {apart(MARK)} <= {most}")
+
 
+@dataclass(frozen=True)
+class Scheme:
+    """How lines of `least` to `most` characters are compared: shingle size, bands and minima a band."""
 
-def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int, rows: int, shingle: int, similarity: float, least: int = 1, most: int | None = None) -> DataFrame:
-    """(node, component) of the lines of `least` to `most` characters that are linked to another line.
+    shingle: int
+    bands: int
+    rows: int
+    least: int = 1
+    most: int | None = None
 
-    In each of some rounds every band bucket compares its lines with one of them, another each round;
+
+def line_components(docs: DataFrame, text: str, scratch: Scratch, schemes: list[Scheme], similarity: float) -> DataFrame:
+    """(node, component) of the lines that some scheme links to another line.
+
+    In each of several rounds every band bucket compares its lines with one of them, another each round;
     what those stars join needs no further comparing. Then every pair of a bucket whose ends are still
     apart is compared as well, so no link between components is lost, and a group of near copies
     costs some stars, not a square. There a pair whose marks rule it out goes inside the join; the
     rest are read as whole lines.
     """
-    lines = (
-        docs.select(F.explode(F.split(text, "\n")).alias("line"))
-        .select(_normal(F.col("line")).alias("line"))
-        .where((F.char_length("line") >= least) & (F.lit(True) if most is None else F.char_length("line") <= most))
-        .select(F.xxhash64("line").alias("line_id"), "line")
-    )
-    bucketed = signatures(lines.select("line_id", F.encode("line", "UTF-32").alias("chars")), bands, rows, shingle)
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(_normal(F.col("line")).alias("line")).where("line <> ''").select(F.xxhash64("line").alias("line_id"), "line")
+    size = F.char_length("line")
+    bucketed = None
+    for k, s in enumerate(schemes):
+        own = lines.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)).select("line_id", F.encode("line", "UTF-32").alias("chars"))
+        rows = signatures(own, s.bands, s.rows, s.shingle, k)
+        bucketed = rows if bucketed is None else bucketed.union(rows)
+    # one shuffle serves the count of each band and the join with it
+    bucketed = bucketed.repartition("band")
     full = bucketed.groupBy("band").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y")).where("x <> y").select("band")
     members = scratch.keep(bucketed.join(full, "band"))
     ids = scratch.keep(members.select("line_id").distinct())
@@ -116,47 +164,73 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, *, bands: int,
         for end in "ab":
             pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col("line").alias(f"line_{end}")), end)
         pairs = pairs.withColumns({f"chars_{end}": F.encode(f"line_{end}", "UTF-32") for end in "ab"})
-        return pairs.where(similar("chars_a", "chars_b", shingle, similarity)).select("a", "b", "of_a", "of_b")
+        good = F.lit(False)
+        for k, s in enumerate(schemes):
+            good = F.when(F.col("scheme") == k, similar("chars_a", "chars_b", s.shingle, similarity)).otherwise(good)
+        return pairs.where(good).select("a", "b", "of_a", "of_b")
 
     placed = members.withColumn("component", F.col("line_id"))
     tried = None
 
     def step(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, bool]:
-        """Links the pairs (a, b, of_a, of_b) that are similar; the places with their new components, and whether any moved."""
-        found = scratch.keep(linked(pairs.select("a", "b", "of_a", "of_b")))
+        """Links the pairs (a, b, scheme, of_a, of_b) that are similar; the places with their new components, and whether any moved."""
+        found = scratch.keep(linked(pairs))
         if found.isEmpty():
             return placed, False
         moved = connected_components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch)
         return scratch.keep(relabel(placed.withColumnRenamed("component", "old"), moved, "old").drop("old")), True
 
-    for turn in range(ROUNDS):
-        head = F.min(F.struct(F.xxhash64(F.lit(turn), "line_id").alias("turn"), "line_id", "component")).alias("head")
+    def pairs_apart(placed: DataFrame) -> int:
+        """Pairs of lines in one bucket that are not joined yet, counted by components."""
+        cells = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        buckets = cells.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        return buckets.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0))).first()[0] // 2
+
+    few, before = None, None
+    pair = ["a", "b", "scheme"]
+    scheme = F.col("band").bitwiseAND(F.lit((1 << SCHEME_BITS) - 1)).cast("int")
+    for turn in range(MOST_ROUNDS):
+        if turn >= ROUNDS:
+            few = int(APART * placed.count()) if few is None else few
+            left = pairs_apart(placed)
+            if left <= few or (before is not None and left > 0.95 * before):
+                break
+            before = left
+        # in the later rounds several lines of a bucket are heads at once
+        several = range(turn * HEADS, (turn + 1) * HEADS) if turn >= ROUNDS else [turn]
+        each = [F.min(F.struct(F.xxhash64(F.lit(k), "line_id").alias("turn"), "line_id", "component")) for k in several]
         ends = F.min("component").alias("x"), F.max("component").alias("y")
-        heads = placed.groupBy("band").agg(head, *ends).where("x <> y").select("band", "head")
+        heads = placed.groupBy("band").agg(F.array(*each).alias("heads"), *ends).where("x <> y").select("band", F.explode("heads").alias("head"))
         pairs = placed.join(heads, "band").where("component <> head.component").select(
             F.least("line_id", "head.line_id").alias("a"),
             F.greatest("line_id", "head.line_id").alias("b"),
+            scheme.alias("scheme"),
             F.col("component").alias("of_a"),
             F.col("head.component").alias("of_b"),
-        ).dropDuplicates(["a", "b"])
-        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        ).dropDuplicates(pair)
+        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, pair, "left_anti"))
+        tried = pairs.select(*pair) if tried is None else tried.union(pairs.select(*pair))
         placed, more = step(pairs, placed)
         if not more:
             break
     ends = F.min("component").alias("x"), F.max("component").alias("y")
     split = placed.groupBy("band").agg(*ends, F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("x <> y").select("band", "shares")
-    apart = scratch.keep(placed.join(split, "band"))
-    few = texts.join(apart.select("line_id").distinct(), "line_id", "left_semi")
-    apart = scratch.keep(apart.join(marks(few, shingle), "line_id"))
-    left, right = (apart.select("band", "shares", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), F.col("mark").alias(f"mark_{n}")) for n in "ab")
+    apart = scratch.keep(placed.join(split, "band").withColumn("scheme", scheme))
+    marked = None
+    for k, s in enumerate(schemes):
+        few = texts.join(apart.where(F.col("scheme") == k).select("line_id").distinct(), "line_id", "left_semi")
+        made = marks(few, s.shingle).withColumn("scheme", F.lit(k))
+        marked = made if marked is None else marked.union(made)
+    apart = scratch.keep(apart.join(marked, ["line_id", "scheme"]))
+    left, right = (apart.select("band", "scheme", "shares", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), F.col("mark").alias(f"mark_{n}")) for n in "ab")
     left = left.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
-    right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares", "scheme")
     rest = left.join(right, ["band", "share"]).where("of_a <> of_b AND a < b").where(may_be_similar("mark_a", "mark_b", similarity))
     # A fixed number of partitions: the pairs are small rows, but each costs a comparison of two lines.
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.select("a", "b", "of_a", "of_b").repartition(wide, "a", "b").dropDuplicates(["a", "b"])
-    placed, _ = step(rest.join(tried, ["a", "b"], "left_anti"), placed)
+    rest = rest.select(*pair, "of_a", "of_b").repartition(wide, "a", "b").dropDuplicates(pair)
+    placed, _ = step(rest.join(tried, pair, "left_anti"), placed)
+    # A line that both schemes place has one component: its rows were relabelled together.
     return placed.where("line_id <> component").select(F.col("line_id").alias("node"), "component").distinct()
 
 
@@ -181,9 +255,8 @@ def dedup_lines(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).withColumn("text_hash", F.xxhash64("body"))
-    found = line_components(plain, "body", scratch, bands=bands, rows=rows, shingle=shingle, similarity=similarity, least=shingle)
-    short = line_components(plain, "body", scratch, bands=SHORT_BANDS, rows=SHORT_ROWS, shingle=SHORT_SHINGLE, similarity=similarity, most=max(SHORT, shingle))
-    found = connected_components(found.union(short).select(F.col("node").alias("a"), F.col("component").alias("b")), scratch)
+    schemes = [Scheme(shingle, bands, rows, least=shingle), Scheme(SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS, most=max(SHORT, shingle))]
+    found = line_components(plain, "body", scratch, schemes, similarity)
     places = (
         plain.select("doc", "text_hash", F.posexplode(F.split("body", "\n")).alias("at", "line"))
         .withColumn("line", _normal(F.col("line")))
@@ -193,12 +266,17 @@ def dedup_lines(
     places = scratch.keep(relabel(places, found, "line_id").select("doc", "text_hash", "at", "component"))
     place = F.struct("doc", "text_hash", "at")
     first = places.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    drops = (
-        places.join(first, "component")
-        .where(~place.eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"))
-        .agg(F.collect_set("at").alias("_drops"))
-    )
+    first = scratch.keep(first)
+    hot = first.where(F.col("n") > HOT)
+    # rows of components with many places meet their first place by broadcast, so that no task gets all of them
+    if 0 < hot.count() <= BROADCAST_IDS:
+        held = places.join(F.broadcast(hot), "component", "left")
+        known = held.where("first IS NOT NULL").select("doc", "text_hash", "at", "first")
+        others = held.where("first IS NULL").drop("n", "first").join(first.where(F.col("n") <= HOT), "component").select("doc", "text_hash", "at", "first")
+        met = known.union(others)
+    else:
+        met = places.join(first, "component")
+    drops = met.where(~place.eqNullSafe(F.col("first"))).groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("at").alias("_drops"))
     drops = scratch.keep(drops)
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_doc"]) & (F.xxhash64(docs[text_col]) == drops["_hash"]), "left")
     cut = F.split(docs[text_col], "\n")
