@@ -18,13 +18,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: Words in each of a worker's two generations of remembered ones, and characters of the longest one kept: the younger
 #: generation takes the place of the older when full, which bounds the memory and changes no result.
-REMEMBER, KEPT_CHARS = 200_000, 48
+REMEMBER, KEPT_CHARS = 60_000, 48
 #: Symbols of a word beyond which merging keeps its pairs in a heap.
 HEAP_FROM = 64
 #: Bytes of text coded at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 NONE = 1 << 30
 SPACE, LETTER, DIGIT, SIGN = range(4)
 #: What may follow an apostrophe that begins a word, and forms one with it.
@@ -102,13 +104,14 @@ class WordBpe:
         keys = np.array(list(self.pairs), np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_made = keys[order], np.array(list(self.pairs.values()), np.int64)[order]
-        #: Per beginning of a piece within a word: the longest piece it starts with, and its size.
-        self.starts: dict[str, tuple[int, int]] = {}
+        self.sizes = list(map(len, self.names))
+        #: Per beginning of a piece within a word: the longest piece it starts with.
+        self.starts: dict[str, int] = {}
         inner = {s: i for s, i in self.number.items() if not s.endswith(self.end)}
         for name in sorted(inner, key=len):
             for size in range(1, len(name) + 1):
                 if name[:size] not in self.starts:
-                    self.starts[name[:size]] = (inner[name[:size]], size) if name[:size] in inner else self.starts[name[: size - 1]]
+                    self.starts[name[:size]] = inner[name[:size]] if name[:size] in inner else self.starts[name[: size - 1]]
         self.final = {s.removesuffix(self.end): i for s, i in self.number.items() if s.endswith(self.end)}
         self.longest_final = max(map(len, self.final))
         makes = np.arange(first, self.size)
@@ -194,8 +197,8 @@ class WordBpe:
             found, stop = None, at + 1
             while stop < n and (next_found := starts.get(spelled[at:stop])) is not None:
                 found, stop = next_found, stop + 1
-            out.append(found[0])
-            at += found[1]
+            out.append(found)
+            at += self.sizes[found]
 
     def learn(self, words: list[str]) -> None:
         """Encodes new words together: one vectorised check of all adjacent pairs of all proposals."""
@@ -272,9 +275,11 @@ def _normal(text: str) -> str:
 def _kinds() -> np.ndarray:
     """The kind of each code point in the terms of the word pattern: white space, letter, number, or neither."""
     kinds = np.full(0x110000, SIGN, np.uint8)
-    every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
-    for pattern, kind in ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", DIGIT)):
-        kinds[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    for first, last in ((0, 0xD800), (0xE000, 0x110000)):
+        every = np.arange(first, last, dtype=np.uint32).tobytes().decode("utf-32-le")
+        for pattern, kind in ((r"\s+", SPACE), (r"\p{L}+", LETTER), (r"\p{N}+", DIGIT)):
+            for run in regex.finditer(pattern, every):
+                kinds[first + run.start() : first + run.end()] = kind
     kinds[0x1C:0x20] = SIGN
     return kinds
 
@@ -370,5 +375,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
     return plain.mapInArrow(run, schema)
