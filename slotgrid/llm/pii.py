@@ -44,7 +44,9 @@ def matches(text: Column, pattern: str) -> Column:
     Splitting at the pattern and extracting it give the pieces between and the matches; their lengths add up to the places.
     """
     both = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def length(x: Column) -> Column:
+        return F.char_length(x["piece"]) + F.coalesce(F.char_length(x["found"]), F.lit(0))
 
     def step(seen: Column, x: Column) -> Column:
         begin = seen["at"] + F.char_length(x["piece"])
@@ -52,7 +54,25 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.struct(begin.alias("start"), stop.alias("stop"), x["found"].alias("found"), F.right(x["piece"], F.lit(24)).alias("before"))
         return F.struct(stop.cast("long").alias("at"), F.when(x["found"].isNull(), seen["out"]).otherwise(F.concat(seen["out"], F.array(one).cast(SPAN))).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(both, start, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+    def spans(pieces: Column) -> Column:
+        """Slices of about the square root of the pieces: first where each begins, then the places within each, so no long array grows piece by piece."""
+        n = F.size(pieces)
+        wide = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<i:int,at:bigint>>").alias("out"))
+
+        def begin(seen: Column, i: Column) -> Column:
+            total = F.aggregate(F.slice(pieces, i + 1, wide), F.lit(0), lambda t, x: t + length(x))
+            one = F.array(F.struct(i.alias("i"), seen["at"].alias("at")).cast("struct<i:int,at:bigint>"))
+            return F.struct((seen["at"] + total).alias("at"), F.concat(seen["out"], one).alias("out"))
+
+        def within(s: Column) -> Column:
+            start = F.struct(s["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+            return F.aggregate(F.slice(pieces, s["i"] + 1, wide), start, step, lambda t: t["out"])
+
+        return F.flatten(F.transform(F.aggregate(F.sequence(F.lit(0), n - 1, wide), zero, begin, lambda s: s["out"]), within))
+
+    # the outer lambda cuts the text once
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.transform(F.array(both), spans)[0]).otherwise(F.array().cast(SPAN))
 
 
 def _digits(x: Column) -> Column:
