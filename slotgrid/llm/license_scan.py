@@ -37,12 +37,17 @@ TEMPLATES = {
 }
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(WORD, text.lower())))
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
 
 
 def _phrase(phrase: str) -> str:
@@ -69,8 +74,8 @@ def places(text: Column, phrase: str) -> Column:
     # plain substring tests first: most texts lack a word of the phrase and never meet the pattern
     may = F.lit(True)
     for part in sorted(set(parts), key=len, reverse=True):
-        may = may & F.contains(F.lower(text), F.lit(part))
-    return F.when(may & F.regexp_like(F.lower(text), F.lit(_phrase(phrase))), F.transform(F.array(words(text)), found)[0]).otherwise(F.array().cast("array<int>"))
+        may = may & F.contains(lowered(text), F.lit(part))
+    return F.when(may & F.regexp_like(lowered(text), F.lit(_phrase(phrase))), F.transform(F.array(words(text)), found)[0]).otherwise(F.array().cast("array<int>"))
 
 
 def frequencies(docs: DataFrame, text: str, tokens: list[str]) -> dict[str, int]:
@@ -86,7 +91,7 @@ def window_matches(docs: DataFrame, text: str, keys: list[str], sets: dict[str,
     A window has the template's number of words over the limit, so it has room for marks between wrapped lines. Only texts with
     a prefix token, and enough of a template's words anywhere, have their windows counted; each starts at a word of the template.
     """
-    held = docs.where(F.regexp_like(F.lower(F.col(text)), prefix)).select(*keys, words(F.col(text)).alias("w"))
+    held = docs.where(F.regexp_like(lowered(F.col(text)), prefix)).select(*keys, words(F.col(text)).alias("w"))
 
     def best(label: str, template: list[str]) -> Column:
         size = math.ceil(len(re.findall(WORD, TEMPLATES[label])) / containment)
@@ -114,9 +119,10 @@ def window_matches(docs: DataFrame, text: str, keys: list[str], sets: dict[str,
 def template_matches(docs: DataFrame, text: str, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
     """(keys, label, containment): the best containment of each template in a line or a window of words of a document, where it reaches the limit.
 
-    Tokens are ordered by their frequency over all documents, rarest first. A line that holds a share
-    t of a template's n words holds one of its first n - ceil(t n) + 1; only lines with such a token are joined.
-    A line too short, or whose first shared token stands too late to leave enough after it, is dropped before the exact count.
+    Tokens are ordered by their frequency over all documents, rarest first. A line that shares k = ceil(t n) of a template's
+    n words has one of the template's first n - k + 1, and its own tokens that any template knows are in the same order:
+    the shared token that comes first leaves k or more from it on in both. So a line joins by the prefix of each template,
+    is dropped if it is too short or the token stands too late on either side, and only then is counted exactly.
     """
     sets = {label: template_words(body) for label, body in TEMPLATES.items()}
     seen = frequencies(docs, text, sorted({w for ws in sets.values() for w in ws}))
@@ -129,11 +135,12 @@ def template_matches(docs: DataFrame, text: str, keys: list[str], containment: f
     index = spark.createDataFrame(rows, "token string, at int, label string, template array<string>, need int")
     prefix = sorted({r[0] for r in rows})
     any_prefix = _phrase("|".join(prefix)).replace("|".join(prefix), "(?:" + "|".join(prefix) + ")")
-    lines = docs.select(*keys, F.explode(F.filter(F.split(F.lower(F.col(text)), "\n"), lambda s: F.regexp_like(s, F.lit(any_prefix)))).alias("line"))
-    bags = lines.select(*keys, F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("bag"))
-    tokens = bags.select(*keys, "bag", F.explode(F.array_intersect("bag", F.array(*[F.lit(t) for t in prefix]))).alias("token"))
+    lines = docs.select(*keys, F.explode(F.filter(F.split(lowered(F.col(text)), "\n"), lambda s: F.regexp_like(s, F.lit(any_prefix)))).alias("line"))
+    order = sorted(seen, key=lambda w: (seen[w], w))
+    bags = lines.select(*keys, F.array_intersect(F.array(*[F.lit(t) for t in order]), F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("bag"))
+    tokens = bags.select(*keys, "bag", F.posexplode("bag").alias("place", "token"))
     # the index is made from the fixed templates, a few hundred short rows
-    near = tokens.join(F.broadcast(index), "token").where("size(bag) >= need AND size(template) - at >= need")
+    near = tokens.join(F.broadcast(index), "token").where("size(bag) - place >= need AND size(template) - at >= need")
     share = F.size(F.array_intersect("bag", "template"))
     full = near.withColumn("share", share).where("share >= need").withColumn("containment", F.col("share") / F.size("template"))
     full = full.select(*keys, "label", "containment").union(window_matches(docs, text, keys, sets, F.lit(any_prefix), containment))
