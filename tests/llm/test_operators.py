@@ -411,3 +411,75 @@ def test_bpe_pair_check_equals_merging():
     good = coder.compatible(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
     assert good.tolist() == [coder.merge(spelled(a) + spelled(b)) == [a, b] for a, b in pairs]
     assert 0 < good.sum() < len(pairs)
+
+
+def test_lattices_equal_the_plain_recursion():
+    """Many words at once give the marginals and expected counts of one word at a time, odd characters and long words too."""
+    import public_tokenizers
+
+    logs = lm.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    scorer, plain, rng = lm.Scorer(lm.Trie(list(logs)), logs), lm.Lattice(logs), random.Random(4)
+    words = ["", "a", "é😀中", "x" * 200, "\x01", "the", "the"] + ["".join(rng.choices("abcdeé中#", k=rng.randint(1, 30))) for _ in range(300)]
+    for got, word in zip(scorer.marginals(words), words):
+        assert math.isclose(got, plain.marginal(word) if word else logs[lm.END], rel_tol=1e-12)
+    into, rest, want = np.zeros(len(scorer.values)), {}, {}
+    scorer.expect(words, list(range(1, len(words) + 1)), into, rest)
+    for n, word in enumerate(words, 1):
+        if word:
+            plain.expect(word, n, want)
+        else:
+            want[lm.END] = want.get(lm.END, 0.0) + n
+    for i in np.flatnonzero(into).tolist():
+        rest[scorer.trie.pieces[i]] = rest.get(scorer.trie.pieces[i], 0.0) + into[i]
+    assert rest.keys() == {k for k, v in want.items() if v} | rest.keys() and all(math.isclose(rest.get(k, 0.0), v, rel_tol=1e-9, abs_tol=1e-12) for k, v in want.items())
+
+
+def test_pii_many_matches_end_soon(spark):
+    text = " ".join(f"user{i}@mail.example.org" for i in range(20_000))
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.joined(F.col("base"))).first()[0]
+    assert found == plain_pii(text)
+
+
+def test_quality_on_held_out_rows(spark, sf):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    truth = dict(rows(labels.select("doc_id", "quality")))
+    held = [(r[1], truth[r[0]]) for r in rows(quality.score_documents(docs, labels).where("quality_score.held_out").select("doc_id", "quality_score.score")) if truth.get(r[0]) in (0, 1)]
+    good, bad = ([s for s, y in held if y == k] for k in (1, 0))
+    assert good and bad
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.95
+
+
+def test_html_gold_texts(spark):
+    """Whole pages with nested boxes, an article's own header, names that only sound like boilerplate, and deep nesting."""
+    page = (
+        "<html><head><title>T</title><style>p{}</style></head><body><header class='site-header'><a href='/'>Site</a></header><nav>Menu</nav>"
+        "<article class='post-12'><header><h1>Own &lt;head&gt;</h1></header><div class='share-price'><p>The price of a share is 5&nbsp;&euro; today.</p></div>"
+        "<p>Second   block\n of text.</p><div class='related-links'>Read more</div><form>Your mail</form></article><aside>Side</aside><div class='comments'>Nice!</div><footer>Foot</footer></body></html>"
+    )
+    want = "Own <head>\nThe price of a share is 5 € today.\nSecond block of text."
+    deep = "<div>x" * 20_000
+    df = spark.createDataFrame([(1, "http://a.org/1", page), (2, "http://a.org/2", page), (3, "http://b.org/1", deep), (4, None, None)], "page_id long, url string, html string").withColumn("path", F.lit("clash")).withColumn("host", F.lit("clash"))
+    got = {r[0]: r[2] for r in rows(html_extract.extract_pages(df))}
+    assert got[1] == got[2] == want and got[3].count("x") == 20_000 and got[4] == ""
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_top_k_of_repeated_ids_and_long_vectors(spark):
+    data = [(0, [1.0] * 300), (0, [0.5] * 300), (1, [1.0] * 300), (2, [1.0]), (3, [2.0] * 5)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1))
+    got = sorted(rows(topk.top_k(df, df.where("vec_id = 0"), k=3, block=1)))
+    assert got == [(0, 1, 1, 300 * 128 * 256), (0, 2, 3, 5 * 128 * 512), (0, 3, 2, 128 * 256)]
+
+
+def test_line_dedup_of_a_large_group_and_hot_buckets(spark, monkeypatch):
+    """Near copies in chains, in buckets dealt to several tasks and with candidate ids joined by shuffle, leave one line."""
+    monkeypatch.setattr(line_dedup, "SHARE", 7)
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", 10)
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdefghijklmnop ", k=260))
+    near = [base[:k] + "#" + base[k + 1 :] for k in range(5, 250, 4)]
+    other = ["".join(rng.choices("abcdefghijklmnop ", k=200)).strip() for _ in range(30)]
+    df = spark.createDataFrame([(i, "\n".join([line, other[i % 30]])) for i, line in enumerate([base] * 40 + near)], "doc_id long, text string")
+    out = rows(line_dedup.dedup_lines(df).select("doc_id", "text"))
+    left = [x for _, t in out for x in t.split("\n") if x]
+    assert sorted(left) == sorted([base, *other])
