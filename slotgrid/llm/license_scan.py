@@ -38,8 +38,9 @@ TEMPLATES = {
 
 
 def lowered(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case, all else as it is; a text of ASCII alone takes the cheaper way."""
+    letters = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(letters)
 
 
 def template_words(text: str) -> list[str]:
