@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .separation import distance_km, widest_separation  # noqa: F401
+
 
 def month_cells(df: DataFrame, entity: str, day: str, value: str) -> DataFrame:
     """(entity, year, month): days present, total, days expected by the calendar, coverage."""
@@ -29,6 +31,14 @@ def panel(cells: DataFrame, cutoff: float, years: list[int]) -> DataFrame:
     return good.groupBy("month", "entity").agg(F.count_distinct("year").alias("n")).where(F.col("n") == len(years)).select("month", "entity")
 
 
+def all_months(cells: DataFrame, cutoffs: list[float], years: list[int]) -> DataFrame:
+    """(cutoff, entity): entities that reach the cutoff in every month of every one of `years`; one pass serves all cutoffs."""
+    counts = [F.count_if(F.col("coverage") >= c).alias(f"_{i}") for i, c in enumerate(cutoffs)]
+    held = cells.where(F.col("year").isin(years)).groupBy("entity").agg(*counts)
+    each = F.explode(F.array(*[F.when(F.col(f"_{i}") == 12 * len(years), F.lit(c)) for i, c in enumerate(cutoffs)])).alias("cutoff")
+    return held.select(each, "entity").where("cutoff IS NOT NULL")
+
+
 def panel_means(cells: DataFrame, fixed: DataFrame, years: list[int]) -> DataFrame:
     """(year, month): entities of the panel and their mean daily total, each with equal weight."""
     rows = cells.where(F.col("year").isin(years)).join(fixed, ["month", "entity"], "left_semi")
@@ -100,20 +110,6 @@ def extremes(means: DataFrame, by: list[str], order: str, value: str) -> DataFra
     return out.select(*by, F.col("low.o").alias(f"low_{order}"), F.col("low.v").alias("low"), F.col("high.o").alias(f"high_{order}"), (-F.col("high.v")).alias("high"))
 
 
-def distance_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
-    """Great-circle distance on a sphere of 6371.0088 km."""
-    a = F.sin(F.radians(lat_b - lat_a) / 2) ** 2 + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.sin(F.radians(lon_b - lon_a) / 2) ** 2
-    return 2 * 6371.0088 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
-def widest_separation(places: DataFrame, entity: str, lat: str, lon: str) -> DataFrame:
-    """(entity, places, km): distinct coordinates of each entity and the largest distance between two; pairs arise within an entity's few distinct places alone."""
-    each = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(entity, lat, lon).distinct()
-    a, b = each.select(entity, F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a")), each.select(entity, F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b"))
-    far = a.join(b, entity).groupBy(entity).agg(F.max(distance_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).alias("km"))
-    return each.groupBy(entity).agg(F.count(F.lit(1)).alias("places")).join(far, entity)
-
-
 def period_gaps(cells: DataFrame) -> DataFrame:
     """(entity, year, next_year, gap_months): months from an entity's last cell of a year to its first of the next year it has; the last year has no row."""
     years = cells.groupBy("entity", "year").agg(F.min("month").alias("first"), F.max("month").alias("last"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
+
 
 def fit(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, cum_n, n): sorted distinct values with the rows at or below each, and the group's rows."""
@@ -16,14 +18,16 @@ def fit(df: DataFrame, group: str, value: str) -> DataFrame:
 def running(df: DataFrame, order: list[str], amount: str) -> DataFrame:
     """`df` with `running`, the sum of `amount` up to each row in `order`, over all rows.
 
-    Rows are ranged over partitions, each is summed apart, and a window over the few partition totals gives each its start,
-    so no task gets every row. Rows equal in `order` share a sum.
+    The rows are ranged over partitions and written once with the number of their range, so that every later reading sees the same ranges;
+    each range is summed apart, and a window over the few totals gives each its start. No task gets every row, and rows
+    equal in `order` lie in one range and share a sum.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_c", F.sum(amount).over(Window.partitionBy("_p").orderBy(*order)))
-    totals = own.groupBy("_p").agg(F.max("_c").alias("_t"))
-    starts = totals.withColumn("_b", F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).select("_p", "_b")
-    return own.join(F.broadcast(starts), "_p").withColumn("running", F.col("_c") + F.col("_b")).drop("_p", "_c", "_b")  # one row a partition
+    ranged = Scratch(df.sparkSession, "ranges").keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("_all"))
+    starts = totals.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_start"))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_range").orderBy(*order)), F.lit(0))
+    out = ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range")  # one row a range
+    return out.withColumn("running", F.col("_inside") + F.col("_start")).drop("_range", "_inside", "_start")
 
 
 def fit_all(df: DataFrame, value: str) -> DataFrame:
@@ -108,11 +112,11 @@ def shrink(groups: DataFrame, overall: DataFrame, prior: float) -> DataFrame:
     return groups.join(F.broadcast(share), "threshold").withColumn("p", (F.col("above") + prior * F.col("share")) / (F.col("n") + prior))
 
 
-def metrics(scores: DataFrame, clip: float = 1e-6) -> DataFrame:
-    """Per threshold: rows, base rate, mean p, Brier score and clipped log loss."""
+def metrics(scores: DataFrame, by: list[str], clip: float = 1e-6) -> DataFrame:
+    """Per group: rows, base rate, mean p, Brier score and clipped log loss."""
     p = F.least(F.greatest("p", F.lit(clip)), F.lit(1 - clip))
     loss = -(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p))
-    return scores.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("base_rate"), F.avg("p").alias("mean_p"), F.avg((F.col("p") - F.col("label")) ** 2).alias("brier"), F.avg(loss).alias("log_loss"))
+    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("base_rate"), F.avg("p").alias("mean_p"), F.avg((F.col("p") - F.col("label")) ** 2).alias("brier"), F.avg(loss).alias("log_loss"))
 
 
 def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -126,16 +130,6 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.groupBy("threshold").agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("observed"))) / F.sum("n")).alias("ece"))
 
 
-def binned_auc(scores: DataFrame, bins: int = 1000) -> DataFrame:
-    """Per threshold: ROC area by trapezoids over descending score bins; null where one class is absent."""
-    place = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
-    counted = scores.groupBy("threshold", place.alias("bin")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down = Window.partitionBy("threshold").orderBy(F.desc("bin"))
-    area = F.col("neg") * (F.sum("pos").over(down) - F.col("pos") / 2)
-    parts = counted.withColumn("area", area)
-    return parts.groupBy("threshold").agg(F.sum("area").alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("q")).select("threshold", F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("a") / (F.col("p") * F.col("q"))).alias("roc_auc"))
-
-
 def areas(scores: DataFrame, by: list[str], bins: int = 1000) -> DataFrame:
     """Per group: areas under the ROC and precision-recall curves by trapezoids over descending score bins; null where one class is absent.
 
@@ -174,13 +168,6 @@ def low_region(scores: DataFrame, by: list[str], limit: float = 0.05) -> DataFra
     return scores.where(F.col("p") <= limit).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("label").alias("observed"))
 
 
-def per_candidate(scores: DataFrame, by: list[str], clip: float = 1e-6) -> DataFrame:
-    """Per group: rows, Brier score and clipped log loss."""
-    p = F.least(F.greatest("p", F.lit(clip)), F.lit(1 - clip))
-    loss = -(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p))
-    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("label")) ** 2).alias("brier"), F.avg(loss).alias("log_loss"))
-
-
 def select_model(table: DataFrame, order: list[str], tolerance: float = 1e-5) -> DataFrame:
     """(model, mean_brier, place, chosen): thresholds weigh the same within a fold and folds the same; of the models within `tolerance` of the best the one first in `order` is chosen."""
     per_fold = table.groupBy("model", "protocol").agg(F.avg("brier").alias("b"))

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed values of the arithmetic row number.
+FACTORS, MODULUS = (7_919, 104_729, 611_953, 746_773), 1_000_003
+
+
+def any_null(keys: list[str]) -> Column:
+    """Whether some of the columns is null."""
+    return functools.reduce(operator.or_, [F.col(k).isNull() for k in keys])
+
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """One row: keys on the left only, on the right only, and joined."""
@@ -17,44 +30,44 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def audit_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: rows, null keys and duplicate keys of each side, matches, and whether a one-to-one join is safe."""
-    def side(df: DataFrame, name: str) -> DataFrame:
-        null = F.greatest(*[F.col(k).isNull().cast("int") for k in keys])
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("null_key", null).select(*keys, F.col("n").alias(f"n_{name}"), F.col("null_key").alias(f"null_{name}"))
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row; a union and an aggregate instead of a join without keys. Names must differ."""
+    names = [c for row in rows for c in row.columns]
+    wide = [row.select(*[F.col(c) if c in row.columns else F.lit(None).alias(c) for c in names]) for row in rows]
+    out = wide[0]
+    for other in wide[1:]:
+        out = out.union(other)
+    return out.agg(*[F.max(c).alias(c) for c in names])
 
-    both = side(left, "left").join(side(right, "right"), keys, "full_outer")
-    out = both.agg(
-        *[F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"{s}_rows") for s in ("left", "right")],
-        *[F.coalesce(F.sum((F.col(f"n_{s}") > 1).cast("long")), F.lit(0)).alias(f"{s}_duplicates") for s in ("left", "right")],
-        *[F.coalesce(F.sum(F.col(f"null_{s}").cast("long")), F.lit(0)).alias(f"{s}_null_keys") for s in ("left", "right")],
-        F.coalesce(F.sum((F.col("n_left").isNotNull() & F.col("n_right").isNotNull()).cast("long")), F.lit(0)).alias("matched_keys"),
-    )
-    bad = F.col("left_duplicates") + F.col("right_duplicates") + F.col("left_null_keys") + F.col("right_null_keys")
-    return out.withColumn("passed", (bad == 0).cast("long"))
 
+def hashed(columns: list[str], seed: int) -> Column:
+    """The 64-bit hash of some columns of a row."""
+    return F.xxhash64(*columns, F.lit(seed)) if seed else F.xxhash64(*columns)
 
-def compare_values(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row: keys whose values differ (nulls equal nulls) and the largest absolute difference."""
-    both = left.select(*keys, F.col(value).alias("_a")).join(right.select(*keys, F.col(value).alias("_b")), keys, "full_outer")
-    return both.agg(F.sum((~F.col("_a").eqNullSafe(F.col("_b"))).cast("long")).alias("unequal"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_difference"))
 
+def arithmetic(columns: list[str], seed: int) -> Column:
+    """A number below 1,000,003 from whole-number columns, by primes that other engines can multiply by as well; a null counts as -1."""
+    total = F.lit(seed).cast("long")
+    for factor, c in zip(itertools.cycle(FACTORS), columns):
+        total = F.pmod(total * 31 + F.pmod(F.coalesce(F.col(c).cast("long"), F.lit(-1)), F.lit(MODULUS)) * factor, F.lit(MODULUS))
+    return total
 
-def signature(df: DataFrame, by: list[str], columns: list[str], sums: int = 1) -> DataFrame:
-    """Row count and hash sums per group, each with a seed of its own; equal tables have equal signatures whatever their order."""
-    hashes = [F.sum(F.xxhash64(*columns, F.lit(k)).cast("decimal(38,0)")).alias(f"hash_sum_{k}" if k else "hash_sum") for k in range(sums)]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *hashes)
 
+def signature(df: DataFrame, by: list[str], columns: list[str], sums: int = 1, number: Callable[[list[str], int], Column] = hashed) -> DataFrame:
+    """Row count and sums of row numbers per group, each with a seed of its own; equal tables have equal signatures whatever their order."""
+    found = [F.sum(number(columns, k).cast("decimal(38,0)")).alias(f"hash_sum_{k}" if k else "hash_sum") for k in range(sums)]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *found)
 
-def column_signature(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(name, n, nulls, hash_sum) per column, hashed together with the keys, so that swapped values show; one pass."""
+
+def column_signature(df: DataFrame, keys: list[str], columns: list[str], number: Callable[[list[str], int], Column] = hashed) -> DataFrame:
+    """(name, n, nulls, hash_sum) per column, its number taken together with the keys, so that swapped values show; one pass."""
     row = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.xxhash64(*keys, c).cast("decimal(38,0)")).alias(f"h_{c}") for c in columns],
-        *[F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias(f"z_{c}") for c in columns],
+        *[F.sum(number([*keys, c], 0).cast("decimal(38,0)")).alias(f"h_{c}") for c in columns],
+        *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in columns],
     )
     each = F.array(*[F.struct(F.lit(c).alias("name"), F.col("_n").alias("n"), F.col(f"z_{c}").alias("nulls"), F.col(f"h_{c}").alias("hash_sum")) for c in columns])
-    return row.select(F.explode(each).alias("c")).select("c.*")
+    return row.select(F.inline(each))
 
 
 def lookup(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", limit: int = 1_000_000) -> DataFrame:
@@ -64,24 +77,29 @@ def lookup(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", l
 
 
 def compare_columns(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(name, compared, unequal, null_mismatch, max_difference, only_left, only_right) per numeric column; one full outer join serves all.
+    """(name, compared, unequal, null_mismatch, max_difference, only_left, only_right) per numeric column.
 
-    Nulls equal nulls; keys on one side alone are counted and not compared; null keys match nothing.
+    Keys are unique on each side. Both sides are stacked with a tag and meet in one exchange by key, where tag 1 is the left, 2 the right, and 3
+    their sum; a row with a null key meets nothing. Nulls equal nulls, and keys on one side alone are counted and not compared.
     """
-    a = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_l"))
-    b = right.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(1).alias("_r"))
-    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    def tagged(df: DataFrame, tag: int) -> DataFrame:
+        alone = F.when(any_null(keys), F.monotonically_increasing_id() * 2 + tag)
+        return df.select(*keys, alone.alias("_alone"), F.lit(tag).alias("_tag"), *columns)
 
-    def count(c: Column) -> Column:
-        return F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    def of(tag: int, c: str) -> Column:
+        return F.max(F.when(F.col("_tag") == tag, F.col(c)))
 
-    parts = [count(both).alias("compared"), count(F.col("_r").isNull()).alias("only_left"), count(F.col("_l").isNull()).alias("only_right")]
+    met = tagged(left, 1).unionByName(tagged(right, 2)).groupBy(*keys, "_alone").agg(F.sum("_tag").alias("_tags"), *[F.struct(of(1, c).alias("x"), of(2, c).alias("y")).alias(c) for c in columns])
+    each = []
     for c in columns:
-        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
-        parts += [count(both & ~x.eqNullSafe(y)).alias(f"u_{c}"), count(both & (x.isNull() != y.isNull())).alias(f"m_{c}"), F.max(F.when(both, F.abs(x - y))).cast("double").alias(f"d_{c}")]
-    row = a.join(b, keys, "full_outer").agg(*parts)
-    each = [F.struct(F.lit(c).alias("name"), "compared", F.col(f"u_{c}").alias("unequal"), F.col(f"m_{c}").alias("null_mismatch"), F.col(f"d_{c}").alias("max_difference"), "only_left", "only_right") for c in columns]
-    return row.select(F.explode(F.array(*each)).alias("c")).select("c.*")
+        x, y = F.col(c)["x"], F.col(c)["y"]
+        each.append(F.struct(F.lit(c).alias("name"), (~x.eqNullSafe(y)).alias("differ"), (x.isNull() != y.isNull()).alias("lost"), F.abs(x - y).cast("double").alias("gap")))
+    pairs = met.select("_tags", F.inline(F.array(*each)))
+    met_both = F.col("_tags") == 3
+    return pairs.groupBy("name").agg(
+        F.count_if(met_both).alias("compared"), F.count_if(met_both & F.col("differ")).alias("unequal"), F.count_if(met_both & F.col("lost")).alias("null_mismatch"),
+        F.max(F.when(met_both, F.col("gap"))).alias("max_difference"), F.count_if(F.col("_tags") == 1).alias("only_left"), F.count_if(F.col("_tags") == 2).alias("only_right"),
+    )
 
 
 def unequal_examples(left: DataFrame, right: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
@@ -103,7 +121,7 @@ def guard_join(left: DataFrame, right: DataFrame, keys: list[str], *, require_al
     Both sides share one exchange: a union with flags, counted per key. Any null or repeated key fails, as does a key without
     a match on a side that requires all. Rates are null for a side without keys.
     """
-    null = F.greatest(*[F.col(k).isNull().cast("int") for k in keys]) == 1
+    null = any_null(keys)
     sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
     per_key = sides.groupBy(*keys).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -27,9 +27,11 @@ def preprocessor(category: str, numbers: list[str]) -> list:
 
 
 def classifiers(seed: int = 7) -> dict:
+    """Candidates by name: a logistic regression, a tree, and a forest of trees on drawn rows, each trying a third of the features at a node."""
     return {
         "logistic": LogisticRegression(featuresCol="features", labelCol="label", maxIter=20, regParam=0.01),
         "tree": DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=4, minInstancesPerNode=20, seed=seed),
+        "forest": RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=40, maxDepth=6, minInstancesPerNode=20, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed),
     }
 
 

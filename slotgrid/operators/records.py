@@ -33,19 +33,23 @@ def decimal_shape(text: Column) -> dict[str, Column]:
     """scale, integer_digits and exponent (int) of a number as written, and `fits`: whether decimal(38,18) holds it without loss.
 
     Trailing zeros of the fraction and leading zeros of the integer part do not count; the exponent moves the point.
-    All are null for a text that is no finite number.
+    All are null for a text that is no finite number. An exponent that an int does not hold leaves the three counts null, and nothing fits.
     """
     number = r"^\s*[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\s*$"
     is_number = F.regexp_like(text, F.lit(number)) & F.regexp_like(text, F.lit("[0-9]"))
     whole, part = F.regexp_extract(text, number, 1), F.regexp_extract(text, number, 2)
-    exponent = F.coalesce(F.regexp_extract(text, number, 3).try_cast("int"), F.lit(0))
+    written = F.regexp_extract(text, number, 3)
+    exponent = F.when(written == "", 0).otherwise(written.try_cast("int"))
     digits = F.concat(whole, part)
     significant = F.length(F.regexp_replace(digits, "^0+", ""))
     trailing = F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))
     zero = significant == 0
-    scale = F.when(zero, 0).otherwise(F.greatest(F.length(part) - exponent - trailing, F.lit(0)))
-    integer_digits = F.when(zero, 0).otherwise(F.greatest(significant - F.length(part) + exponent, F.lit(0)))
-    out = {"scale": scale, "integer_digits": integer_digits, "exponent": exponent, "fits": (scale <= 18) & (integer_digits <= 20)}
+    # in longs: an int exponent near its limits would overflow; greatest() skips nulls, so an unknown exponent is kept apart
+    moved = exponent.cast("long")
+    scale = F.when(zero, 0).otherwise(F.greatest(F.length(part) - moved - trailing, F.lit(0)))
+    integer_digits = F.when(zero, 0).otherwise(F.greatest(significant - F.length(part) + moved, F.lit(0)))
+    scale, integer_digits = (F.when(exponent.isNotNull(), F.least(c, F.lit(2**31 - 1))).cast("int") for c in (scale, integer_digits))
+    out = {"scale": scale, "integer_digits": integer_digits, "exponent": exponent, "fits": F.coalesce((scale <= 18) & (integer_digits <= 20), F.lit(False))}
     return {name: F.when(is_number, c) for name, c in out.items()}
 
 

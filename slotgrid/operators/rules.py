@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import count_where
-
-
 def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One row with `<rule>_rows` for each rule, in one pass."""
-    return df.agg(*[F.coalesce(count_where(c), F.lit(0)).alias(f"{name}_rows") for name, c in rules.items()])
+    return df.agg(*[F.count_if(c).alias(f"{name}_rows") for name, c in rules.items()])
 
 
 def reasons(rules: dict[str, Column]) -> Column:
@@ -19,6 +16,7 @@ def reasons(rules: dict[str, Column]) -> Column:
 
 
 def reason_counts(df: DataFrame, column: str) -> DataFrame:
+    """(reason, n): rows that violate each rule."""
     return df.select(F.explode(column).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 

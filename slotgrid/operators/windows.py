@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import GridSpec
@@ -28,10 +28,19 @@ def targets(grid: DataFrame, spec: GridSpec) -> DataFrame:
 
 
 def missing_offsets(grid: DataFrame, spec: GridSpec, first: int, last: int) -> Column:
-    """Offsets in seconds of the slots from `first` to `last` that are absent or null."""
-    seen = F.collect_set(F.when(F.col(spec.value).isNotNull(), F.col(spec.epoch))).over(spec.span(first, last))
-    wanted = F.sequence(F.col(spec.epoch) + first * spec.step, F.col(spec.epoch) + last * spec.step, F.lit(spec.step).cast("long"))
-    return F.transform(F.array_except(wanted, seen), lambda t: t - F.col(spec.epoch))
+    """Offsets in seconds, ascending, of the slots from `first` to `last` that are absent or null; frames of more than 64 slots are refused.
+
+    The slots seen are bits of one number: slot k sets bit k modulo 64, and no two slots of a frame share one. Only a row whose number lacks a bit is spelled out.
+    """
+    if last - first >= 64:
+        raise ValueError("a frame of missing offsets has 64 slots at most")
+    turn = F.floor(F.col(spec.epoch) / spec.step)
+    bit = F.when(F.col(spec.value).isNotNull(), F.expr(f"shiftleft(1L, CAST(pmod(floor({spec.epoch} / {spec.step}), 64) AS INT))"))
+    frame = spec.span(first, last)
+    seen, n = F.coalesce(F.bit_or(bit).over(frame), F.lit(0).cast("long")), F.count(spec.value).over(frame)
+    absent = F.filter(F.sequence(F.lit(first), F.lit(last)), lambda k: F.getbit(seen, F.pmod(turn + k, F.lit(64)).cast("int")) == 0)
+    spelled = F.transform(absent, lambda k: k.cast("long") * spec.step)
+    return F.when(n == last - first + 1, F.array().cast("array<bigint>")).otherwise(spelled)
 
 
 def lag_exact(spec: GridSpec, k: int) -> Column:
@@ -43,10 +52,10 @@ def features(grid: DataFrame, spec: GridSpec) -> DataFrame:
     """Past-only features over the last 2 slots, the 2 before them, and the full history.
 
     Sums, maximum, deviation and wet slots are null unless their frame is whole. Changes compare with the exact slot or block
-    before; the ratio of the short to the full sum is 0 where both are 0. A row of marks, 1 for a wet slot and 0 for a dry one
-    from the oldest on, gives runs and recency by what its end trims to: run_slots counts the wet slots up to now (run_censored:
-    the run fills the history), since_event_s the seconds since the last wet slot, null with no_event where there is none
-    (since_event_code is then the whole history). Nulls in a frame count as absent slots.
+    before; the ratio of the short to the full sum is 0 where both are 0. A stretch is a row of slots without a gap that are all wet or all dry; the
+    slot in which the current one began gives runs and recency: run_slots counts the wet slots up to now (run_censored: the run fills the history),
+    since_event_s the seconds since the last wet slot, null with no_event where there is none (since_event_code is then the whole
+    history). Nulls in a frame count as absent slots.
     """
     v = F.col(spec.value).cast("double")
     full = 1 - spec.history
@@ -57,14 +66,17 @@ def features(grid: DataFrame, spec: GridSpec) -> DataFrame:
     out = out.withColumn("lag_1", lag_exact(spec, 1).cast("double")).withColumn("change_1", v - F.col("lag_1"))
     out = out.withColumn("change_2", F.col("sum_2") - F.col("sum_before_2"))
     out = out.withColumn("ratio", F.when(F.col("sum_all") == 0, 0.0).otherwise(F.col("sum_2") / F.col("sum_all")))
-    out = out.withColumn("_marks", complete(spec, full, 0, F.collect_list(F.when(v > 0, "1").when(v.isNotNull(), "0"))))
-    marks = F.array_join("_marks", "")
-    run = F.length(marks) - F.length(F.rtrim(marks, F.lit("1")))
-    dry = F.length(marks) - F.length(F.rtrim(marks, F.lit("0")))
+    at, order = F.col(spec.epoch), spec.window()
+    wet = v > 0
+    goes_on = (at - F.lag(spec.epoch).over(order) == spec.step) & (wet == F.lag(wet).over(order))
+    began = F.last(F.when(~F.coalesce(goes_on, F.lit(False)), at), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    length = F.least(F.floor((at - began) / spec.step) + 1, F.lit(spec.history))
+    out = out.withColumn("_stretch", F.when(F.count(spec.value).over(spec.span(full, 0)) == spec.history, length))
+    run, dry = (F.when(F.col("_stretch").isNotNull(), F.when(c, F.col("_stretch")).otherwise(0)) for c in (wet, ~wet))
     since = F.when(dry < spec.history, dry * spec.step)
     out = out.withColumns({"run_slots": run.cast("long"), "since_event_s": since.cast("long"), "run_censored": (run == spec.history).cast("long")})
     out = out.withColumn("no_event", (dry == spec.history).cast("long"))
-    return out.withColumn("since_event_code", F.when(F.col("no_event") == 1, spec.history * spec.step).otherwise(F.col("since_event_s")).cast("long")).drop("_marks")
+    return out.withColumn("since_event_code", F.when(F.col("no_event") == 1, spec.history * spec.step).otherwise(F.col("since_event_s")).cast("long")).drop("_stretch")
 
 
 def over_buckets(grid: DataFrame, spec: GridSpec, slots: int, build: Callable[[DataFrame, GridSpec], DataFrame]) -> DataFrame:

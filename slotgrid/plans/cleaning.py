@@ -10,7 +10,8 @@ from ..grid import epoch_of
 from ..operators import collide, records, rules
 from ..queries import _events
 from ..registry import query
-from ..sources import tables
+from ..sources import observed, tables, text_files
+from ..sources.shared import Scratch
 
 NAMES = ["stamp", "updated", "station", "name", "lon", "lat", "value", "unit"]
 HEADER = ",".join(NAMES)
@@ -100,6 +101,35 @@ def io1_header_control(spark, sf):
     return tables.line_stats(raw_lines(spark, sf), HEADER, "line")
 
 
+RECORD_NAMES = ["id", "name", "value"]
+
+
+def _record_files(spark: SparkSession, sf: str) -> str:
+    """The events as text files with quoted commas, quoted line ends, doubled and broken quotes, headers in between and blank lines."""
+    k, event = F.col("event_id") % 100, F.col("event_id").cast("string")
+    name = F.when(k == 3, F.concat(F.lit('"x,'), event, F.lit('"'))).when(k == 20, '"two\nlines"').when(k == 60, '"broken').when(k == 80, '"say ""hi"""').otherwise(F.col("event_type"))
+    before = F.when(k == 40, ",".join(RECORD_NAMES) + "\n").when(k == 41, "  \n").otherwise("")
+    text = F.concat(before, F.concat_ws(",", event, name, F.col("value").cast("decimal(18,2)").cast("string")))
+    path = Scratch(spark, "records").path()
+    _events(spark, sf).repartitionByRange(6, "event_id").sortWithinPartitions("event_id").select(text.alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT event_id, CASE event_id % 100 WHEN 3 THEN 'x,' || event_id WHEN 20 THEN 'two' || chr(10) || 'lines' WHEN 60 THEN NULL WHEN 80 THEN 'say \"hi\"' ELSE event_type END AS name, CASE WHEN event_id % 100 <> 60 THEN CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS value, CAST(CASE WHEN event_id % 100 = 20 THEN 2 ELSE 1 END AS BIGINT) AS n_lines, CAST(event_id % 100 = 60 AS BIGINT) AS odd_quote FROM events")
+def io2_file_records(spark, sf):
+    """Records of written text files, some of which span lines; a record with a broken quote keeps its number and its flag alone."""
+    out = text_files.read_records(spark, _record_files(spark, sf), ",".join(RECORD_NAMES), RECORD_NAMES, Scratch(spark, "lines"))
+    good = ~F.col("odd_quote")
+    number = F.element_at(F.split("record", ","), 1).cast("long")
+    return out.select(number.alias("event_id"), F.when(good, F.col("row.name")).alias("name"), F.when(good, F.col("row.value")).alias("value"), "n_lines", F.col("odd_quote").cast("long").alias("odd_quote"))
+
+
+@query("SELECT count(*) + CAST(sum(CASE WHEN event_id % 100 IN (20, 40, 41) THEN 1 ELSE 0 END) AS BIGINT) AS lines, CAST(sum(CASE WHEN event_id % 100 = 40 THEN 1 ELSE 0 END) AS BIGINT) AS header_lines, CAST(sum(CASE WHEN event_id % 100 = 41 THEN 1 ELSE 0 END) AS BIGINT) AS blank_lines FROM events")
+def io1_file_lines(spark, sf):
+    """Lines, repeated headers and blank lines of written text files."""
+    return tables.line_stats(spark.read.text(_record_files(spark, sf)), ",".join(RECORD_NAMES))
+
+
 @query(f"WITH {PARSED} SELECT event_id, epoch, update_epoch, CASE WHEN isfinite(value_double) THEN round(value_double, 9) END AS value_double, round(CAST(CASE WHEN isfinite(value_double) THEN try_cast(value AS DECIMAL(38,18)) END AS DOUBLE), 9) AS value_exact FROM typed")
 def p8_typed(spark, sf):
     number = F.when(usable(F.col("value_double")), F.col("value_double"))
@@ -207,9 +237,29 @@ def a10_invariants(spark, sf):
     return good(spark, sf).agg(*[F.sum(c.cast("long")).alias(f"{n}_rows") for n, c in found.items()], F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {RESOLVED}, t AS (SELECT {', '.join(_SUMS)} FROM done) SELECT *, CAST(raw_rows = kept_rows + merged_rows + quarantined_rows AS BIGINT) AS rows_balance, CAST(abs(raw_amount - kept_amount - merged_amount - quarantined_amount) < 1e-6 AS BIGINT) AS amount_balance FROM t")
+def a11_written_ledger(spark, sf):
+    """The ledger of the observations and the refused ones, taken by the job that writes them."""
+    measures = collide.balance_measures(F.col("v").cast("decimal(28,6)"))
+    row = observed.write_observed(resolved(spark, sf), Scratch(spark, "ledger").path(), measures, ["disposition"])
+    out = collide.with_balance(row)
+    return out.withColumns({c: F.col(c).cast("double") for c in out.columns if c.endswith("_amount")})
+
+
+@query(f"""WITH {RESOLVED} SELECT count(*) AS n, CAST(sum(CASE WHEN slot % 300 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS off_grid_rows, CAST(sum(CASE WHEN done.v < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_rows,
+  CAST(sum(CASE WHEN year(make_timestamp((slot - 300) * 1000000)) <> year(make_timestamp(slot * 1000000)) THEN 1 ELSE 0 END) AS BIGINT) AS period_in_other_year_rows FROM good JOIN done USING (event_id) WHERE disposition IN ('unique', 'kept')""")
+def a10_written_invariants(spark, sf):
+    """Invariants of the kept observations, counted by the job that writes them in folders of months."""
+    slot = F.col("slot")
+    rows = resolved(spark, sf).where("disposition IN ('unique', 'kept')").withColumn("month", F.trunc(F.timestamp_seconds("slot"), "month"))
+    checks = {"off_grid": slot % STEP == 0, "negative": F.col("v") >= 0, "period_in_other_year": F.year(F.timestamp_seconds(slot - STEP)) == F.year(F.timestamp_seconds(slot))}
+    return observed.written_rows(rows, Scratch(spark, "kept").path(), ["month"], checks)
+
+
 @query(f"""WITH {ALIGNED}, w AS (SELECT station, epoch, coalesce(name, '') AS name, value_double AS v, CASE WHEN epoch % 300 = 299 THEN epoch + 1 ELSE epoch END AS moved FROM aligned WHERE len(why) = 0),
   k AS (SELECT station, moved, count(*) AS n, count(DISTINCT v) AS vs, count(DISTINCT name) AS ms, sum(CASE WHEN CAST(make_timestamp(epoch * 1000000) AS DATE) <> CAST(make_timestamp(moved * 1000000) AS DATE) THEN 1 ELSE 0 END) AS d FROM w GROUP BY 1, 2)
-  SELECT count(*) AS keys, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS collision_groups, CAST(sum(n - 1) AS BIGINT) AS excess_rows, CAST(sum(CASE WHEN n > 1 AND vs > 1 THEN 1 ELSE 0 END) AS BIGINT) AS value_conflicts,
+, b AS (SELECT count(*) AS crowded FROM (SELECT 1 FROM w GROUP BY station, epoch HAVING count(*) > 1))
+  SELECT count(*) AS keys, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS collision_groups, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) - (SELECT crowded FROM b) AS BIGINT) AS added_groups, CAST(sum(n - 1) AS BIGINT) AS excess_rows, CAST(sum(CASE WHEN n > 1 AND vs > 1 THEN 1 ELSE 0 END) AS BIGINT) AS value_conflicts,
   CAST(sum(CASE WHEN n > 1 AND ms > 1 THEN 1 ELSE 0 END) AS BIGINT) AS metadata_conflicts, CAST(sum(d) AS BIGINT) AS date_changes, CAST(sum(n) AS BIGINT) AS rows_keep_all, count(*) AS rows_keep_first, CAST(sum(CASE WHEN vs > 1 THEN 0 ELSE 1 END) AS BIGINT) AS rows_drop_conflicts FROM k""")
 def a33_align_whatif(spark, sf):
     kept, _ = records.split_valid(aligned(spark, sf), "why")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..grid import epoch_of
-from ..operators import joins
-from ..queries import DAY, FIVE, FIVE_KEYS, _anchors, _events, _grid, _keyed, _slots
+from ..operators import hash_tree, joins, windows
+from ..queries import DAY, FEATURES, FIVE, FIVE_KEYS, ROLE, SCORES, TARGETS, _anchors, _events, _grid, _keyed, _scores, _slots
 from ..registry import query
-from ..sources import tables
+from ..sources import buckets, tables
 from ..sources.shared import Scratch
 
 E = "CAST(floor(epoch(ts)) AS BIGINT)"
@@ -53,7 +53,7 @@ def io6_contract_read(spark, sf):
     rows = _rows(spark, sf)
     tables.write_partitioned(rows, f"{root}/events", ["day"])
     tables.write_small(rows.select("day").distinct(), f"{root}/days")
-    found = tables.read_tables(spark, root, {"events": CONTRACT, "days": T.StructType([T.StructField("day", T.IntegerType())])})
+    found = tables.read_tables(spark, root, {"events": CONTRACT, "days": T.StructType([T.StructField("day", T.IntegerType())])}, zone="UTC")
     first = found["events"].agg(F.lit("events").alias("name"), F.count(F.lit(1)).alias("n"), F.min("sec").alias("first"), F.max("sec").alias("last"))
     return first.unionByName(found["days"].agg(F.lit("days").alias("name"), F.count(F.lit(1)).alias("n"), F.min("day").cast("long").alias("first"), F.max("day").cast("long").alias("last")))
 
@@ -154,6 +154,36 @@ def j10_counted_join(spark, sf):
     return joins.counted_join(grid.select("entity", "slot"), grid.where("n = 1").select("entity", "slot"), ["entity", "slot"])
 
 
+JOINED = FEATURES + TARGETS.removeprefix(_slots(86_400))
+
+
+@query(f"WITH {JOINED} SELECT h.entity, h.slot, future_n, CAST(future_total AS DOUBLE) AS future_total, round(CASE WHEN n2 = 2 THEN s2 END, 4) AS sum_2, round(CASE WHEN n4 = 4 THEN s4 END, 4) AS sum_all FROM h JOIN a ON h.entity = a.entity AND h.slot = a.slot")
+def j10_bucketed_join(spark, sf):
+    """Anchors with their features, from two tables bucketed alike on disk; every row of both must be met once."""
+    grid = _grid(spark, sf, DAY)
+    anchors = windows.targets(grid, DAY).select("entity", "slot", "future_n", "future_total")
+    features = windows.features(grid, DAY).select("entity", "slot", "sum_2", "sum_all")
+    scratch, keys = Scratch(spark, "buckets"), ["entity", "slot"]
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = buckets.whole_join(*[buckets.write_bucketed(df, scratch.path(), keys, wide) for df in (anchors, features)], keys)
+    return out.select(*keys, "future_n", F.col("future_total").cast("double").alias("future_total"), F.round("sum_2", 4).alias("sum_2"), F.round("sum_all", 4).alias("sum_all"))
+
+
+CHANGED = f"{FIVE_KEYS}, b AS (SELECT event_id, entity, slot, CASE WHEN event_id % 1009 = 5 THEN v + 1 ELSE v END AS v FROM k WHERE event_id % 2003 <> 7)"
+
+
+@query(f"WITH {CHANGED} SELECT 'left' AS side, event_id, CAST(v AS DOUBLE) AS v FROM (FROM k EXCEPT ALL FROM b) UNION ALL SELECT 'right', event_id, CAST(v AS DOUBLE) FROM (FROM b EXCEPT ALL FROM k)")
+def u2_hash_tree(spark, sf):
+    """Rows of each of two written tables that the other lacks; trees of hashes tell which ranges of keys to read."""
+    rows = _keyed(spark, sf).select("event_id", "entity", "slot", "v")
+    other = rows.where("event_id % 2003 <> 7").withColumn("v", F.when(F.col("event_id") % 1009 == 5, F.col("v") + 1).otherwise(F.col("v")).cast("decimal(18,2)"))
+    scratch = Scratch(spark, "hashed")
+    paths = [scratch.path() for _ in range(2)]
+    for df, path in zip((rows, other), paths):
+        hash_tree.write_hashed(df, path, ["event_id"], 3, 1)
+    return hash_tree.differences(spark, *paths, 3, 1).select("side", "event_id", F.col("v").cast("double").alias("v"))
+
+
 @query(f"WITH {FIVE_KEYS}, b AS (SELECT event_id, entity, slot, CASE WHEN event_id % 50 = 0 THEN v + 1 ELSE v END AS v FROM k UNION ALL SELECT event_id, entity, slot, v FROM k WHERE event_id % 40 = 0) SELECT 'left' AS side, event_id, CAST(v AS DOUBLE) AS v FROM (FROM k EXCEPT ALL FROM b) UNION ALL SELECT 'right', event_id, CAST(v AS DOUBLE) FROM (FROM b EXCEPT ALL FROM k)")
 def u2_except_all(spark, sf):
     """Rows of each table that the other lacks, with multiplicity."""
@@ -177,6 +207,49 @@ def m9_column_signature(spark, sf):
     return joins.column_signature(_anchors(spark, sf), ["entity", "slot"], ["v", "future_total", "history_n", "role"])
 
 
+def _number(columns: list[str], seed: int) -> str:
+    """The SQL of `joins.arithmetic`."""
+    total = str(seed)
+    for factor, c in zip(joins.FACTORS, columns):
+        total = f"((({total}) * 31 + ((coalesce({c}, -1) % {joins.MODULUS} + {joins.MODULUS}) % {joins.MODULUS}) * {factor}) % {joins.MODULUS})"
+    return total
+
+
+WHOLE = TARGETS + f", w AS (SELECT entity, slot, CAST(v * 100 AS BIGINT) AS cents, CAST(future_total * 100 AS BIGINT) AS future_cents, {ROLE} AS role FROM a)"
+
+
+def _whole_numbers(spark, sf):
+    return _anchors(spark, sf).select("entity", "slot", (F.col("v") * 100).cast("long").alias("cents"), (F.col("future_total") * 100).cast("long").alias("future_cents"), "role")
+
+
+@query(f"WITH {WHOLE} SELECT role, count(*) AS n, CAST(sum({_number(['entity', 'slot', 'cents', 'future_cents'], 0)}) AS BIGINT) AS hash_sum, CAST(sum({_number(['entity', 'slot', 'cents', 'future_cents'], 1)}) AS BIGINT) AS hash_sum_1 FROM w GROUP BY 1")
+def m8_arithmetic_sums(spark, sf):
+    """Per role two sums of row numbers that any engine can form."""
+    out = joins.signature(_whole_numbers(spark, sf), ["role"], ["entity", "slot", "cents", "future_cents"], 2, joins.arithmetic)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("hash_sum", "hash_sum_1")})
+
+
+@query(f"WITH {WHOLE} " + " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, CAST(sum({_number(['entity', 'slot', c], 0)}) AS BIGINT) AS hash_sum FROM w" for c in ("cents", "future_cents")))
+def m9_arithmetic_columns(spark, sf):
+    out = joins.column_signature(_whole_numbers(spark, sf), ["entity", "slot"], ["cents", "future_cents"], joins.arithmetic)
+    return out.withColumn("hash_sum", F.col("hash_sum").cast("long"))
+
+
+@query(f"WITH {WHOLE} SELECT entity, slot FROM w ORDER BY {_number(['entity', 'slot'], 7)}, entity, slot LIMIT 20")
+def t7_arithmetic_pick(spark, sf):
+    """The 20 anchors of smallest row number: the pick is the feature."""
+    return _anchors(spark, sf).orderBy(joins.arithmetic(["entity", "slot"], 7), "entity", "slot").limit(20).select("entity", "slot")
+
+
+@query(f"WITH {SCORES} SELECT threshold, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, round(avg(p), 8) AS mean_p FROM z WHERE threshold IN (50, 200) GROUP BY 1")
+def io10_threshold_partitions(spark, sf):
+    """Scores in one folder a threshold, of which two are read again."""
+    path = Scratch(spark, "thresholds").path()
+    tables.write_partitioned(_scores(spark, sf), path, ["threshold"])
+    out = spark.read.parquet(path).where("threshold IN (50, 200)")
+    return out.groupBy(F.col("threshold").cast("double").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"), F.round(F.avg("p"), 8).alias("mean_p"))
+
+
 @query(f"WITH {_slots(300)}, s AS (SELECT min(slot) AS a FROM g) SELECT CAST(bool_or(n > 1) AS BIGINT) AS any_repeated, CAST(bool_or(v < 0) AS BIGINT) AS any_negative FROM g")
 def t4_existence(spark, sf):
     grid = _grid(spark, sf, FIVE)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..grid import epoch_of
-from ..operators import coverage
+from ..operators import coverage, quantiles, separation
 from ..queries import CELLS, FIVE, PANEL, YEARS, _cells, _events, _grid, _slots
 from ..registry import query
+from ..sources.shared import Scratch
 
 E = "CAST(floor(epoch(ts)) AS BIGINT)"
 LINES = "d AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS day, l_quantity AS q FROM lineitem)"
@@ -72,6 +73,11 @@ def a20_panel_support(spark, sf):
     return held.groupBy("cutoff", "month").agg(F.count(F.lit(1)).alias("entities"))
 
 
+@query(f"WITH {CELLS} SELECT CAST(cutoff AS DOUBLE) AS cutoff, entity FROM c, (VALUES (0.03), (0.05), (0.10)) AS t(cutoff) WHERE year BETWEEN 1996 AND 2000 AND coverage >= cutoff GROUP BY 1, 2 HAVING count(*) = 60")
+def a20_all_months(spark, sf):
+    return coverage.all_months(_cells(spark, sf), [0.03, 0.05, 0.10], YEARS)
+
+
 @query(f"WITH {PANEL} SELECT c.year, c.month, count(*) AS n, round(avg(total / days), 6) AS varying_mean, count(f.entity) AS fixed_n, round(avg(CASE WHEN f.entity IS NOT NULL THEN total / days END), 6) AS fixed_mean FROM c LEFT JOIN f ON c.month = f.month AND c.entity = f.entity WHERE c.year BETWEEN 1996 AND 2000 AND coverage >= 0.10 GROUP BY 1, 2")
 def a21_varying_panel(spark, sf):
     """Means of the varying panel beside those of the fixed one; membership is a window over an entity's own months."""
@@ -94,6 +100,25 @@ def a23_annual(spark, sf):
     return out.select("year", "entities", F.round("mean_total", 4).alias("mean_total"), "fixed_entities", F.round("fixed_mean", 4).alias("fixed_mean"))
 
 
+QUANTILES = [0.05, 0.5, 0.95, 0.99]
+
+
+@query("SELECT event_type, unnest(CAST([0.05, 0.5, 0.95, 0.99] AS DOUBLE[])) AS quantile, count(*) AS n, round(unnest(quantile_cont(value, [0.05, 0.5, 0.95, 0.99])), 6) AS value FROM events GROUP BY 1")
+def a3_selected_quantiles(spark, sf):
+    """Exact quantiles of few large groups by distributed selection."""
+    out = quantiles.exact(_events(spark, sf), ["event_type"], "value", QUANTILES, few=256)
+    return out.select("event_type", "quantile", "n", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_type, unnest(CAST([0.05, 0.5, 0.95, 0.99] AS DOUBLE[])) AS quantile, count(*) AS n, CAST(1 AS BIGINT) AS close FROM events GROUP BY 1")
+def a2_sketch_quantiles(spark, sf):
+    """Quantiles from sketches stored per day and merged afterwards, each with whether its measured rank is within a hundredth of what was asked."""
+    days = quantiles.sketches(_events(spark, sf).withColumn("day", F.to_date("ts")), ["event_type", "day"], "value")
+    found = quantiles.of_sketches(quantiles.merged(Scratch(spark, "sketches").keep(days), ["event_type"]), ["event_type"], QUANTILES)
+    errors = quantiles.rank_errors(_events(spark, sf), found, ["event_type"], "value")
+    return errors.select("event_type", "quantile", "n", (F.col("rank_error") <= 0.01).cast("long").alias("close"))
+
+
 @query(f"WITH {LINES}, s AS (SELECT entity, CAST(month(day) AS INTEGER) AS month, CAST(year(day) AS INTEGER) AS year, quantile_cont(CASE WHEN q > 20 THEN q END, 0.95) AS high, avg(CASE WHEN q > 20 THEN 1.0 ELSE 0.0 END) AS share FROM d GROUP BY 1, 2, 3), y AS (SELECT month, year, avg(high) AS high, avg(share) AS share FROM s GROUP BY 1, 2) SELECT month, round(avg(high), 6) AS intensity, count(high) AS intensity_years, round(avg(share), 6) AS frequency, count(share) AS frequency_years FROM y GROUP BY 1")
 def a24_freq_intensity(spark, sf):
     """How often and how much: quantiles per entity and month, averaged over entities, then over years."""
@@ -177,7 +202,7 @@ def j15_distance(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
         F.col("l_suppkey").alias("entity"), (1 + (F.col("l_suppkey") * 37 + F.col("l_linenumber")) % 60 / F.lit(100.0)).alias("lat"), (103 + (F.col("l_suppkey") * 11 + F.col("l_linenumber") * 7) % 90 / F.lit(100.0)).alias("lon")
     )
-    return coverage.widest_separation(rows, "entity", "lat", "lon").withColumn("km", F.round("km", 6))
+    return separation.widest_separation(rows, "entity", "lat", "lon").withColumn("km", F.round("km", 6))
 
 
 @query(f"WITH {CELLS}, y AS (SELECT entity, year, min(month) AS first, max(month) AS last FROM c WHERE coverage >= 0.10 GROUP BY 1, 2), n AS (SELECT *, lead(year) OVER w AS next_year, lead(first) OVER w AS next_first FROM y WINDOW w AS (PARTITION BY entity ORDER BY year)) SELECT entity, year, next_year, (next_year - year) * 12 + next_first - last AS gap_months FROM n WHERE next_year IS NOT NULL")

@@ -16,7 +16,7 @@ SELECTED = TABLE + f", pf AS (SELECT model, protocol, avg(brier) AS b FROM tb GR
 
 
 def _table(spark, sf):
-    return ecdf.per_candidate(candidates(spark, sf), ["model", "protocol", "threshold"])
+    return ecdf.metrics(candidates(spark, sf), ["model", "protocol", "threshold"])
 
 
 def _areas_sql(keys: str, source: str) -> str:
@@ -96,5 +96,5 @@ def e13_rollup(spark, sf):
     """Means over folds and thresholds; an unknown area takes no part."""
     keys = ["model", "protocol", "threshold"]
     scores = candidates(spark, sf)
-    cells = ecdf.per_candidate(scores, keys).join(ecdf.areas(scores.withColumn("p", F.round("p", 10)), keys), keys)
+    cells = ecdf.metrics(scores, keys).join(ecdf.areas(scores.withColumn("p", F.round("p", 10)), keys), keys)
     return cells.groupBy("model").agg(F.count(F.lit(1)).alias("cells"), *[F.round(F.avg(c), 6).alias(c) for c in ("brier", "log_loss", "roc_area", "pr_area")])

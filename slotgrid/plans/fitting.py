@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ecdf, folds, models, windows
+from ..operators import ecdf, folds, leaf_model, models, windows
 from ..queries import DAY, EVAL_END, THRESHOLDS, TRAIN_END, _grid
 from ..registry import query
 from ..sources.shared import Scratch
+from .scoring import _requests
 
 NUMBERS = ["sum_2", "sum_all", "max_all", "std_all", "ratio"]
 
@@ -32,14 +33,14 @@ def m11_prep(spark, sf):
 
 @query()
 def m12_classifiers(spark, sf):
-    """Two classifiers, saved, loaded and evaluated on the validation rows."""
+    """A regression, a tree and a forest, saved, loaded and evaluated on the validation rows."""
     rows = Scratch(spark, "anchors").keep(_rows(spark, sf))
     out = None
     for name, last in models.classifiers().items():
         model = models.fit_and_reload(spark, rows.where("role = 'TRAIN'"), [*models.preprocessor("weekday", NUMBERS), last], Scratch(spark, name).path())
         scored = models.probability(model.transform(rows.where("role = 'VALIDATION'"))).select(F.lit(name).alias("model"), "label", "p")
         out = scored if out is None else out.unionByName(scored)
-    return ecdf.per_candidate(out, ["model"])
+    return ecdf.metrics(out, ["model"]).select("model", "n", "brier", "log_loss")
 
 
 @query()
@@ -52,6 +53,17 @@ def m14_leaf_cdf(spark, sf):
     return ecdf.shrink(found, found.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("above").alias("above")), 50)
 
 
+@query()
+def m20_leaf_requests(spark, sf):
+    """Requests answered by a stored tree and the distribution of the leaf that their past falls in, or refused with a reason."""
+    anchors = Scratch(spark, "anchors").keep(windows.features(windows.targets(_grid(spark, sf, DAY), DAY), DAY))
+    train = anchors.withColumn("role", folds.fold_role(F.col("slot"), F.col("slot") + DAY.future * DAY.step, TRAIN_END, EVAL_END)).where("role = 'TRAIN' AND target_valid AND history_valid")
+    path = Scratch(spark, "leaf-model").path()
+    leaf_model.fit_and_save(train, NUMBERS, "future_total", DAY, path, prior=50)
+    model = leaf_model.load(spark, path, NUMBERS, DAY)
+    return model.answer(_requests(spark, sf), anchors).select("request_id", "reject_reason", F.round("p", 8).alias("p"))
+
+
 @query()
 def m21_importance(spark, sf):
     """Coefficients of the logistic model by feature."""

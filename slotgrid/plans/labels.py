@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import folds, windows
 from ..queries import DAY, EXPANDED, FEATURES, ROLE, TARGETS, THRESHOLDS, TRAIN_END, EVAL_END, _anchors, _grid, _over, _slots
 from ..registry import query
+from ..sources import periods
+from ..sources.shared import Scratch
 
 #: (name, end of training, end of evaluation): each fold trains on all before and is judged on the block after.
 FOLDS = [("fold1", 1_704_672_000, 1_705_276_800), ("fold2", TRAIN_END, EVAL_END), ("final", EVAL_END, 1_706_486_400)]
@@ -72,6 +74,26 @@ def p13_padded_period(spark, sf):
     return out.select("entity", "slot", "history_n", F.col("future_total").cast("double").alias("future_total"))
 
 
+@query(f"WITH {TARGETS} SELECT entity, slot, history_n, CAST(future_total AS DOUBLE) AS future_total FROM a WHERE slot >= {START} AND slot < {STOP}")
+def p13_pruned_period(spark, sf):
+    """The same from a table in folders of weeks: only the folders of the period and of what its windows see are read."""
+    path = Scratch(spark, "weeks").path()
+    periods.write_periods(_grid(spark, sf, DAY), path, "slot", "week")
+    out = periods.padded_period(spark, path, "week", DAY, START, STOP, windows.targets)
+    return out.select("entity", "slot", "history_n", F.col("future_total").cast("double").alias("future_total"))
+
+
+@query(f"WITH {_slots(86_400)} SELECT entity, slot, CAST(CASE WHEN slot >= {START} AND slot < {STOP} THEN v + 1 ELSE v END AS DOUBLE) AS v FROM g")
+def io8_rewritten_periods(spark, sf):
+    """A table in folders of days, of which a week is written again; the other folders keep their files."""
+    path = Scratch(spark, "days").path()
+    grid = _grid(spark, sf, DAY).select("entity", "slot", "v")
+    periods.write_periods(grid, path, "slot", "day")
+    again = periods.read_periods(spark, path, "day", START, STOP).drop(periods.PERIOD).withColumn("v", (F.col("v") + 1).cast("decimal(18,2)"))
+    periods.write_periods(Scratch(spark, "again").keep(again), path, "slot", "day", replace=True)
+    return spark.read.parquet(path).select("entity", "slot", F.col("v").cast("double").alias("v"))
+
+
 @query(f"WITH {ROLES} SELECT entity, slot, protocol, role FROM roles")
 def m5_roles(spark, sf):
     return folds.roles(windows.targets(_grid(spark, sf, DAY), DAY), "slot", DAY.future * DAY.step, FOLDS).select("entity", "slot", "protocol", "role")

@@ -9,6 +9,7 @@ from ..grid import epoch_of
 from ..operators import ecdf, folds, requests, windows
 from ..queries import CDF, DAY, LEVELS, THRESHOLDS, _anchors, _cdf, _events, _grid, _slots
 from ..registry import query
+from ..sources.shared import Scratch
 from .labels import FOLDS, ROLES
 
 PRIOR = 50
@@ -35,14 +36,15 @@ def _grouped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """(model, protocol, entity, slot, threshold, label, p) of all candidates and folds from one pass over the anchors."""
-    rows = _grouped(spark, sf)
+    """(model, protocol, entity, slot, threshold, label, p) of all candidates and folds, written once: fits, shares and what reads the scores start from stored rows."""
+    scratch = Scratch(spark, "candidates")
+    rows = scratch.keep(_grouped(spark, sf))
     keys = ["protocol", "model", "grp"]
     train = rows.where("role = 'TRAIN'").withColumn("key", F.struct(*keys))
-    found = ecdf.survival(ecdf.fit(train.select("key", F.col("future_total").alias("value")), "key", "value"), "key", "value", THRESHOLDS).select("key.*", "threshold", "n", "above")
+    found = scratch.keep(ecdf.survival(ecdf.fit(train.select("key", F.col("future_total").alias("value")), "key", "value"), "key", "value", THRESHOLDS).select("key.*", "threshold", "n", "above"))
     overall = found.where("model = 'frequency'").select("protocol", "threshold", (F.col("above") / F.col("n")).alias("share"))
     asked = folds.expand(rows.where("role = 'VALIDATION'"), "future_total", THRESHOLDS)
-    return ecdf.score(asked, found, overall, [*keys, "threshold"], ["protocol", "threshold"], "prior").select("model", "protocol", "entity", "slot", "threshold", "label", "p")
+    return scratch.keep(ecdf.score(asked, found, overall, [*keys, "threshold"], ["protocol", "threshold"], "prior").select("model", "protocol", "entity", "slot", "threshold", "label", "p"))
 
 
 @query(f"WITH {CANDIDATES} SELECT model, protocol, entity, slot, threshold, label, round(p, 8) AS p FROM sc")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.cyclic import clock_and_season
 from .functions.predicates import blank, usable
 from .grid import GridSpec, epoch_of, to_grid
 from .registry import QUERIES, ORACLE_SQL, query  # noqa: F401
-from .operators import clean, coverage, ecdf, folds, joins, rules, windows
+from .operators import clean, collide, coverage, ecdf, folds, joins, rules, windows
 from .sources import tables
+from .sources.shared import Scratch
 
 DAY = GridSpec(step=86_400, history=4, future=2)
 SIX_HOURS = GridSpec(step=21_600, history=4, future=2)
@@ -142,6 +144,13 @@ def a2_percentiles(spark, sf):
     return _events(spark, sf).agg(F.percentile_approx("value", [0.5, 0.95, 0.99], 10_000).alias("p"))
 
 
+@query("WITH k AS (SELECT user_id, ts, count(*) AS n, count(DISTINCT (event_type, value)) AS m FROM events GROUP BY 1, 2) SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS keys, CAST(sum(n - m) AS BIGINT) AS exact_copies FROM k")
+def a1_exact_copies(spark, sf):
+    """Rows, keys and rows that repeat another one in every field."""
+    out = clean.duplicate_profile(_events(spark, sf).drop("event_id"), ["user_id", "ts"], ["value"], F.lit(True))
+    return clean.duplicate_totals(out).select(F.col("rows").alias("n"), F.col("unique_keys").alias("keys"), "exact_copies")
+
+
 @query("SELECT event_type, hour(ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def a4_freq(spark, sf):
     return _events(spark, sf).groupBy("event_type", F.hour("ts").cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
@@ -157,6 +166,37 @@ def a6_dup_summary(spark, sf):
     return clean.duplicate_summary(clean.key_profile(_keyed(spark, sf), ["entity", "slot"], "v"))
 
 
+HOURS = f"r AS (SELECT user_id AS entity, {E} - {E} % 3600 AS slot, event_type AS name, CAST(floor(value / 25) AS INTEGER) AS v FROM events)"
+PROFILE = HOURS + ", q AS (SELECT entity, slot, count(*) AS n, count(DISTINCT (name, v)) AS distinct_rows, count(DISTINCT v) AS distinct_readings, CAST(sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS BIGINT) AS candidate_rows FROM r GROUP BY 1, 2)"
+
+
+def _hours(spark: SparkSession, sf: str) -> DataFrame:
+    """The events by hour with rough values, so that keys, readings and whole rows repeat."""
+    at = epoch_of(F.col("ts"))
+    return _events(spark, sf).select(F.col("user_id").alias("entity"), (at - at % 3_600).alias("slot"), F.col("event_type").alias("name"), F.floor(F.col("value") / 25).cast("int").alias("v"))
+
+
+@query(f"WITH {PROFILE} SELECT * FROM q")
+def a5_duplicate_profile(spark, sf):
+    return clean.duplicate_profile(_hours(spark, sf), ["entity", "slot"], ["v"], F.col("v") > 0)
+
+
+@query(f"WITH {PROFILE} SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS unique_keys, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared_keys, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS rows_on_shared_keys, CAST(sum(n - 1) AS BIGINT) AS excess_rows, CAST(sum(n - distinct_rows) AS BIGINT) AS exact_copies, CAST(sum(CASE WHEN distinct_readings > 1 THEN 1 ELSE 0 END) AS BIGINT) AS conflicting_keys, CAST(sum(CASE WHEN candidate_rows > 0 THEN 1 ELSE 0 END) AS BIGINT) AS candidate_keys FROM q")
+def a6_duplicate_totals(spark, sf):
+    return clean.duplicate_totals(clean.duplicate_profile(_hours(spark, sf), ["entity", "slot"], ["v"], F.col("v") > 0))
+
+
+@query(f"WITH {HOURS} SELECT entity, name, v, count(*) AS n, min(slot) AS first, max(slot) AS last FROM r GROUP BY 1, 2, 3")
+def a7_variant_history(spark, sf):
+    """Every variant of an entity's metadata with its rows and first and last epoch."""
+    return clean.variant_history(_hours(spark, sf), "entity", ["name", "v"], "slot")
+
+
+@query(f"WITH {HOURS} SELECT entity, count(*) AS n, min(slot) AS first, max(slot) AS last, count(DISTINCT name) AS name_variants, count(DISTINCT v) AS v_variants FROM r GROUP BY 1")
+def a7_variant_counts(spark, sf):
+    return clean.variant_counts(clean.variant_history(_hours(spark, sf), "entity", ["name", "v"], "slot"), "entity", ["name", "v"])
+
+
 @query("SELECT user_id, count(DISTINCT event_type) AS variants, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1")
 def a7_variants(spark, sf):
     return _events(spark, sf).groupBy("user_id").agg(F.count_distinct("event_type").alias("variants"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
@@ -165,14 +205,18 @@ def a7_variants(spark, sf):
 RESOLVED = f"{FIVE_KEYS}, d AS (SELECT *, row_number() OVER (PARTITION BY entity, slot ORDER BY event_id) AS rk, count(*) OVER (PARTITION BY entity, slot) AS n, min(v) OVER (PARTITION BY entity, slot) IS NOT DISTINCT FROM max(v) OVER (PARTITION BY entity, slot) AS same FROM k), f AS (SELECT event_id, v, CAST(rk AS INTEGER) AS collision_rank, CASE WHEN n = 1 THEN 'unique' WHEN NOT same THEN 'quarantined' WHEN rk = 1 THEN 'kept' ELSE 'merged' END AS disposition FROM d)"
 
 
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return collide.resolve(_keyed(spark, sf), ["entity", "slot"], "v", ["entity"], ["event_id"], "event_id")
+
+
 @query(f"WITH {RESOLVED} SELECT event_id, collision_rank, disposition FROM f")
 def w3_resolve_collisions(spark, sf):
-    return clean.resolve_collisions(_keyed(spark, sf), ["entity", "slot"], "v", ["event_id"]).select("event_id", "collision_rank", "disposition")
+    return _resolved(spark, sf).select("event_id", "collision_rank", "disposition")
 
 
 @query(f"WITH {RESOLVED} SELECT disposition, count(*) AS n, CAST(sum(v) AS DOUBLE) AS amount FROM f GROUP BY 1")
 def a12_amount_ledger(spark, sf):
-    out = clean.ledger(clean.resolve_collisions(_keyed(spark, sf), ["entity", "slot"], "v", ["event_id"]), "v")
+    out = clean.ledger(_resolved(spark, sf), "v")
     return out.withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -237,8 +281,14 @@ def w12_runs(spark, sf):
 
 @query(f"SELECT event_id, round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) AS sin_day, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) AS cos_day FROM events")
 def p17_cyclic(spark, sf):
-    angle = 2 * F.pi() * (F.hour("ts") + F.minute("ts") / 60) / 24
-    return _events(spark, sf).select("event_id", F.round(F.sin(angle), 6).alias("sin_day"), F.round(F.cos(angle), 6).alias("cos_day"))
+    found = clock_and_season(F.col("ts"))
+    return _events(spark, sf).select("event_id", F.round(found["hour_sin"], 6).alias("sin_day"), F.round(found["hour_cos"], 6).alias("cos_day"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(sin(2 * pi() * (month(l_shipdate) - 1) / 12), 6) AS month_sin, round(cos(2 * pi() * (month(l_shipdate) - 1) / 12), 6) AS month_cos FROM lineitem")
+def p17_month(spark, sf):
+    found = clock_and_season(F.to_timestamp("l_shipdate"))
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", *[F.round(found[c], 6).alias(c) for c in ("month_sin", "month_cos")])
 
 
 # --- folds, samples, labels --------------------------------------------------------------------------------------
@@ -294,16 +344,24 @@ def j5_reconcile(spark, sf):
     return joins.reconcile(grid.where("entity % 3 <> 0"), grid.where("entity % 5 <> 0"), ["entity", "slot"])
 
 
-@query(f"WITH {FIVE_KEYS}, l AS (SELECT entity, slot, count(*) AS n FROM k GROUP BY 1, 2) SELECT CAST(sum(n) AS BIGINT) AS left_rows, count(*) AS right_rows, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS left_duplicates, CAST(0 AS BIGINT) AS right_duplicates, CAST(0 AS BIGINT) AS left_null_keys, CAST(0 AS BIGINT) AS right_null_keys, count(*) AS matched_keys, CAST(CASE WHEN max(n) > 1 THEN 0 ELSE 1 END AS BIGINT) AS passed FROM l")
+@query(f"WITH {_slots(86_400)}, f AS (SELECT g.slot AS a, b.slot AS b FROM g FULL JOIN (SELECT entity, slot + 86400 AS slot FROM g) b ON g.entity = b.entity AND g.slot = b.slot) SELECT CAST(sum(CASE WHEN b IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS left_only, CAST(sum(CASE WHEN a IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS right_only, CAST(sum(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS joined FROM f")
+def j5_neighbours(spark, sf):
+    """The whole grid against itself a day later: slots without the one before, without the one after, and with it."""
+    grid = _grid(spark, sf, DAY)
+    return joins.reconcile(grid, grid.withColumn("slot", F.col("slot") + DAY.step), ["entity", "slot"])
+
+
+@query(f"WITH {FIVE_KEYS}, {_slots(300)}, l AS (SELECT entity, slot, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT entity, slot, count(*) AS n FROM g GROUP BY 1, 2), b AS (SELECT l.entity AS le, l.slot AS ls, l.n AS ln, r.entity AS re, r.slot AS rs, r.n AS rn FROM l FULL JOIN r ON l.entity = r.entity AND l.slot = r.slot), s AS (SELECT CAST(sum(ln) AS BIGINT) AS left_rows, CAST(sum(rn) AS BIGINT) AS right_rows, CAST(sum(CASE WHEN ln > 1 THEN 1 ELSE 0 END) AS BIGINT) AS left_duplicates, CAST(sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT) AS right_duplicates, CAST(sum(CASE WHEN ln > 0 AND (le IS NULL OR ls IS NULL) THEN ln ELSE 0 END) AS BIGINT) AS left_null_keys, CAST(sum(CASE WHEN rn > 0 AND (re IS NULL OR rs IS NULL) THEN rn ELSE 0 END) AS BIGINT) AS right_null_keys, CAST(sum(CASE WHEN ln > 0 AND rn > 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched_keys FROM b) SELECT *, CAST(left_duplicates + right_duplicates + left_null_keys + right_null_keys = 0 AS BIGINT) AS passed FROM s")
 def j8_join_audit(spark, sf):
-    return joins.audit_join(_keyed(spark, sf), _grid(spark, sf, FIVE), ["entity", "slot"])
+    out = joins.guard_join(_keyed(spark, sf), _grid(spark, sf, FIVE), ["entity", "slot"])
+    return out.withColumn("passed", (F.col("verdict") == "PASS").cast("long")).drop("verdict", "left_match_rate", "right_match_rate")
 
 
 @query(f"WITH {_slots(86_400)}, b AS (SELECT entity, slot, v + CASE WHEN entity % 7 = 0 THEN 1 ELSE 0 END AS w FROM g) SELECT CAST(sum(CASE WHEN g.v IS DISTINCT FROM b.w THEN 1 ELSE 0 END) AS BIGINT) AS unequal, CAST(max(abs(g.v - b.w)) AS DOUBLE) AS max_difference FROM g JOIN b ON g.entity = b.entity AND g.slot = b.slot")
 def j6_compare(spark, sf):
     grid = _grid(spark, sf, DAY)
     other = grid.withColumn("v", (F.col("v") + F.when(F.col("entity") % 7 == 0, 1).otherwise(0)).cast("decimal(20,2)"))
-    return joins.compare_values(grid, other, ["entity", "slot"], "v").withColumn("max_difference", F.col("max_difference").cast("double"))
+    return joins.compare_columns(grid, other, ["entity", "slot"], ["v"]).select("unequal", "max_difference")
 
 
 @query("WITH n AS (SELECT * FROM nation WHERE n_regionkey IN (1, 3)) SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n)")
@@ -355,6 +413,14 @@ def a16_daily(spark, sf):
     return _events(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("entities"))
 
 
+@query("WITH d AS (SELECT user_id AS entity, CAST(ts AS DATE) AS day FROM events) SELECT entity, count(DISTINCT day) AS present, max(day) - min(day) + 1 - count(DISTINCT day) AS absent FROM d GROUP BY 1")
+def a16_entity_days(spark, sf):
+    """Days with and without rows between the first and the last of each entity."""
+    days = _events(spark, sf).select(F.col("user_id").alias("entity"), F.to_date("ts").alias("day")).distinct()
+    out = days.groupBy("entity").agg(F.count(F.lit(1)).alias("present"), F.min("day").alias("a"), F.max("day").alias("b"))
+    return out.select("entity", "present", (F.datediff("b", "a") + 1 - F.col("present")).alias("absent"))
+
+
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def a28_latest_meta(spark, sf):
     return _events(spark, sf).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
@@ -372,15 +438,23 @@ def _cdf(spark: SparkSession, sf: str) -> DataFrame:
     return ecdf.fit(known, "grp", "value")
 
 
-def _shrunk(spark: SparkSession, sf: str) -> DataFrame:
-    found = ecdf.survival(_cdf(spark, sf), "grp", "value", THRESHOLDS)
+def _known(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
+    """Anchors with a known future total, written once: distributions, scores and their evaluation all start from them."""
+    return scratch.keep(windows.targets(_grid(spark, sf, DAY), DAY).where("future_total IS NOT NULL").select("entity", "slot", "future_total"))
+
+
+def _shrunk(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    scratch = Scratch(spark, "shrunk")
+    known = _known(spark, sf, scratch) if known is None else known
+    cdf = ecdf.fit(known.select(F.col("entity").alias("grp"), F.col("future_total").alias("value")), "grp", "value")
+    found = scratch.keep(ecdf.survival(cdf, "grp", "value", THRESHOLDS))
     return ecdf.shrink(found, found.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("above").alias("above")), 50)
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    anchors = windows.targets(_grid(spark, sf, DAY), DAY).where("future_total IS NOT NULL")
-    p = _shrunk(spark, sf).select(F.col("grp").alias("entity"), "threshold", "p")
-    return folds.expand(anchors, "future_total", THRESHOLDS).join(p, ["entity", "threshold"]).select("entity", "slot", "threshold", "label", "p")
+    known = _known(spark, sf, Scratch(spark, "scores"))
+    p = _shrunk(spark, sf, known).select(F.col("grp").alias("entity"), "threshold", "p")
+    return folds.expand(known, "future_total", THRESHOLDS).join(p, ["entity", "threshold"]).select("entity", "slot", "threshold", "label", "p")
 
 
 @query(f"WITH {CDF} SELECT grp, CAST(value AS DOUBLE) AS value, cum_n, n FROM d")
@@ -405,7 +479,7 @@ def m18_scores(spark, sf):
 
 @query(f"WITH {SCORES} SELECT threshold, count(*) AS n, round(avg(label), 6) AS base_rate, round(avg(p), 6) AS mean_p, round(avg((p - label) * (p - label)), 6) AS brier, round(avg(-(label * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - label) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))), 6) AS log_loss FROM z GROUP BY 1")
 def e2_brier(spark, sf):
-    out = ecdf.metrics(_scores(spark, sf))
+    out = ecdf.metrics(_scores(spark, sf), ["threshold"])
     return out.select("threshold", "n", *[F.round(c, 6).alias(c) for c in ("base_rate", "mean_p", "brier", "log_loss")])
 
 
@@ -428,7 +502,7 @@ def e5_ece(spark, sf):
 
 @query(f"WITH {SCORES}, b AS (SELECT threshold, CAST(least(floor(round(p, 10) * 1000), 999) AS INTEGER) AS bin, sum(label) AS pos, sum(1 - label) AS neg FROM z GROUP BY 1, 2), c AS (SELECT *, neg * (sum(pos) OVER (PARTITION BY threshold ORDER BY bin DESC) - pos / 2) AS area FROM b) SELECT threshold, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(area) / (sum(pos) * sum(neg)) END, 6) AS roc_auc FROM c GROUP BY 1")
 def e3_binned_auc(spark, sf):
-    return ecdf.binned_auc(_scores(spark, sf).withColumn("p", F.round("p", 10))).withColumn("roc_auc", F.round("roc_auc", 6))
+    return ecdf.areas(_scores(spark, sf).withColumn("p", F.round("p", 10)), ["threshold"]).select("threshold", F.round("roc_area", 6).alias("roc_auc"))
 
 
 @query(f"WITH {SURVIVAL}, q AS (SELECT p - lag(p) OVER (PARTITION BY grp ORDER BY threshold) AS rise FROM w) SELECT CAST(coalesce(sum(CASE WHEN rise > 1e-12 THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations FROM q")

@@ -35,6 +35,7 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], partitions: int |
 
 
 def write_once(df: DataFrame, path: str) -> None:
+    """Writes `df`; an error if the path is there already."""
     df.write.mode("errorifexists").parquet(path)
 
 
@@ -48,8 +49,10 @@ def read_strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
 
 
-def read_tables(spark: SparkSession, root: str, contracts: dict[str, T.StructType]) -> dict[str, DataFrame]:
-    """The named tables of a root, each held against its contract."""
+def read_tables(spark: SparkSession, root: str, contracts: dict[str, T.StructType], zone: str | None = None) -> dict[str, DataFrame]:
+    """The named tables of a root, each held against its contract; a zone, where given, becomes that of the session, since calendar fields of the tables depend on it."""
+    if zone:
+        spark.conf.set("spark.sql.session.timeZone", zone)
     return {name: read_contract(spark, f"{root}/{name}", contract) for name, contract in contracts.items()}
 
 
