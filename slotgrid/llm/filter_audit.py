@@ -27,6 +27,8 @@ ODD = b"#$%&*|"
 SHARD_BYTES = 4_000_000
 #: Bytes of a long text that are cut into words at once.
 PIECE = 1_000_000
+#: Bits of a place that hold the position of a word in its shard, and the shards that one task may make.
+AT_BITS, MOST_SHARDS = 28, 1 << 14
 SPACE = re.compile(rb"[ \t-\r]")
 
 
@@ -68,6 +70,8 @@ class Shard:
         self.size += len(text)
 
     def record(self, number: int) -> pa.RecordBatch:
+        if len(self.words) >> AT_BITS:
+            raise ValueError("a text has too many distinct words")
         starts = np.concatenate([[0], np.cumsum(self.widths)])
         one = {
             "shard": pa.array([number], pa.int64()),
@@ -90,12 +94,14 @@ SHARDS = (
 
 def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
     """One row per shard of about `SHARD_BYTES` of text; a long text is a shard of its own, and no document is split."""
+    most = SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number = Shard(), TaskContext.get().partitionId() << 32
+        shard, number = Shard(), TaskContext.get().partitionId() * MOST_SHARDS
+        last = number + MOST_SHARDS - 1
         for batch in batches:
             for doc, part, text in zip(*(column.to_pylist() for column in batch.columns)):
-                if shard.ids and shard.size + len(text) > SHARD_BYTES:
+                if shard.ids and shard.size + len(text) > most and number < last:
                     yield shard.record(number)
                     shard, number = Shard(), number + 1
                 shard.add(doc, part, text)
@@ -108,42 +114,60 @@ def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFr
     return plain.mapInArrow(run, SHARDS)
 
 
-def document_term_matrix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(matrix, dictionary): CSR shards of `docs` whose columns are global word numbers, and (word, column) of all words.
+def numbered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, part_col: str) -> DataFrame:
+    """Shards with `at` and `number`: the global number of each of the shard's own words, in no order.
 
-    A shard has `starts` (one more than documents), `columns` and `counts`; row i of it is the document ids[i]. A shard numbers its
-    words itself; each of its distinct words, not each occurrence, is then looked up in the dictionary, so a frequent word
-    is a row a shard. Words are maximal runs without ASCII white space; a null text is empty.
+    A word's number is the smallest place (shard and position there) that it has, so one shuffle by word numbers all of them. A row is a distinct
+    word of a shard, not an occurrence: a frequent word has a row a shard. Words are maximal runs without ASCII white space; a null text is empty.
     """
     found = scratch.keep(shards(docs, id_col, text_col, part_col))
-    own = found.select("shard", F.posexplode("words").alias("at", "word"))
-    dictionary = scratch.keep(own.select("word").distinct().withColumn("column", F.monotonically_increasing_id()))
-    coded = own.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "column"))).alias("codes"))
+    own = found.select(F.shiftleft("shard", AT_BITS).alias("shard"), F.posexplode("words").alias("at", "word")).select((F.col("shard") + F.col("at")).alias("place"), "word")
+    own = own.select("place", F.min("place").over(Window.partitionBy("word")).alias("number"))
+    codes = own.groupBy(F.shiftright("place", AT_BITS).alias("shard")).agg(F.collect_list(F.struct((F.col("place") % (1 << AT_BITS)).cast("int").alias("at"), "number")).alias("codes"))
     # shards of texts without any word have no codes
-    both = found.drop("words").join(coded.select("shard", F.col("codes.column").alias("codes")), "shard", "left")
-    return both.withColumn("columns", F.transform("columns", lambda i: F.get("codes", i))).drop("codes"), dictionary
+    return found.drop("words").join(codes.select("shard", "codes.at", "codes.number"), "shard", "left")
 
 
-def measures(matrix: DataFrame) -> DataFrame:
-    """One row per document: row sums and nonzero counts of the matrix as n_words and n_distinct, and what the shard holds of each text."""
+def _global(columns: pa.Array, at: pa.Array, number: pa.Array) -> np.ndarray:
+    """Word numbers of a shard's own columns as global ones, -1 for a word without a number."""
+    codes = np.full(len(at), -1, np.int64)
+    codes[at.to_numpy()] = number.to_numpy()
+    return codes[columns.to_numpy()]
+
+
+def document_term_matrix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+    """(ids, starts, columns, counts): `docs` as CSR shards whose columns are global word numbers; row i of a shard is the document ids[i]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, starts, columns, counts, at, number = (c.slice(i, 1) for c in batch.columns)
+                found = pa.array(_global(columns.flatten(), at.flatten(), number.flatten()))
+                yield pa.RecordBatch.from_arrays([ids, starts, pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found), counts], names=["ids", "starts", "columns", "counts"])
+
+    found = numbered(docs, scratch, id_col, text_col, part_col).select("ids", "starts", "columns", "counts", "at", "number")
+    return found.mapInArrow(run, "ids array<long>, starts array<int>, columns array<long>, counts array<int>")
+
+
+def measures(found: DataFrame) -> DataFrame:
+    """One row per document of numbered shards: row sums and nonzero counts of the matrix as n_words and n_distinct, and what the shard holds of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, parts, points, capitals, odd, digests, starts, columns, counts = (c.slice(i, 1).flatten() for c in batch.columns)
+                ids, parts, points, capitals, odd, digests, starts, columns, counts, at, number = (c.slice(i, 1).flatten() for c in batch.columns)
                 starts = starts.to_numpy()
-                sums, filled = (np.concatenate([[0], np.cumsum(x)]) for x in (counts.to_numpy().astype(np.int64), columns.is_valid().to_numpy(zero_copy_only=False)))
+                sums, filled = (np.concatenate([[0], np.cumsum(x)]) for x in (counts.to_numpy().astype(np.int64), _global(columns, at, number) >= 0))
                 words, distinct = (pa.array((x[starts[1:]] - x[starts[:-1]]).astype(np.int64)) for x in (sums, filled))
                 yield pa.RecordBatch.from_arrays([ids, parts, points, capitals, odd, digests, words, distinct], names=["id", "part", "points", "capitals", "odd", "digest", "n_words", "n_distinct"])
 
-    wanted = matrix.select("ids", "parts", "points", "capitals", "odd", "digests", "starts", "columns", "counts")
+    wanted = found.select("ids", "parts", "points", "capitals", "odd", "digests", "starts", "columns", "counts", "at", "number")
     return wanted.mapInArrow(run, "id long, part string, points long, capitals long, odd boolean, digest binary, n_words long, n_distinct long")
 
 
 def failures(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """(id, part, mask): one row per row of `docs`; bit i of mask tells that it fails filter i."""
-    matrix, _ = document_term_matrix(docs, scratch, id_col, text_col, part_col)
-    known = scratch.keep(measures(matrix))
+    known = scratch.keep(measures(numbered(docs, scratch, id_col, text_col, part_col)))
     # written apart, so that the join below has an exchange of its own for each side and can split a hot text
     copies = scratch.keep(known.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
     fails = [
