@@ -1,4 +1,7 @@
-"""Near-duplicates by b-bit MinHash: bands of minima propose pairs, packed low bits estimate their similarity, full sets confirm it."""
+"""Near-duplicates by b-bit MinHash: bands of minima propose pairs, packed low bits estimate their similarity, full sets confirm it.
+
+Between estimate and confirmation a parity bitmap of each set rules out pairs that differ in too many shingles; it never loses a link.
+"""
 
 from __future__ import annotations
 
@@ -21,8 +24,13 @@ MINIMA, BITS = 128, 2
 BANDS, BAND_ROWS = 25, 4
 #: Standard deviations by which an estimate may fall short of the limit; a true link falls short of that once in some millions.
 SLACK = 5
-#: Rounds that compare each bucket with one of its sets; they save work and change no result.
-ROUNDS = 2
+#: Rounds that compare each bucket with some of its sets; they save work and change no result. The first takes the set that shares most buckets
+#: with others, each further one `HEADS` sets, while many pairs are still apart and a round joins a twentieth of them or more.
+MOST_ROUNDS, HEADS = 8, 8
+#: Pairs still apart, for each place of a set in a bucket, from which they are compared without further rounds.
+APART = 0.25
+#: 64-bit words of a set's mark, a parity bitmap of its shingles, and of the mark folded to fewer bits, which is compared first.
+MARK, FOLD = 32, 4
 #: Sets of a bucket compared with all of it by one task; a larger bucket is dealt to several.
 SHARE = 500
 #: A table of candidates of at most so many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -118,16 +126,26 @@ def set_number(found: np.ndarray) -> int:
     return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
+def parity_mark(found: np.ndarray) -> np.ndarray:
+    """For each of `MARK` * 64 bits whether an odd number of a set's shingles falls on it, as 64-bit words."""
+    odd = np.bincount((found & np.uint64(MARK * 64 - 1)).astype(np.int64), minlength=MARK * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, members): the shingle hashes of each row of `docs` (text)."""
+    """(node, members, mark): the shingle hashes of each row of `docs` (text), and their parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(text.as_py(), width, hashes) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_number(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "members"])
+            longs = pa.list_(pa.int64())
+            marks = [parity_mark(s) for s in sets]
+            folds = [np.bitwise_xor.reduce(m.reshape(-1, FOLD), axis=0) for m in marks]
+            columns = [pa.array([set_number(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], longs), pa.array(marks, longs), pa.array(folds, longs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "mark", "fold"])
 
-    return docs.select("text").mapInArrow(run, "node long, members array<long>")
+    return docs.select("text").mapInArrow(run, "node long, members array<long>, mark array<long>, fold array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -139,30 +157,41 @@ def estimate(a: str, b: str) -> Column:
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether the sizes allow the limit and the estimate does not rule it out; `a` and `b` are structs (n, bits)."""
+    """Whether sizes and marks allow the limit and the estimate does not rule it out; `a` and `b` are structs (n, bits, mark, fold).
+
+    Shared shingles cancel out, so two marks differ in no more bits than the sets do in members, which at the limit is
+    (100 - percent) / (100 + percent) of the sum of their sizes.
+    """
     limit, chance = percent / 100, 2.0**-BITS
     equal = limit + (1 - limit) * chance
     slack = SLACK * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
+
+    # a lambda for the long sum, since its code would be too long to be compiled
+    fold = " + ".join(f"bit_count({a}.fold[{w}] ^ {b}.fold[{w}])" for w in range(FOLD))
+    mark = f"aggregate(zip_with({a}.mark, {b}.mark, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+    first, second = (F.expr(f"{100 + percent} * ({bits}) <= {100 - percent} * ({a}.n + {b}.n)") for bits in (fold, mark))
     sizes = F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)")
-    return sizes & (estimate(f"{a}.bits", f"{b}.bits") >= limit - slack)
+    return sizes & first & (estimate(f"{a}.bits", f"{b}.bits") >= limit - slack) & second
 
 
 def set_components(classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """(node, component) of the sets that link to another one; `classes` has a row per distinct set (node, n, bands, bits, id, place).
 
-    First each bucket compares its sets with one of them, another each round, and what those stars join needs no further comparing. Then each set
+    First each bucket compares its sets with few of them, others each round, and what those stars join needs no further comparing. The text that many
+    copies were made from is nearer to each than they are to each other, so it shares most buckets with others and is the first head. Then each set
     outside the largest component of its bucket is compared with all of the bucket that is still apart from it.
     """
     bucketed = classes.select("node", F.explode("bands").alias("band")).repartition("band")
-    full = bucketed.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("band")
+    full = bucketed.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = scratch.keep(bucketed.join(full, "band"))
-    nodes = members.select("node").distinct()
-    wanted = scratch.keep(classes.join(nodes, "node", "left_semi").select("node", F.struct("n", "bits").alias("sketch"), "id", "place"))
-    sketched = wanted.select("node", "sketch")
+    shared = scratch.keep(members.groupBy("node").agg(F.sum("k").alias("shared")))
+    members, nodes = members.drop("k"), shared.select("node")
+    wanted = scratch.keep(classes.join(nodes, "node", "left_semi").select("node", "n", "bits", "id", "place"))
     rows = wanted.select(F.col("id").alias("_id"), F.col("place").alias("_place"))
     rows = F.broadcast(rows) if wanted.count() <= BROADCAST_ROWS else rows
     texts = docs.join(rows, docs["id"].eqNullSafe(F.col("_id")) & (docs["place"] == F.col("_place")), "left_semi")
     sets = scratch.keep(full_sets(texts, width).dropDuplicates(["node"]))
+    sketched = scratch.keep(wanted.join(sets.select("node", "mark", "fold"), "node").select("node", F.struct("n", "bits", "mark", "fold").alias("sketch")))
 
     def with_ends(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         for end in "ab":
@@ -178,10 +207,23 @@ def set_components(classes: DataFrame, docs: DataFrame, scratch: Scratch, width:
             return placed, False
         return scratch.keep(relabel(placed.withColumnRenamed("component", "old"), connected_components(found, scratch), "old").drop("old")), True
 
-    placed, tried = members.withColumn("component", F.col("node")), None
-    for turn in range(ROUNDS):
-        head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("turn"), "node", "component")).alias("head")
-        heads = placed.groupBy("band").agg(head, F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "head")
+    def pairs_apart(placed: DataFrame) -> int:
+        """Pairs of sets in one bucket that are not joined yet, counted by components."""
+        cells = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        buckets = cells.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        return buckets.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0))).first()[0] // 2
+
+    placed, tried, few, before = members.join(shared, "node").withColumn("component", F.col("node")), None, None, None
+    for turn in range(MOST_ROUNDS):
+        if turn:
+            few = int(APART * placed.count()) if few is None else few
+            left = pairs_apart(placed)
+            if left <= few or (before is not None and left > 0.95 * before):
+                break
+            before = left
+        order = [-F.col("shared")] if turn == 0 else [F.xxhash64(F.lit(turn * HEADS + i), "node") for i in range(HEADS)]
+        each = F.array(*[F.min(F.struct(o.alias("turn"), "node", "component")) for o in order])
+        heads = placed.groupBy("band").agg(each.alias("heads"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", F.explode("heads").alias("head"))
         pairs = placed.join(heads, "band").where("component <> head.component")
         pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"), F.col("component").alias("of_a"), F.col("head.component").alias("of_b")).dropDuplicates(["a", "b"])
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
