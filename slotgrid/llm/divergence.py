@@ -100,8 +100,11 @@ def divergences(left: tuple, right: tuple, into: np.ndarray) -> None:
     np.add.at(into, (of_x[i], of_y[j]), gap * gap // (p[i] + q[j]) * joint[i, j].astype(np.int64))
 
 
-def price_block(key: tuple, table: pa.Table) -> pa.Table:
-    """(lang, g, h, value) of the pairs of groups of two tiles over one block of terms; rows without a term list the groups with their totals."""
+def price_block(key: tuple, table: pa.Table, tile: int) -> pa.Table:
+    """(lang, g, h, value, terms) of the pairs of groups of two tiles of `tile` groups over one block of terms, `terms` being those of the block that occur in the tiles.
+
+    Rows without a term list the groups with their totals.
+    """
     lang, _, first, second = (k.as_py() for k in key)
     marks = table.filter(table["term"].is_null()).to_pydict()
     places = {g: i for i, g in enumerate(sorted(marks["g"]))}
@@ -109,17 +112,18 @@ def price_block(key: tuple, table: pa.Table) -> pa.Table:
     rows = table.filter(table["term"].is_valid()).combine_chunks()
     v = marks["v"][0]
     term = rows["term"].combine_chunks().dictionary_encode().indices.to_numpy()
-    counts = np.zeros((term.max() + 1, len(groups)), np.int64)
+    counts = np.zeros((term.max(initial=-1) + 1, len(groups)), np.int64)
     counts[term, [places[g] for g in rows["g"].to_pylist()]] = rows["n"].to_numpy()
     counts = counts[np.argsort(counts.sum(axis=1), kind="stable")]  # terms of like frequency share levels
-    sides = [[i for i, g in enumerate(groups) if g // TILE == tile] for tile in (first, second)]
+    sides = [[i for i, g in enumerate(groups) if g // tile == t] for t in (first, second)]
     values = np.zeros((len(sides[0]), len(sides[1])), np.int64)
     for at in range(0, len(counts), ROWS):
         some = counts[at : at + ROWS]
         left, right = (one_hot(some[:, side], [total[groups[i]] for i in side], v) for side in sides)
         divergences(left, right, values)
-    out = [(lang, groups[i], groups[j], int(values[a, b])) for a, i in enumerate(sides[0]) for b, j in enumerate(sides[1]) if groups[i] < groups[j]]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["lang", "g", "h", "value"])
+    out = [(lang, groups[i], groups[j], int(values[a, b]), len(counts)) for a, i in enumerate(sides[0]) for b, j in enumerate(sides[1]) if groups[i] < groups[j]]
+    kinds = pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["lang", "g", "h", "value", "terms"])
 
 
 def share(n: str, total: str, v: str) -> Column:
@@ -136,7 +140,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     Null texts, languages and sources are empty strings; repeated rows count each; a source whose texts hold no kept term is still
     compared; a language with one source has no pairs, and one without kept terms has value 0. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "divergence")
+    scratch, tile_size = Scratch(docs.sparkSession, "divergence"), TILE
+
+    def price(key: tuple, table: pa.Table) -> pa.Table:
+        return price_block(key, table, tile_size)
+
     counted = scratch.keep(count_terms(docs, text_col, lang_col, source_col))
     # one shuffle serves the sums of each term and the join with them
     dealt = counted.where("term IS NOT NULL").repartition("lang", "term")
@@ -157,12 +165,15 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     placed = placed.withColumns({"first": F.least("tile", "other"), "second": F.greatest("tile", "other")}).drop("tile", "other")
     marks = placed.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "first", "second", "g", "total", "v", F.lit(None).cast("binary").alias("term"), F.lit(0).cast("long").alias("n"))
     rows = kept.join(placed, ["lang", "source"]).select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "first", "second", "g", "total", "v", "term", "n")
-    priced = rows.union(marks).groupBy("lang", "block", "first", "second").applyInArrow(price_block, "lang string, g int, h int, value long")
-    priced = scratch.keep(priced.groupBy("lang", "g", "h").agg(F.sum("value").alias("value")))
-
-    sides = groups.select("lang", "source", "g"), groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h"))
-    pairs = sides[0].join(sides[1], "lang").where("g <> h").select("lang", "source", "item", F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"))
-    pairs = pairs.join(priced, ["lang", "g", "h"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    priced = rows.union(marks).groupBy("lang", "block", "first", "second").applyInArrow(price, "lang string, g int, h int, value long, terms long")
+    priced = scratch.keep(priced.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms")))
+
+    # terms that neither tile has are at level 0 in both groups, and need no row to be priced
+    level = F.when(F.col("v") > 0, share("0", "total", "v")).otherwise(1)
+    sides = groups.select("lang", "source", "g", "v", level.alias("p")), groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h"), level.alias("q"))
+    pairs = sides[0].join(sides[1], "lang").where("g <> h").select("lang", "source", "item", "v", "p", "q", F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"))
+    value = F.coalesce("value", F.lit(0)) + (F.col("v") - F.coalesce("terms", F.lit(0))) * F.expr("(p - q) * (p - q) div (p + q)")
+    pairs = pairs.join(priced, ["lang", "g", "h"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
 
     own = kept.join(groups.select("lang", "source", "total", "total_lang", "v"), ["lang", "source"])
     own = own.withColumns({"p": share("n", "total", "v"), "q": share("n_lang", "total_lang", "v")}).where("p > q")
