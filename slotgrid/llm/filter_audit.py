@@ -24,7 +24,7 @@ FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 ODD = b"#$%&*|"
 #: Bytes of text of one shard of the matrix, beyond which a further text starts the next one.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 32_000_000
 #: Bytes of a long text that are cut into words at once.
 PIECE = 1_000_000
 #: Bits of a place that hold the position of a word in its shard, and the shards that one task may make.
@@ -57,8 +57,8 @@ class Shard:
     def add(self, doc: int | None, part: str, text: bytes) -> None:
         numbers = np.concatenate([np.fromiter(map(self.words.__getitem__, found := p.split()), np.int64, len(found)) for p in pieces(text)])
         columns, counts = np.unique(numbers, return_counts=True)
-        self.columns.append(columns)
-        self.counts.append(counts)
+        self.columns.append(columns.astype(np.int32))
+        self.counts.append(counts.astype(np.int32))
         self.widths.append(len(columns))
         points = np.frombuffer(text, np.uint8)
         self.ids.append(doc)
@@ -115,22 +115,22 @@ def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFr
 
 
 def numbered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """Shards with `at` and `number`: the global number of each of the shard's own words, in no order.
+    """Shards with `width`, the number of their own words, and for those of them that a shard before has too, `at` and `number`, in no order.
 
-    A word's number is the smallest place (shard and position there) that it has, so one shuffle by word numbers all of them. A row is a distinct
-    word of a shard, not an occurrence: a frequent word has a row a shard. Words are maximal runs without ASCII white space; a null text is empty.
+    A word's global number is the smallest place (shard and position there) that it has, so one shuffle by word numbers all of them, and only words
+    whose number is not their own place are sent back. A row is a distinct word of a shard, not an occurrence: a frequent word has a row a shard.
+    Words are maximal runs without ASCII white space; a null text is empty.
     """
     found = scratch.keep(shards(docs, id_col, text_col, part_col))
     own = found.select(F.shiftleft("shard", AT_BITS).alias("shard"), F.posexplode("words").alias("at", "word")).select((F.col("shard") + F.col("at")).alias("place"), "word")
-    own = own.select("place", F.min("place").over(Window.partitionBy("word")).alias("number"))
+    own = own.select("place", F.min("place").over(Window.partitionBy("word")).alias("number")).where("number <> place")
     codes = own.groupBy(F.shiftright("place", AT_BITS).alias("shard")).agg(F.collect_list(F.struct((F.col("place") % (1 << AT_BITS)).cast("int").alias("at"), "number")).alias("codes"))
-    # shards of texts without any word have no codes
-    return found.drop("words").join(codes.select("shard", "codes.at", "codes.number"), "shard", "left")
+    return found.withColumn("width", F.size("words")).drop("words").join(codes.select("shard", "codes.at", "codes.number"), "shard", "left")
 
 
-def _global(columns: pa.Array, at: pa.Array, number: pa.Array) -> np.ndarray:
-    """Word numbers of a shard's own columns as global ones, -1 for a word without a number."""
-    codes = np.full(len(at), -1, np.int64)
+def _global(shard: int, width: int, columns: pa.Array, at: pa.Array, number: pa.Array) -> np.ndarray:
+    """A shard's own columns as global ones: the number sent back for a word, else its own place."""
+    codes = (shard << AT_BITS) + np.arange(width, dtype=np.int64)
     codes[at.to_numpy()] = number.to_numpy()
     return codes[columns.to_numpy()]
 
@@ -141,11 +141,11 @@ def document_term_matrix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, starts, columns, counts, at, number = (c.slice(i, 1) for c in batch.columns)
-                found = pa.array(_global(columns.flatten(), at.flatten(), number.flatten()))
+                shard, width, ids, starts, columns, counts, at, number = (c.slice(i, 1) for c in batch.columns)
+                found = pa.array(_global(shard[0].as_py(), width[0].as_py(), columns.flatten(), at.flatten(), number.flatten()))
                 yield pa.RecordBatch.from_arrays([ids, starts, pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found), counts], names=["ids", "starts", "columns", "counts"])
 
-    found = numbered(docs, scratch, id_col, text_col, part_col).select("ids", "starts", "columns", "counts", "at", "number")
+    found = numbered(docs, scratch, id_col, text_col, part_col).select("shard", "width", "ids", "starts", "columns", "counts", "at", "number")
     return found.mapInArrow(run, "ids array<long>, starts array<int>, columns array<long>, counts array<int>")
 
 
@@ -155,13 +155,15 @@ def measures(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, parts, points, capitals, odd, digests, starts, columns, counts, at, number = (c.slice(i, 1).flatten() for c in batch.columns)
+                shard, width = (c[i].as_py() for c in batch.columns[:2])
+                ids, parts, points, capitals, odd, digests, starts, columns, counts, at, number = (c.slice(i, 1).flatten() for c in batch.columns[2:])
                 starts = starts.to_numpy()
-                sums, filled = (np.concatenate([[0], np.cumsum(x)]) for x in (counts.to_numpy().astype(np.int64), _global(columns, at, number) >= 0))
-                words, distinct = (pa.array((x[starts[1:]] - x[starts[:-1]]).astype(np.int64)) for x in (sums, filled))
+                filled = _global(shard, width, columns, at, number) >= 0
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (counts.to_numpy().astype(np.int64), filled)]
+                words, distinct = (pa.array((x[starts[1:]] - x[starts[:-1]]).astype(np.int64)) for x in sums)
                 yield pa.RecordBatch.from_arrays([ids, parts, points, capitals, odd, digests, words, distinct], names=["id", "part", "points", "capitals", "odd", "digest", "n_words", "n_distinct"])
 
-    wanted = found.select("ids", "parts", "points", "capitals", "odd", "digests", "starts", "columns", "counts", "at", "number")
+    wanted = found.select("shard", "width", "ids", "parts", "points", "capitals", "odd", "digests", "starts", "columns", "counts", "at", "number")
     return wanted.mapInArrow(run, "id long, part string, points long, capitals long, odd boolean, digest binary, n_words long, n_distinct long")
 
 
