@@ -1,5 +1,6 @@
 """MinHash near-duplicates, the filter audit and the divergence audit against plain Python versions."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotgrid.llm import divergence, filter_audit, minhash
+from slotgrid.llm import divergence, filter_audit, license_scan, minhash
 from slotgrid.llm.queries import ORACLE_SQL, QUERIES
 from slotgrid.sources.shared import Scratch
 
@@ -269,6 +270,40 @@ def test_level_products_are_exact():
             assert got[g, h] == sum((a - b) ** 2 // (a + b) for a, b in zip(p, q))
 
 
+def plain_license_labels(text):
+    """Labels by phrases, by all lines, and by all windows that start at a word of a template."""
+    t = lower(text)
+    w, labels = re.findall(license_scan.WORD, t), set()
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+    for label, body in license_scan.TEMPLATES.items():
+        own = license_scan.template_words(body)
+        need, size = math.ceil(0.8 * len(own) - 1e-9), math.ceil(len(re.findall(license_scan.WORD, body)) / 0.8)
+        blocks = [re.findall(license_scan.WORD, line) for line in t.split("\n")] + [w[i : i + size] for i, x in enumerate(w) if x in own]
+        if any(len(set(own) & set(b)) >= need for b in blocks):
+            labels.add(label)
+    return ",".join(sorted(labels))
+
+
+@pytest.mark.parametrize("limit", [license_scan.BROADCAST_ROWS, 0])
+def test_licenses_equal_a_plain_version_with_windows(spark, docs, monkeypatch, limit):
+    """Notices with words taken out, moved, and spread, at the limit and just below, in lines and over line ends."""
+    monkeypatch.setattr(license_scan, "BROADCAST_ROWS", limit)
+    rng, data = random.Random(3), []
+    for i in range(400):
+        body = re.findall(license_scan.WORD, rng.choice(list(license_scan.TEMPLATES.values())))
+        for _ in range(rng.randrange(len(body) // 3 + 1)):
+            body[rng.randrange(len(body))] = rng.choice(["other", "The", "license", "1"])
+        for _ in range(rng.choice([0, 0, 2, 5, 30])):
+            body.insert(rng.randrange(len(body) + 1), "x")
+        data.append((i, "Some text\n" + "".join(x + rng.choice([" ", " ", ", ", "\n", "\n * "]) for x in body) + rng.choice(["", "MIT license", "and CC-BY"])))
+    df = spark.createDataFrame(data, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    got = sorted((r["doc_id"], r["labels"]) for r in license_scan.scan(df).collect())
+    assert got == sorted((r["doc_id"], plain_license_labels(r["text"])) for r in df.collect())
+
+
 @pytest.mark.parametrize("name", ["op11_minhash", "op12_filter_audit", "op13_divergence"])
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
