@@ -85,6 +85,13 @@ def test_ledger_of_the_job_that_writes(spark):
     assert rows(checked) == [(done.count(), done.where("v >= 5").count(), done.count())]
 
 
+def test_ledger_of_an_empty_table(spark):
+    """No rows, known before or only after reading, give counts of 0."""
+    kept = Scratch(spark, "t").keep(spark.range(5).selectExpr("id", "id % 2 AS p"))
+    for df in (kept.limit(0), kept.where("id > 100"), spark.createDataFrame([], "id long, p long")):
+        assert rows(observed.written_rows(df, Scratch(spark, "t").path(), ["p"], {"a": F.col("id") > 1})) == [(0, 0)]
+
+
 def test_periods_are_pruned_and_rewritten_alone(spark):
     path, df = Scratch(spark, "t").path(), grid(spark)
     periods.write_periods(df, path, "slot", "day", most_rows=100)
