@@ -32,8 +32,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: A table of the winning paths of at most so many hosts is broadcast, so that no page is shuffled by its host; a larger one is joined by shuffle.
 BROADCAST_HOSTS = 500_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*))?|[^>])*?)(/?)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: A `>` inside a quoted value after `=` does not end a tag. Possessive groups never go back, so a page is read in time linear in its length.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+#: Leading zeros of a numeric reference, and one beyond all code points, which is the replacement character.
+ZEROS, BEYOND = re.compile(r"&#(?:([xX])0++(?=[0-9a-fA-F])|0++(?=[0-9]))"), re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
 
 
 @dataclass
@@ -127,6 +130,13 @@ def _settle(found: list[Block]) -> None:
         x.aside = x.hard or (x.named and not lifted) or (x.above is not None and x.above.aside)
 
 
+def unescape(piece: str) -> str:
+    """Character references decoded; numbers of any length are fine."""
+    if "&" not in piece:
+        return piece
+    return html.unescape(BEYOND.sub("\ufffd", ZEROS.sub(lambda m: "&#" + (m[1] or ""), piece)))
+
+
 def blocks(page: str) -> list[Block]:
     """All text blocks of a page in order; unclosed, stray and cut-off tags are taken as browsers do, near enough."""
     root = Node("", None, 0)
@@ -143,7 +153,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(piece: str) -> None:
         nonlocal linked
-        piece = html.unescape(piece)
+        piece = unescape(piece)
         parts.append(piece)
         linked += len(piece) if links else 0
 
