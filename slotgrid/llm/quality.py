@@ -61,7 +61,10 @@ def fold(ids: pa.Array, folds: int) -> list[int | None]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, *, rows: int = TRAIN_ROWS, folds: int = FOLDS) -> Forest:
-    """Trees from at most `rows` labelled documents whose crc32(id) mod `folds` is not 0; the driver gets their features alone."""
+    """Trees from at most `rows` labelled documents whose crc32(id) mod `folds` is not 0; the driver gets their features alone.
+
+    An id on several rows counts once for each different text, within the same bound.
+    """
     marks = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     marks = marks.where(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")) % folds != 0).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -71,7 +74,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             features = [statistics(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "id"])
 
-    table = texts.join(F.broadcast(marks), "id").select("text", F.col("label").cast("int"), "id").mapInArrow(run, "x array<double>, y int, id long").orderBy("id", "x").toArrow()
+    found = texts.join(F.broadcast(marks), "id").select("text", F.col("label").cast("int"), "id").mapInArrow(run, "x array<double>, y int, id long")
+    # an id may stand on many rows: rows alike count once, and the bound holds for what is left
+    table = found.distinct().orderBy(F.xxhash64("id"), "id", "x").limit(rows).orderBy("id", "x").toArrow()
     x = np.array(table["x"].to_pylist(), float).reshape(len(table), len(FEATURES))
     return fit(x, np.array(table["y"].to_pylist(), float))
 
