@@ -78,6 +78,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
 
     candidates, asked = plain(vectors), plain(queries).groupBy("id").agg(F.min("w").alias("w"))
     scratch = Scratch(spark, "topk")
+    # grouped once, not once a block
+    asked = scratch.keep(asked)
     n_blocks = -(-asked.count() // block)
     found = None
     for b in range(n_blocks):
