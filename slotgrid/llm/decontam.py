@@ -159,7 +159,7 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_chars: int) -> Iterator[tuple[int, list[tuple[str, str]]]]:
     """How many lists come and a list of items of about `shard_chars` characters, one on the driver at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard_chars))
     for shard in range(n):
