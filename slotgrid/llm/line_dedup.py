@@ -20,9 +20,9 @@ BANDS, ROWS = 7, 3
 SHORT, SHORT_SHINGLE = 110, 5
 SHORT_BANDS, SHORT_ROWS = 13, 5
 #: Rounds of comparing each bucket with one of its lines; they save work and change no result. More follow while many pairs
-#: are still apart, for each line placed, and a round joins a twentieth of them or more.
+#: are still apart, for each line of a bucket, and a round settles a twentieth of them or more.
 ROUNDS, MOST_ROUNDS = 3, 14
-APART = 0.25
+APART = 20
 HEADS = 8
 #: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes.
 MARK = 32
@@ -102,8 +102,13 @@ def similar(a: str, b: str, shingle: int, similarity: float) -> Column:
 
 
 def marks(lines: DataFrame, shingle: int) -> DataFrame:
-    """(line_id, mark): per line, `w0` and on hold for each bit whether an odd number of its distinct shingles falls on it; `n` counts them."""
-    hashed = lines.select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", F.explode(F.expr(_set("chars", shingle))).alias("h"))
+    """(line_id, mark): per line, `w0` and on hold for each bit whether an odd number of its distinct shingles falls on it; `n` counts them.
+
+    The lines are dealt once, by id; all groupings after that stay where their line lies.
+    """
+    last = f"greatest(1, octet_length(chars) - {4 * (shingle - 1)} - 3)"
+    chars = lines.repartition("line_id").select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", "chars", F.expr(last).alias("last"))
+    hashed = chars.select("line_id", "chars", F.explode(F.expr("sequence(1, last, 4)")).alias("at")).select("line_id", F.expr(f"xxhash64(substring(chars, at, {4 * shingle}))").alias("h")).distinct()
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1)).cast("int")
     bits = hashed.groupBy("line_id", word.alias("word")).agg(F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits"), F.count(F.lit(1)).alias("n"))
     words = [F.max(F.when(F.col("word") == i, F.col("bits"))) for i in range(MARK)]
@@ -136,20 +141,28 @@ class Scheme:
     most: int | None = None
 
 
-def line_components(docs: DataFrame, text: str, scratch: Scratch, schemes: list[Scheme], similarity: float) -> DataFrame:
-    """(node, component) of the lines that some scheme links to another line.
+def line_places(docs: DataFrame, text: str, short: int) -> DataFrame:
+    """(doc, text_hash, at, line_id, line): the places of all lines that are not blank; `line` only where it has at most `short` characters."""
+    cut = docs.select("doc", "text_hash", F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("line", _normal(F.col("line"))).where("line <> ''")
+    return cut.select("doc", "text_hash", "at", F.xxhash64("line").alias("line_id"), F.when(F.char_length("line") <= short, F.col("line")).alias("line"))
+
 
-    In each of several rounds every band bucket compares its lines with one of them, another each round;
-    what those stars join needs no further comparing. Then every pair of a bucket whose ends are still
-    apart is compared as well, so no link between components is lost, and a group of near copies
-    costs some stars, not a square. There a pair whose marks rule it out goes inside the join; the
-    rest are read as whole lines.
+def line_components(docs: DataFrame, text: str, places: DataFrame, short: int, scratch: Scratch, schemes: list[Scheme], similarity: float) -> DataFrame:
+    """(node, component) of the lines that some scheme links to another line; `places` holds the lines of at most `short` characters.
+
+    In each of several rounds every band bucket compares its lines with one of them or with several, its heads. A
+    head has then met its whole bucket and leaves it, and a bucket of which one component is left is done, so
+    pairs are done with after one round and later rounds see large buckets only. Then every pair of a bucket whose ends are
+    still apart is compared as well, so no link between components is lost, and a group of near copies
+    costs some stars, not a square. Pairs whose marks rule them out go first; the rest are read as whole lines.
     """
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(_normal(F.col("line")).alias("line")).where("line <> ''").select(F.xxhash64("line").alias("line_id"), "line")
+    brief = places.where("line IS NOT NULL").select("line_id", "line")
     size = F.char_length("line")
     bucketed = None
     for k, s in enumerate(schemes):
-        own = lines.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)).select("line_id", F.encode("line", "UTF-32").alias("chars"))
+        source = lines if s.most is None or s.most > short else brief.dropDuplicates(["line_id"])
+        own = source.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)).select("line_id", F.encode("line", "UTF-32").alias("chars"))
         rows = signatures(own, s.bands, s.rows, s.shingle, k)
         bucketed = rows if bucketed is None else bucketed.union(rows)
     # one shuffle serves the count of each band and the join with it
@@ -159,6 +172,15 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, schemes: list[
     ids = scratch.keep(members.select("line_id").distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = scratch.keep(lines.join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"]))
+    scheme = F.col("band").bitwiseAND(F.lit((1 << SCHEME_BITS) - 1)).cast("int")
+    marked = None
+    for k, s in enumerate(schemes):
+        made = marks(texts.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)), s.shingle).withColumn("scheme", F.lit(k))
+        marked = made if marked is None else marked.union(made)
+    marked = scratch.keep(marked)
+    pair = ["a", "b", "scheme"]
+    # A fixed number of partitions: the pairs are small rows, but each costs a comparison of two lines.
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         for end in "ab":
@@ -169,69 +191,61 @@ def line_components(docs: DataFrame, text: str, scratch: Scratch, schemes: list[
             good = F.when(F.col("scheme") == k, similar("chars_a", "chars_b", s.shingle, similarity)).otherwise(good)
         return pairs.where(good).select("a", "b", "of_a", "of_b")
 
-    placed = members.withColumn("component", F.col("line_id"))
-    tried = None
-
-    def step(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, bool]:
-        """Links the pairs (a, b, scheme, of_a, of_b) that are similar; the places with their new components, and whether any moved."""
-        found = scratch.keep(linked(pairs))
+    def step(pairs: DataFrame, *frames: DataFrame) -> tuple[DataFrame, ...]:
+        """Links the pairs (a, b, scheme, of_a, of_b) that are similar; the frames with their new components."""
+        found = scratch.keep(linked(scratch.keep(pairs.repartition(wide, *pair).dropDuplicates(pair))))
         if found.isEmpty():
-            return placed, False
+            return frames
         moved = connected_components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch)
-        return scratch.keep(relabel(placed.withColumnRenamed("component", "old"), moved, "old").drop("old")), True
+        return tuple(scratch.keep(relabel(x.withColumnRenamed("component", "old"), moved, "old").drop("old")) for x in frames)
 
-    def pairs_apart(placed: DataFrame) -> int:
+    def pairs_apart(rows: DataFrame) -> int:
         """Pairs of lines in one bucket that are not joined yet, counted by components."""
-        cells = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        cells = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
         buckets = cells.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         return buckets.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0))).first()[0] // 2
 
-    few, before = None, None
-    pair = ["a", "b", "scheme"]
-    scheme = F.col("band").bitwiseAND(F.lit((1 << SCHEME_BITS) - 1)).cast("int")
-    for turn in range(MOST_ROUNDS):
-        if turn >= ROUNDS:
-            few = int(APART * placed.count()) if few is None else few
-            left = pairs_apart(placed)
-            if left <= few or (before is not None and left > 0.95 * before):
-                break
-            before = left
-        # in the later rounds several lines of a bucket are heads at once
-        several = range(turn * HEADS, (turn + 1) * HEADS) if turn >= ROUNDS else [turn]
-        each = [F.min(F.struct(F.xxhash64(F.lit(k), "line_id").alias("turn"), "line_id", "component")) for k in several]
-        ends = F.min("component").alias("x"), F.max("component").alias("y")
-        heads = placed.groupBy("band").agg(F.array(*each).alias("heads"), *ends).where("x <> y").select("band", F.explode("heads").alias("head"))
-        pairs = placed.join(heads, "band").where("component <> head.component").select(
-            F.least("line_id", "head.line_id").alias("a"),
-            F.greatest("line_id", "head.line_id").alias("b"),
-            scheme.alias("scheme"),
-            F.col("component").alias("of_a"),
-            F.col("head.component").alias("of_b"),
-        ).dropDuplicates(pair)
-        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, pair, "left_anti"))
-        tried = pairs.select(*pair) if tried is None else tried.union(pairs.select(*pair))
-        placed, more = step(pairs, placed)
-        if not more:
-            break
+    def ordered(rows: DataFrame) -> DataFrame:
+        """Pairs of a line and a head, smaller id first."""
+        swap = F.col("line_id") > F.col("head")
+        ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in (("line_id", "head", "a"), ("head", "line_id", "b"), ("component", "of_head", "of_a"), ("of_head", "component", "of_b"))]
+        return rows.select(*ends, scheme.alias("scheme")).dropDuplicates(pair)
+
+    labels = ids.withColumn("component", F.col("line_id"))
+    rows = members.withColumn("component", F.col("line_id"))
     ends = F.min("component").alias("x"), F.max("component").alias("y")
-    split = placed.groupBy("band").agg(*ends, F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("x <> y").select("band", "shares")
-    apart = scratch.keep(placed.join(split, "band").withColumn("scheme", scheme))
-    marked = None
-    for k, s in enumerate(schemes):
-        few = texts.join(apart.where(F.col("scheme") == k).select("line_id").distinct(), "line_id", "left_semi")
-        made = marks(few, s.shingle).withColumn("scheme", F.lit(k))
-        marked = made if marked is None else marked.union(made)
-    apart = scratch.keep(apart.join(marked, ["line_id", "scheme"]))
+    for turn in range(ROUNDS):
+        order = F.xxhash64(F.lit(turn), "line_id")
+        heads = rows.groupBy("band").agg(F.min_by("line_id", order).alias("head"), F.min_by("component", order).alias("of_head"), *ends).where("x <> y").drop("x", "y")
+        held = scratch.keep(rows.join(heads, "band"))
+        pairs = ordered(held.where("component <> of_head"))
+        for end in "ab":
+            pairs = pairs.join(marked.select(F.col("line_id").alias(end), "scheme", F.col("mark").alias(f"mark_{end}")), [end, "scheme"])
+        pairs = pairs.where(may_be_similar("mark_a", "mark_b", similarity)).select(*pair, "of_a", "of_b")
+        rows, labels = step(pairs, held.where("line_id <> head").select("band", "line_id", "component"), labels)
+    split = rows.groupBy("band").agg(*ends).where("x <> y").select("band")
+    rows = scratch.keep(rows.join(split, "band").withColumn("scheme", scheme).join(marked, ["line_id", "scheme"]).drop("scheme"))
+    few, before = int(APART * members.count()), None
+    for turn in range(ROUNDS, MOST_ROUNDS):
+        left = pairs_apart(rows)
+        if left <= few or (before is not None and left > 0.95 * before):
+            break
+        before = left
+        # several lines of a bucket are heads at once, and the marks are tested inside the join
+        each = [F.min_by("line_id", F.xxhash64(F.lit(turn * HEADS + k), "line_id")) for k in range(HEADS)]
+        heads = rows.groupBy("band").agg(F.array_distinct(F.array(*each)).alias("heads"), *ends).where("x <> y")
+        heads = scratch.keep(heads.select("band", F.explode("heads").alias("line_id")))
+        known = rows.join(heads, ["band", "line_id"]).select("band", F.col("line_id").alias("head"), F.col("component").alias("of_head"), F.col("mark").alias("mark_head"))
+        pairs = ordered(rows.join(known, "band").where("component <> of_head").where(may_be_similar("mark", "mark_head", similarity)))
+        rows, labels = step(pairs, rows.join(heads, ["band", "line_id"], "left_anti"), labels)
+    split = rows.groupBy("band").agg(*ends, F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("x <> y").select("band", "shares")
+    apart = rows.join(split, "band").withColumn("scheme", scheme)
     left, right = (apart.select("band", "scheme", "shares", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), F.col("mark").alias(f"mark_{n}")) for n in "ab")
     left = left.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
     right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares", "scheme")
     rest = left.join(right, ["band", "share"]).where("of_a <> of_b AND a < b").where(may_be_similar("mark_a", "mark_b", similarity))
-    # A fixed number of partitions: the pairs are small rows, but each costs a comparison of two lines.
-    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.select(*pair, "of_a", "of_b").repartition(wide, "a", "b").dropDuplicates(pair)
-    placed, _ = step(rest.join(tried, pair, "left_anti"), placed)
-    # A line that both schemes place has one component: its rows were relabelled together.
-    return placed.where("line_id <> component").select(F.col("line_id").alias("node"), "component").distinct()
+    (labels,) = step(rest.select(*pair, "of_a", "of_b"), labels)
+    return labels.where("line_id <> component").select(F.col("line_id").alias("node"), "component")
 
 
 def dedup_lines(
@@ -256,13 +270,9 @@ def dedup_lines(
     scratch = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).withColumn("text_hash", F.xxhash64("body"))
     schemes = [Scheme(shingle, bands, rows, least=shingle), Scheme(SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS, most=max(SHORT, shingle))]
-    found = line_components(plain, "body", scratch, schemes, similarity)
-    places = (
-        plain.select("doc", "text_hash", F.posexplode(F.split("body", "\n")).alias("at", "line"))
-        .withColumn("line", _normal(F.col("line")))
-        .where("line <> ''")
-        .select("doc", "text_hash", "at", F.xxhash64("line").alias("line_id"))
-    )
+    short = max(SHORT, shingle)
+    places = scratch.keep(line_places(plain, "body", short))
+    found = line_components(plain, "body", places, short, scratch, schemes, similarity)
     places = scratch.keep(relabel(places, found, "line_id").select("doc", "text_hash", "at", "component"))
     place = F.struct("doc", "text_hash", "at")
     first = places.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")

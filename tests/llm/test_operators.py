@@ -483,3 +483,26 @@ def test_line_dedup_of_a_large_group_and_hot_buckets(spark, monkeypatch):
     out = rows(line_dedup.dedup_lines(df).select("doc_id", "text"))
     left = [x for _, t in out for x in t.split("\n") if x]
     assert sorted(left) == sorted([base, *other])
+
+
+def test_line_dedup_settles_pairs_apart_by_their_marks(spark, monkeypatch):
+    """Lines that share buckets and stay apart are told by their marks; only few pairs are read as whole lines."""
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefghijklmnop ", k=258)).join("xy")
+    near = []
+    for _ in range(60):
+        i, j = rng.sample(range(12, 245, 11), 2)
+        near.append("".join(chr(rng.randrange(0x100, 0x400)) if k in (i, j) else c for k, c in enumerate(base)))
+    compared, keep = [], line_dedup.Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        if {"a", "b", "scheme"} <= set(df.columns):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", counted)
+    group = plain_lines(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string"))
+    out = rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).select("doc_id", "text"))
+    assert len([t for _, t in out if t]) == len(set(group.values())) > 1
+    assert sum(compared) <= 120
