@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, relabel
@@ -19,13 +19,14 @@ BANDS, ROWS = 7, 3
 #: the limit below 99 characters, one of 5 below 49. Chance pairs share more of these, so a band takes more minima.
 SHORT, SHORT_SHINGLE = 110, 5
 SHORT_BANDS, SHORT_ROWS = 13, 5
-#: Rounds of comparing each bucket with one of its lines; they save work and change no result. More follow while many pairs
-#: are still apart, for each line of a bucket, and a round settles a twentieth of them or more.
-ROUNDS, MOST_ROUNDS = 3, 14
+#: Most rounds of comparing each bucket with some of its lines; they save work and change no result. After the first they go on
+#: while many pairs are still apart, for each line of a bucket, and a round settles a twentieth of them or more.
+MOST_ROUNDS = 14
 APART = 20
 HEADS = 8
-#: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes.
+#: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes, and lines that one task marks.
 MARK = 32
+MARKED = 3_000
 #: Lines of a bucket compared with all of it by one task; a larger bucket is dealt to several.
 SHARE = 500
 #: Places of a component beyond which it counts as hot.
@@ -84,30 +85,28 @@ def signatures(lines: DataFrame, bands: int, rows: int, shingle: int, scheme: in
     minima = least.groupBy(*keys).agg(*[F.min(f"m{j}").alias(f"m{j}") for j in point])
     place = F.col("part") if parts > 1 else F.lit(0)
     found = [F.when(place * own + i < bands, F.xxhash64(F.lit(shingle), place * own + i, *[f"m{i * rows + r}" for r in range(rows)])) for i in range(own)]
-    band = F.explode(F.array_compact(F.array(*found)))
-    return minima.select("line_id", band.alias("band")).select("line_id", F.expr(f"shiftleft(band, {SCHEME_BITS}) | {scheme}L").alias("band"))
+    bands_of = minima.select("line_id", F.explode(F.array(*found)).alias("band"))
+    return bands_of.where("band IS NOT NULL").select("line_id", F.expr(f"shiftleft(band, {SCHEME_BITS}) | {scheme}L").alias("band"))
 
 
-def _set(chars: str, shingle: int) -> str:
-    """SQL for the distinct shingle hashes of a UTF-32 column; the outer lambda reads the bytes once, not once a shingle."""
-    hashes = f"transform({_shingles('c', shingle)}, p -> xxhash64(substring(c, p, {4 * shingle})))"
-    return f"array_distinct(transform(array({chars}), c -> {hashes})[0])"
+def _hashes(chars: str, shingle: int) -> str:
+    """SQL for the shingle hashes of a UTF-32 column, repeats included; the outer lambda reads the bytes once, not once a shingle."""
+    return f"transform(array({chars}), c -> transform({_shingles('c', shingle)}, p -> xxhash64(substring(c, p, {4 * shingle}))))[0]"
 
 
-def similar(a: str, b: str, shingle: int, similarity: float) -> Column:
-    """Whether the exact Jaccard similarity of two lines' shingle sets reaches the limit; lambdas keep each set from being built twice."""
-    sets = f"array(struct({_set(a, shingle)} AS a, {_set(b, shingle)} AS b))"
-    sizes = f"transform({sets}, x -> struct(size(x.a) + size(x.b) AS n, size(array_intersect(x.a, x.b)) AS k))"
-    return F.expr(f"exists({sizes}, y -> y.k >= {similarity}D * (y.n - y.k))")
+def similar(a: str, b: str, similarity: float) -> Column:
+    """Whether the exact Jaccard similarity of two columns of shingle hashes reaches the limit."""
+    return F.expr(f"size(array_intersect({a}, {b})) >= {similarity}D * size(array_union({a}, {b}))")
 
 
-def marks(lines: DataFrame, shingle: int) -> DataFrame:
+def marks(lines: DataFrame, shingle: int, tasks: int) -> DataFrame:
     """(line_id, mark): per line, `w0` and on hold for each bit whether an odd number of its distinct shingles falls on it; `n` counts them.
 
-    The lines are dealt once, by id; all groupings after that stay where their line lies.
+    The lines are dealt once, by id; all groupings after that stay where their line lies. The `tasks` are many enough for the
+    distinct shingles of one to fit its memory: the lines are small, but their shingles take some fifty times the room.
     """
     last = f"greatest(1, octet_length(chars) - {4 * (shingle - 1)} - 3)"
-    chars = lines.repartition("line_id").select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", "chars", F.expr(last).alias("last"))
+    chars = lines.repartition(tasks, "line_id").select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", "chars", F.expr(last).alias("last"))
     hashed = chars.select("line_id", "chars", F.explode(F.expr("sequence(1, last, 4)")).alias("at")).select("line_id", F.expr(f"xxhash64(substring(chars, at, {4 * shingle}))").alias("h")).distinct()
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1)).cast("int")
     bits = hashed.groupBy("line_id", word.alias("word")).agg(F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits"), F.count(F.lit(1)).alias("n"))
@@ -127,7 +126,7 @@ def may_be_similar(a: str, b: str, similarity: float) -> Column:
 
     sizes = f"least({a}.n, {b}.n) >= {similarity}D * greatest({a}.n, {b}.n) - 1e-6D"
     most = f"{(1 - similarity) / (1 + similarity)}D * ({a}.n + {b}.n) + 1e-6D"
-    return F.expr(f"{sizes} AND {apart(MARK // 8)} <= {most} AND {apart(MARK)} <= {most}")
+    return F.expr(f"{sizes} AND {apart(MARK // 2)} <= {most} AND {apart(MARK)} <= {most}")
 
 
 @dataclass(frozen=True)
@@ -141,59 +140,58 @@ class Scheme:
     most: int | None = None
 
 
-def line_places(docs: DataFrame, text: str, short: int) -> DataFrame:
-    """(doc, text_hash, at, line_id, line): the places of all lines that are not blank; `line` only where it has at most `short` characters."""
+def line_places(docs: DataFrame, text: str) -> DataFrame:
+    """(doc, text_hash, at, line_id, line): the places of all lines that are not blank."""
     cut = docs.select("doc", "text_hash", F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("line", _normal(F.col("line"))).where("line <> ''")
-    return cut.select("doc", "text_hash", "at", F.xxhash64("line").alias("line_id"), F.when(F.char_length("line") <= short, F.col("line")).alias("line"))
+    return cut.select("doc", "text_hash", "at", F.xxhash64("line").alias("line_id"), "line")
 
 
-def line_components(docs: DataFrame, text: str, places: DataFrame, short: int, scratch: Scratch, schemes: list[Scheme], similarity: float) -> DataFrame:
-    """(node, component) of the lines that some scheme links to another line; `places` holds the lines of at most `short` characters.
+def line_components(lines: DataFrame, scratch: Scratch, schemes: list[Scheme], similarity: float) -> DataFrame:
+    """(node, component) of the lines (line_id, line; copies allowed) that some scheme links to another line.
 
-    In each of several rounds every band bucket compares its lines with one of them or with several, its heads. A
+    In a first round every band bucket compares its lines with one of them, in further ones with several, its heads. A
     head has then met its whole bucket and leaves it, and a bucket of which one component is left is done, so
     pairs are done with after one round and later rounds see large buckets only. Then every pair of a bucket whose ends are
     still apart is compared as well, so no link between components is lost, and a group of near copies
     costs some stars, not a square. Pairs whose marks rule them out go first; the rest are read as whole lines.
     """
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(_normal(F.col("line")).alias("line")).where("line <> ''").select(F.xxhash64("line").alias("line_id"), "line")
-    brief = places.where("line IS NOT NULL").select("line_id", "line")
     size = F.char_length("line")
     bucketed = None
     for k, s in enumerate(schemes):
-        source = lines if s.most is None or s.most > short else brief.dropDuplicates(["line_id"])
-        own = source.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)).select("line_id", F.encode("line", "UTF-32").alias("chars"))
+        source = lines.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most))
+        # copies of short lines are many and cheap to bring together
+        source = source if s.most is None else source.dropDuplicates(["line_id"])
+        own = source.select("line_id", F.encode("line", "UTF-32").alias("chars"))
         rows = signatures(own, s.bands, s.rows, s.shingle, k)
         bucketed = rows if bucketed is None else bucketed.union(rows)
-    # one shuffle serves the count of each band and the join with it
-    bucketed = bucketed.repartition("band")
-    full = bucketed.groupBy("band").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y")).where("x <> y").select("band")
-    members = scratch.keep(bucketed.join(full, "band"))
+    # one shuffle and one sort serve both windows; the second sees only the few buckets of several lines
+    bucket = Window.partitionBy("band")
+    full = bucketed.select("*", F.min("line_id").over(bucket).alias("x"), F.max("line_id").over(bucket).alias("y")).where("x <> y")
+    members = scratch.keep(full.select("band", "line_id", F.min_by("line_id", F.xxhash64(F.lit(0), "line_id")).over(bucket).alias("head")))
     ids = scratch.keep(members.select("line_id").distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    n_ids = ids.count()
+    wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     texts = scratch.keep(lines.join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"]))
     scheme = F.col("band").bitwiseAND(F.lit((1 << SCHEME_BITS) - 1)).cast("int")
     marked = None
     for k, s in enumerate(schemes):
-        made = marks(texts.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)), s.shingle).withColumn("scheme", F.lit(k))
+        made = marks(texts.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)), s.shingle, -(-n_ids // MARKED) or 1).withColumn("scheme", F.lit(k))
         marked = made if marked is None else marked.union(made)
     marked = scratch.keep(marked)
     pair = ["a", "b", "scheme"]
-    # A fixed number of partitions: the pairs are small rows, but each costs a comparison of two lines.
-    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         for end in "ab":
             pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col("line").alias(f"line_{end}")), end)
         pairs = pairs.withColumns({f"chars_{end}": F.encode(f"line_{end}", "UTF-32") for end in "ab"})
-        good = F.lit(False)
-        for k, s in enumerate(schemes):
-            good = F.when(F.col("scheme") == k, similar("chars_a", "chars_b", s.shingle, similarity)).otherwise(good)
-        return pairs.where(good).select("a", "b", "of_a", "of_b")
+        sets = {end: F.expr("CASE " + " ".join(f"WHEN scheme = {k} THEN {_hashes(f'chars_{end}', s.shingle)}" for k, s in enumerate(schemes)) + " END") for end in "ab"}
+        # a generator keeps the filter from taking the hashes into itself, where each use would build them anew
+        pairs = pairs.select("a", "b", "of_a", "of_b", F.inline(F.array(F.struct(*[h.alias(f"set_{end}") for end, h in sets.items()]))))
+        return pairs.where(similar("set_a", "set_b", similarity)).select("a", "b", "of_a", "of_b")
 
     def step(pairs: DataFrame, *frames: DataFrame) -> tuple[DataFrame, ...]:
         """Links the pairs (a, b, scheme, of_a, of_b) that are similar; the frames with their new components."""
-        found = scratch.keep(linked(scratch.keep(pairs.repartition(wide, *pair).dropDuplicates(pair))))
+        found = scratch.keep(linked(scratch.keep(pairs.dropDuplicates(pair))))
         if found.isEmpty():
             return frames
         moved = connected_components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch)
@@ -212,21 +210,17 @@ def line_components(docs: DataFrame, text: str, places: DataFrame, short: int, s
         return rows.select(*ends, scheme.alias("scheme")).dropDuplicates(pair)
 
     labels = ids.withColumn("component", F.col("line_id"))
-    rows = members.withColumn("component", F.col("line_id"))
+    rows = members.where("line_id <> head")
+    pairs = rows.select(F.least("line_id", "head").alias("a"), F.greatest("line_id", "head").alias("b"), scheme.alias("scheme")).distinct()
+    for end in "ab":
+        pairs = pairs.join(marked.select(F.col("line_id").alias(end), "scheme", F.col("mark").alias(f"mark_{end}")), [end, "scheme"])
+    pairs = pairs.where(may_be_similar("mark_a", "mark_b", similarity)).select(*pair, F.col("a").alias("of_a"), F.col("b").alias("of_b"))
+    rows, labels = step(pairs, rows.select("band", "line_id", F.col("line_id").alias("component")), labels)
     ends = F.min("component").alias("x"), F.max("component").alias("y")
-    for turn in range(ROUNDS):
-        order = F.xxhash64(F.lit(turn), "line_id")
-        heads = rows.groupBy("band").agg(F.min_by("line_id", order).alias("head"), F.min_by("component", order).alias("of_head"), *ends).where("x <> y").drop("x", "y")
-        held = scratch.keep(rows.join(heads, "band"))
-        pairs = ordered(held.where("component <> of_head"))
-        for end in "ab":
-            pairs = pairs.join(marked.select(F.col("line_id").alias(end), "scheme", F.col("mark").alias(f"mark_{end}")), [end, "scheme"])
-        pairs = pairs.where(may_be_similar("mark_a", "mark_b", similarity)).select(*pair, "of_a", "of_b")
-        rows, labels = step(pairs, held.where("line_id <> head").select("band", "line_id", "component"), labels)
     split = rows.groupBy("band").agg(*ends).where("x <> y").select("band")
     rows = scratch.keep(rows.join(split, "band").withColumn("scheme", scheme).join(marked, ["line_id", "scheme"]).drop("scheme"))
     few, before = int(APART * members.count()), None
-    for turn in range(ROUNDS, MOST_ROUNDS):
+    for turn in range(1, MOST_ROUNDS):
         left = pairs_apart(rows)
         if left <= few or (before is not None and left > 0.95 * before):
             break
@@ -270,9 +264,8 @@ def dedup_lines(
     scratch = Scratch(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).withColumn("text_hash", F.xxhash64("body"))
     schemes = [Scheme(shingle, bands, rows, least=shingle), Scheme(SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS, most=max(SHORT, shingle))]
-    short = max(SHORT, shingle)
-    places = scratch.keep(line_places(plain, "body", short))
-    found = line_components(plain, "body", places, short, scratch, schemes, similarity)
+    places = scratch.keep(line_places(plain, "body"))
+    found = line_components(places.select("line_id", "line"), scratch, schemes, similarity)
     places = scratch.keep(relabel(places, found, "line_id").select("doc", "text_hash", "at", "component"))
     place = F.struct("doc", "text_hash", "at")
     first = places.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")

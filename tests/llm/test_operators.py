@@ -506,3 +506,19 @@ def test_line_dedup_settles_pairs_apart_by_their_marks(spark, monkeypatch):
     out = rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).select("doc_id", "text"))
     assert len([t for _, t in out if t]) == len(set(group.values())) > 1
     assert sum(compared) <= 120
+
+
+def test_line_dedup_brings_each_bucket_together_once(spark, monkeypatch):
+    """All bands are shuffled once to find the buckets of several lines, and meet no join; texts are cut into lines once before that."""
+    plans, keep = [], line_dedup.Scratch.keep
+
+    def noted(self, df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df)
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", noted)
+    texts = ["a line that stands here and there\nand another one", "A line that stands here and there", "nothing of the kind"]
+    out = dict(rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "text")))
+    assert out == {0: texts[0], 1: "", 2: texts[2]}
+    first = next(plan for columns, plan in plans if "band" in columns)
+    assert first.count("Exchange hashpartitioning(band") == 1 and "Join" not in first and "split(" not in first
