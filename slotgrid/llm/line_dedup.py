@@ -24,9 +24,11 @@ SHORT_BANDS, SHORT_ROWS = 13, 5
 MOST_ROUNDS = 14
 APART = 20
 HEADS = 8
-#: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes, and lines that one task marks.
-MARK = 32
-MARKED = 3_000
+#: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes, and shingles of one row that makes it.
+MARK, MARK_BLOCK = 32, 2
+WORDS = [f"w{i}" for i in range(MARK)]
+#: Words compared while pairs are made; all are for pairs that these leave.
+FIRST_WORDS = 8
 #: Lines of a bucket compared with all of it by one task; a larger bucket is dealt to several.
 SHARE = 500
 #: Places of a component beyond which it counts as hot.
@@ -46,33 +48,44 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def _shingles(code_points: str, shingle: int) -> str:
-    """SQL for the start bytes of all shingles of a UTF-32 column, four bytes a code point; a shorter line is one shingle."""
-    return f"sequence(1, greatest(1, octet_length({code_points}) - {4 * (shingle - 1)}), 4)"
-
-
 def _seed(j: int, n: int) -> int:
     """The j-th of n points spread evenly over the signed 32-bit numbers."""
     return (j << 32) // n - (1 << 31)
 
 
+def with_chars(lines: DataFrame) -> DataFrame:
+    """`lines` (line_id, line) as (line_id, chars, unit): bytes of `unit` a character, which are 2 (UTF-16) where every character has so many, else 4 (UTF-32)."""
+    short = lines.select("line_id", "line", F.encode("line", "UTF-16BE").alias("chars"))
+    fits = F.octet_length("chars") == 2 * F.char_length("line")
+    return short.select("line_id", F.when(fits, F.col("chars")).otherwise(F.encode("line", "UTF-32")).alias("chars"), F.when(fits, 2).otherwise(4).alias("unit"))
+
+
+def shingle_blocks(lines: DataFrame, shingle: int, wide: int) -> DataFrame:
+    """(line_id, h0, h1 ...): 32-bit hashes of `wide` neighbouring shingles of `lines` (line_id, chars, unit) a row.
+
+    A shorter line is one shingle. A hash is that of the shingle in UTF-16, whatever the unit. Places past the last shingle repeat it.
+    """
+    last = F.expr(f"greatest(1, octet_length(chars) - unit * {shingle} + 1)")
+    blocks = lines.select("line_id", "chars", "unit", last.alias("last")).select("line_id", "chars", "unit", "last", F.explode(F.expr(f"sequence(1, last, unit * {wide})")).alias("at"))
+
+    cut = blocks.select("line_id", "unit", *[F.expr(f"substring(chars, least(at + {i} * unit, last), {shingle} * unit)").alias(f"s{i}") for i in range(wide)])
+    return cut.select("line_id", *[F.expr(f"hash(IF(unit = 2, s{i}, encode(decode(s{i}, 'UTF-32'), 'UTF-16BE')))").alias(f"h{i}") for i in range(wide)])
+
+
 def signatures(lines: DataFrame, bands: int, rows: int, shingle: int, scheme: int = 0) -> DataFrame:
-    """(line_id, band): one row per line and band, from `lines` (line_id, chars as UTF-32 bytes); the lowest `SCHEME_BITS` of a band are its scheme.
+    """(line_id, band): one row per line and band, from `lines` (line_id, chars, unit); the lowest `SCHEME_BITS` of a band are its scheme.
 
     The j-th minimum is that of hash XOR c_j for points c_j spread over the hash range: the shingle
     nearest to c_j in the XOR order. Any shingle of a union is equally likely to be it, so two lines
     agree with a probability equal to their Jaccard similarity, and one hash a shingle serves all. Hashes of 32 bits make
     the minima half as long; where two shingles share one, a pair too many is compared.
-    A row stands for a block of neighbouring shingles, whose least values are taken before any grouping; places past
-    the last shingle repeat it, which changes no minimum.
+    The least values of a block of neighbouring shingles are taken before any grouping.
     """
     n = bands * rows
     parts = -(-n // MINIMA)
     own = -(-bands // parts)
     wide = max(2, BLOCK_CELLS // (own * rows))
-    last = f"greatest(1, octet_length(chars) - {4 * (shingle - 1)} - 3)"
-    blocks = lines.select("line_id", "chars", F.expr(last).alias("last")).select("line_id", "chars", "last", F.explode(F.expr(f"sequence(1, last, {4 * wide})")).alias("at"))
-    hashed = blocks.select("line_id", *[F.expr(f"hash(substring(chars, least(at + {4 * i}, last), {4 * shingle}))").alias(f"h{i}") for i in range(wide)])
+    hashed = shingle_blocks(lines, shingle, wide)
     point, keys = {}, ["line_id"]
     if parts > 1:
         # many minima in one aggregate make code too long to be compiled, so a part of the bands is a group of its own
@@ -89,44 +102,58 @@ def signatures(lines: DataFrame, bands: int, rows: int, shingle: int, scheme: in
     return bands_of.where("band IS NOT NULL").select("line_id", F.expr(f"shiftleft(band, {SCHEME_BITS}) | {scheme}L").alias("band"))
 
 
-def _hashes(chars: str, shingle: int) -> str:
-    """SQL for the shingle hashes of a UTF-32 column, repeats included; the outer lambda reads the bytes once, not once a shingle."""
-    return f"transform(array({chars}), c -> transform({_shingles('c', shingle)}, p -> xxhash64(substring(c, p, {4 * shingle}))))[0]"
+def _hashes(chars: str, shingle: int, as_utf16: bool = False) -> str:
+    """SQL for the shingle hashes of a column of `unit` bytes a character, repeats included; the outer lambda reads the bytes once, not once a shingle.
 
+    With `as_utf16` a hash is that of the shingle in UTF-16 whatever the unit, else lines of one unit alone compare.
+    """
+    def of(unit: int) -> str:
+        own = f"substring(c, p, {unit * shingle})"
+        own = f"encode(decode({own}, 'UTF-32'), 'UTF-16BE')" if as_utf16 and unit == 4 else own
+        return f"transform(sequence(1, greatest(1, octet_length(c) - {unit * shingle} + 1), {unit}), p -> xxhash64({own}))"
 
-def similar(a: str, b: str, similarity: float) -> Column:
-    """Whether the exact Jaccard similarity of two columns of shingle hashes reaches the limit."""
-    return F.expr(f"size(array_intersect({a}, {b})) >= {similarity}D * size(array_union({a}, {b}))")
+    return f"transform(array({chars}), c -> IF(unit = 2, {of(2)}, {of(4)}))[0]"
 
 
-def marks(lines: DataFrame, shingle: int, tasks: int) -> DataFrame:
-    """(line_id, mark): per line, `w0` and on hold for each bit whether an odd number of its distinct shingles falls on it; `n` counts them.
+def marks(lines: DataFrame, shingle: int) -> DataFrame:
+    """(line_id, w0, w1 ..., n): per line (line_id, line) words of 64 bits, on hold for each bit whether an odd number of its distinct shingles falls on it; `n` counts them.
 
-    The lines are dealt once, by id; all groupings after that stay where their line lies. The `tasks` are many enough for the
-    distinct shingles of one to fit its memory: the lines are small, but their shingles take some fifty times the room.
+    A line's distinct shingles are an array of its row, so nothing is grouped by shingle; the words are made from blocks of that array.
     """
-    last = f"greatest(1, octet_length(chars) - {4 * (shingle - 1)} - 3)"
-    chars = lines.repartition(tasks, "line_id").select("line_id", F.encode("line", "UTF-32").alias("chars")).select("line_id", "chars", F.expr(last).alias("last"))
-    hashed = chars.select("line_id", "chars", F.explode(F.expr("sequence(1, last, 4)")).alias("at")).select("line_id", F.expr(f"xxhash64(substring(chars, at, {4 * shingle}))").alias("h")).distinct()
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARK - 1)).cast("int")
-    bits = hashed.groupBy("line_id", word.alias("word")).agg(F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits"), F.count(F.lit(1)).alias("n"))
-    words = [F.max(F.when(F.col("word") == i, F.col("bits"))) for i in range(MARK)]
-    made = bits.groupBy("line_id").agg(*[F.coalesce(w, F.lit(0)).alias(f"w{i}") for i, w in enumerate(words)], F.sum("n").alias("n"))
-    return made.select("line_id", F.struct(*[f"w{i}" for i in range(MARK)], "n").alias("mark"))
+    chars = with_chars(lines).select("line_id", "chars", "unit")
+    sets = chars.select("line_id", F.array_distinct(F.expr(_hashes("chars", shingle, True))).alias("hashes"))
+    blocks = sets.select("line_id", "hashes", F.size("hashes").alias("n")).select("line_id", "hashes", "n", F.explode(F.expr(f"sequence(0, n - 1, {MARK_BLOCK})")).alias("at"))
+    places = range(MARK_BLOCK)
+    # past the last shingle stands a null, which sets no bit
+    found = blocks.select("line_id", "n", *[F.expr(f"get(hashes, at + {i})").alias(f"h{i}") for i in places])
+    cut = found.select(
+        "line_id", "n", *[F.expr(f"coalesce(CAST(shiftrightunsigned(h{i}, 6) & {MARK - 1} AS INT), -1)").alias(f"word{i}") for i in places],
+        *[F.expr(f"coalesce(shiftleft(1L, CAST(h{i} & 63 AS INT)), 0L)").alias(f"bit{i}") for i in places],
+    )
+    words = cut.select("line_id", "n", *[F.expr(" ^ ".join(f"IF(word{i} = {k}, bit{i}, 0L)" for i in places)).alias(w) for k, w in enumerate(WORDS)])
+    return words.groupBy("line_id").agg(*[F.bit_xor(w).alias(w) for w in WORDS], F.max("n").alias("n"))
+
+
+def _apart(words: int) -> str:
+    return " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in WORDS[:words])
 
 
-def may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """False only for lines that cannot reach the limit; the sizes and a part of the marks settle most pairs.
+def may_be_similar(similarity: float) -> Column:
+    """False only for lines whose sizes or first words, in columns that end in `_a` and `_b`, tell that they cannot reach the limit.
 
     Shared shingles cancel out, so two marks differ in no more bits than the shingle sets differ in
     members, which at the limit is (1 - limit) / (1 + limit) of the sum of the sizes.
     """
-    def apart(words: int) -> str:
-        return " + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(words))
+    return F.expr(f"least(n_a, n_b) >= {similarity}D * greatest(n_a, n_b) - 1e-6D AND {_apart(FIRST_WORDS)} <= {(1 - similarity) / (1 + similarity)}D * (n_a + n_b) + 1e-6D")
 
-    sizes = f"least({a}.n, {b}.n) >= {similarity}D * greatest({a}.n, {b}.n) - 1e-6D"
-    most = f"{(1 - similarity) / (1 + similarity)}D * ({a}.n + {b}.n) + 1e-6D"
-    return F.expr(f"{sizes} AND {apart(MARK // 2)} <= {most} AND {apart(MARK)} <= {most}")
+
+def by_marks(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, scheme, of_a, of_b, n): the pairs of lines with their marks that all words leave, each once; `n` is the sum of their sizes.
+
+    The words are compared while pairs are grouped: in the condition of a join their code would be too long to be compiled.
+    """
+    grouped = pairs.groupBy("a", "b", "scheme").agg(*[F.min(x).alias(x) for x in ("of_a", "of_b")], F.min(F.expr("n_a + n_b")).alias("n"), F.min(F.expr(_apart(MARK))).alias("apart"))
+    return grouped.where(F.expr(f"apart <= {(1 - similarity) / (1 + similarity)}D * n + 1e-6D")).drop("apart")
 
 
 @dataclass(frozen=True)
@@ -142,7 +169,7 @@ class Scheme:
 
 def line_places(docs: DataFrame, text: str) -> DataFrame:
     """(doc, text_hash, at, line_id, line): the places of all lines that are not blank."""
-    cut = docs.select("doc", "text_hash", F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("line", _normal(F.col("line"))).where("line <> ''")
+    cut = docs.select("doc", "text_hash", F.posexplode(F.split(text, "\n")).alias("at", "line")).where("trim(line) <> ''").withColumn("line", _normal(F.col("line")))
     return cut.select("doc", "text_hash", "at", F.xxhash64("line").alias("line_id"), "line")
 
 
@@ -161,37 +188,40 @@ def line_components(lines: DataFrame, scratch: Scratch, schemes: list[Scheme], s
         source = lines.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most))
         # copies of short lines are many and cheap to bring together
         source = source if s.most is None else source.dropDuplicates(["line_id"])
-        own = source.select("line_id", F.encode("line", "UTF-32").alias("chars"))
-        rows = signatures(own, s.bands, s.rows, s.shingle, k)
+        rows = signatures(with_chars(source), s.bands, s.rows, s.shingle, k)
         bucketed = rows if bucketed is None else bucketed.union(rows)
     # one shuffle and one sort serve both windows; the second sees only the few buckets of several lines
     bucket = Window.partitionBy("band")
     full = bucketed.select("*", F.min("line_id").over(bucket).alias("x"), F.max("line_id").over(bucket).alias("y")).where("x <> y")
     members = scratch.keep(full.select("band", "line_id", F.min_by("line_id", F.xxhash64(F.lit(0), "line_id")).over(bucket).alias("head")))
     ids = scratch.keep(members.select("line_id").distinct())
-    n_ids = ids.count()
-    wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = scratch.keep(lines.join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"]))
     scheme = F.col("band").bitwiseAND(F.lit((1 << SCHEME_BITS) - 1)).cast("int")
     marked = None
     for k, s in enumerate(schemes):
-        made = marks(texts.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)), s.shingle, -(-n_ids // MARKED) or 1).withColumn("scheme", F.lit(k))
+        made = marks(texts.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)), s.shingle).withColumn("scheme", F.lit(k))
         marked = made if marked is None else marked.union(made)
     marked = scratch.keep(marked)
-    pair = ["a", "b", "scheme"]
+    marks_of_both = [f"{w}_{end}" for w in [*WORDS, "n"] for end in "ab"]
+
+    def mark_of(end: str) -> list[Column]:
+        return [F.col(w).alias(f"{w}_{end}") for w in [*WORDS, "n"]]
 
     def linked(pairs: DataFrame) -> DataFrame:
         for end in "ab":
             pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col("line").alias(f"line_{end}")), end)
-        pairs = pairs.withColumns({f"chars_{end}": F.encode(f"line_{end}", "UTF-32") for end in "ab"})
+        pairs = pairs.withColumns({f"short_{end}": F.encode(f"line_{end}", "UTF-16BE") for end in "ab"})
+        fits = F.expr(" AND ".join(f"octet_length(short_{end}) = 2 * char_length(line_{end})" for end in "ab"))
+        pairs = pairs.withColumns({f"chars_{end}": F.when(fits, F.col(f"short_{end}")).otherwise(F.encode(f"line_{end}", "UTF-32")) for end in "ab"}).withColumn("unit", F.when(fits, 2).otherwise(4))
         sets = {end: F.expr("CASE " + " ".join(f"WHEN scheme = {k} THEN {_hashes(f'chars_{end}', s.shingle)}" for k, s in enumerate(schemes)) + " END") for end in "ab"}
-        # a generator keeps the filter from taking the hashes into itself, where each use would build them anew
-        pairs = pairs.select("a", "b", "of_a", "of_b", F.inline(F.array(F.struct(*[h.alias(f"set_{end}") for end, h in sets.items()]))))
-        return pairs.where(similar("set_a", "set_b", similarity)).select("a", "b", "of_a", "of_b")
+        # a generator keeps the filter from taking the count into itself, where each use would build the sets anew
+        pairs = pairs.select("a", "b", "of_a", "of_b", "n", F.explode(F.array(F.size(F.array_intersect(sets["a"], sets["b"])))).alias("shared"))
+        return pairs.where(f"shared >= {similarity}D * (n - shared)").select("a", "b", "of_a", "of_b")
 
     def step(pairs: DataFrame, *frames: DataFrame) -> tuple[DataFrame, ...]:
-        """Links the pairs (a, b, scheme, of_a, of_b) that are similar; the frames with their new components."""
-        found = scratch.keep(linked(scratch.keep(pairs.dropDuplicates(pair))))
+        """Links the pairs (a, b, scheme, of_a, of_b, with marks) that are similar; the frames with their new components."""
+        found = scratch.keep(linked(scratch.keep(by_marks(pairs, similarity))))
         if found.isEmpty():
             return frames
         moved = connected_components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch)
@@ -207,14 +237,14 @@ def line_components(lines: DataFrame, scratch: Scratch, schemes: list[Scheme], s
         """Pairs of a line and a head, smaller id first."""
         swap = F.col("line_id") > F.col("head")
         ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in (("line_id", "head", "a"), ("head", "line_id", "b"), ("component", "of_head", "of_a"), ("of_head", "component", "of_b"))]
-        return rows.select(*ends, scheme.alias("scheme")).dropDuplicates(pair)
+        return rows.select(*ends, scheme.alias("scheme"), *marks_of_both)
 
     labels = ids.withColumn("component", F.col("line_id"))
     rows = members.where("line_id <> head")
     pairs = rows.select(F.least("line_id", "head").alias("a"), F.greatest("line_id", "head").alias("b"), scheme.alias("scheme")).distinct()
     for end in "ab":
-        pairs = pairs.join(marked.select(F.col("line_id").alias(end), "scheme", F.col("mark").alias(f"mark_{end}")), [end, "scheme"])
-    pairs = pairs.where(may_be_similar("mark_a", "mark_b", similarity)).select(*pair, F.col("a").alias("of_a"), F.col("b").alias("of_b"))
+        pairs = pairs.join(marked.select(F.col("line_id").alias(end), "scheme", *mark_of(end)), [end, "scheme"])
+    pairs = pairs.where(may_be_similar(similarity)).withColumns({"of_a": F.col("a"), "of_b": F.col("b")})
     rows, labels = step(pairs, rows.select("band", "line_id", F.col("line_id").alias("component")), labels)
     ends = F.min("component").alias("x"), F.max("component").alias("y")
     split = rows.groupBy("band").agg(*ends).where("x <> y").select("band")
@@ -229,16 +259,17 @@ def line_components(lines: DataFrame, scratch: Scratch, schemes: list[Scheme], s
         each = [F.min_by("line_id", F.xxhash64(F.lit(turn * HEADS + k), "line_id")) for k in range(HEADS)]
         heads = rows.groupBy("band").agg(F.array_distinct(F.array(*each)).alias("heads"), *ends).where("x <> y")
         heads = scratch.keep(heads.select("band", F.explode("heads").alias("line_id")))
-        known = rows.join(heads, ["band", "line_id"]).select("band", F.col("line_id").alias("head"), F.col("component").alias("of_head"), F.col("mark").alias("mark_head"))
-        pairs = ordered(rows.join(known, "band").where("component <> of_head").where(may_be_similar("mark", "mark_head", similarity)))
+        known = rows.join(heads, ["band", "line_id"]).select("band", F.col("line_id").alias("head"), F.col("component").alias("of_head"), *mark_of("b"))
+        own = rows.select("band", "line_id", "component", *mark_of("a"))
+        pairs = ordered(own.join(known, "band").where("component <> of_head").where(may_be_similar(similarity)))
         rows, labels = step(pairs, rows.join(heads, ["band", "line_id"], "left_anti"), labels)
     split = rows.groupBy("band").agg(*ends, F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("x <> y").select("band", "shares")
     apart = rows.join(split, "band").withColumn("scheme", scheme)
-    left, right = (apart.select("band", "scheme", "shares", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), F.col("mark").alias(f"mark_{n}")) for n in "ab")
+    left, right = (apart.select("band", "scheme", "shares", F.col("line_id").alias(n), F.col("component").alias(f"of_{n}"), *mark_of(n)) for n in "ab")
     left = left.withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
     right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares", "scheme")
-    rest = left.join(right, ["band", "share"]).where("of_a <> of_b AND a < b").where(may_be_similar("mark_a", "mark_b", similarity))
-    (labels,) = step(rest.select(*pair, "of_a", "of_b"), labels)
+    rest = left.join(right, ["band", "share"]).where("of_a <> of_b AND a < b").where(may_be_similar(similarity))
+    (labels,) = step(rest, labels)
     return labels.where("line_id <> component").select(F.col("line_id").alias("node"), "component")
 
 
@@ -261,7 +292,7 @@ def dedup_lines(
     stays null with no lines; rows equal in id and text are one document and keep the same lines; all
     other columns pass through (n_lines and n_dropped are replaced). An empty table gives an empty one.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = Scratch(docs.sparkSession, "lines", "zstd")
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).withColumn("text_hash", F.xxhash64("body"))
     schemes = [Scheme(shingle, bands, rows, least=shingle), Scheme(SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS, most=max(SHORT, shingle))]
     places = scratch.keep(line_places(plain, "body"))

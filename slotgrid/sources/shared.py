@@ -20,10 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes tables as Parquet below the shared folder and reads them back."""
+    """Writes tables as Parquet below the shared folder and reads them back; `codec` is the files' compression, else the session's."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
         self.spark = spark
+        self.options = {"compression": codec} if codec else {}
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -34,5 +35,5 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.path()
-        df.write.parquet(path)
+        df.write.options(**self.options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -522,3 +522,40 @@ def test_line_dedup_brings_each_bucket_together_once(spark, monkeypatch):
     assert out == {0: texts[0], 1: "", 2: texts[2]}
     first = next(plan for columns, plan in plans if "band" in columns)
     assert first.count("Exchange hashpartitioning(band") == 1 and "Join" not in first and "split(" not in first
+
+
+def test_line_dedup_code_is_short_enough_to_be_compiled(spark, monkeypatch):
+    """The JVM interprets methods of over 8,000 bytes, as the comparison of all words of two marks inside a join was."""
+    found, keep = [], line_dedup.Scratch.keep
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package")
+
+    def noted(self, df):
+        code = debug.codegenString(df._jdf.queryExecution().executedPlan())
+        found.extend((int(x), df.columns) for x in re.findall(r"maxMethodCodeSize:(\d+)", code))
+        return keep(self, df)
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", noted)
+    rng = random.Random(6)
+    base = "".join(rng.choices("abcdefghijklmnop ", k=258)).join("xy")
+    near = ["".join(chr(rng.randrange(0x100, 0x400)) if k % 30 == i else c for k, c in enumerate(base)) for i in range(20)]
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert len(rows(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")))) == 20
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(found) > 30 and max(found)[0] <= 8_000, max(found)
+
+
+def test_line_dedup_of_characters_of_four_bytes(spark):
+    """A line with a character outside the basic plane meets its near copies with and without one."""
+    rng = random.Random(7)
+    base = ["".join(rng.choices("abcdefghijklmnop \u00e9\u4e2d", k=n)).join("xy") for n in (140, 180, 300)]
+    texts = ["\n".join(x[:k] + c + x[k + 1 :] for x in base) for k, c in ((20, "z"), (20, "\U0001f600"), (24, "\U00020000"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group, out = plain_lines(df), dict(rows(line_dedup.dedup_lines(df).select("doc_id", "text")))
+    assert out[0] == texts[0] and len(set(group.values())) == 3
+    assert len([x for t in out.values() for x in t.split("\n") if x]) == len(set(group.values()))
