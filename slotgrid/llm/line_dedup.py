@@ -27,8 +27,6 @@ HEADS = 8
 #: 64-bit words of a line's mark, a parity bitmap of its distinct shingle hashes, and shingles of one row that makes it.
 MARK, MARK_BLOCK = 32, 2
 WORDS = [f"w{i}" for i in range(MARK)]
-#: Words compared while pairs are made; all are for pairs that these leave.
-FIRST_WORDS = 8
 #: Lines of a bucket compared with all of it by one task; a larger bucket is dealt to several.
 SHARE = 500
 #: Places of a component beyond which it counts as hot.
@@ -134,26 +132,20 @@ def marks(lines: DataFrame, shingle: int) -> DataFrame:
     return words.groupBy("line_id").agg(*[F.bit_xor(w).alias(w) for w in WORDS], F.max("n").alias("n"))
 
 
-def _apart(words: int) -> str:
-    return " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in WORDS[:words])
-
-
 def may_be_similar(similarity: float) -> Column:
-    """False only for lines whose sizes or first words, in columns that end in `_a` and `_b`, tell that they cannot reach the limit.
+    """False only for lines that cannot reach the limit, told by their sizes `n_a`, `n_b` and the words of `mark_a`, `mark_b`.
 
     Shared shingles cancel out, so two marks differ in no more bits than the shingle sets differ in
-    members, which at the limit is (1 - limit) / (1 + limit) of the sum of the sizes.
+    members, which at the limit is (1 - limit) / (1 + limit) of the sum of the sizes. A join's condition of
+    all words once, in structs, is code short enough to be compiled.
     """
-    return F.expr(f"least(n_a, n_b) >= {similarity}D * greatest(n_a, n_b) - 1e-6D AND {_apart(FIRST_WORDS)} <= {(1 - similarity) / (1 + similarity)}D * (n_a + n_b) + 1e-6D")
+    apart = " + ".join(f"bit_count(mark_a.{w} ^ mark_b.{w})" for w in WORDS)
+    return F.expr(f"least(n_a, n_b) >= {similarity}D * greatest(n_a, n_b) - 1e-6D AND {apart} <= {(1 - similarity) / (1 + similarity)}D * (n_a + n_b) + 1e-6D")
 
 
-def by_marks(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, scheme, of_a, of_b, n): the pairs of lines with their marks that all words leave, each once; `n` is the sum of their sizes.
-
-    The words are compared while pairs are grouped: in the condition of a join their code would be too long to be compiled.
-    """
-    grouped = pairs.groupBy("a", "b", "scheme").agg(*[F.min(x).alias(x) for x in ("of_a", "of_b")], F.min(F.expr("n_a + n_b")).alias("n"), F.min(F.expr(_apart(MARK))).alias("apart"))
-    return grouped.where(F.expr(f"apart <= {(1 - similarity) / (1 + similarity)}D * n + 1e-6D")).drop("apart")
+def each_once(pairs: DataFrame) -> DataFrame:
+    """(a, b, scheme, of_a, of_b, n): each pair of lines once; `n` is the sum of their sizes."""
+    return pairs.groupBy("a", "b", "scheme").agg(*[F.min(x).alias(x) for x in ("of_a", "of_b")], F.min(F.expr("n_a + n_b")).alias("n"))
 
 
 @dataclass(frozen=True)
@@ -203,10 +195,8 @@ def line_components(lines: DataFrame, scratch: Scratch, schemes: list[Scheme], s
         made = marks(texts.where((size >= s.least) & (F.lit(True) if s.most is None else size <= s.most)), s.shingle).withColumn("scheme", F.lit(k))
         marked = made if marked is None else marked.union(made)
     marked = scratch.keep(marked)
-    marks_of_both = [f"{w}_{end}" for w in [*WORDS, "n"] for end in "ab"]
-
     def mark_of(end: str) -> list[Column]:
-        return [F.col(w).alias(f"{w}_{end}") for w in [*WORDS, "n"]]
+        return [F.struct(*WORDS).alias(f"mark_{end}"), F.col("n").alias(f"n_{end}")]
 
     def linked(pairs: DataFrame) -> DataFrame:
         for end in "ab":
@@ -220,8 +210,8 @@ def line_components(lines: DataFrame, scratch: Scratch, schemes: list[Scheme], s
         return pairs.where(f"shared >= {similarity}D * (n - shared)").select("a", "b", "of_a", "of_b")
 
     def step(pairs: DataFrame, *frames: DataFrame) -> tuple[DataFrame, ...]:
-        """Links the pairs (a, b, scheme, of_a, of_b, with marks) that are similar; the frames with their new components."""
-        found = scratch.keep(linked(scratch.keep(by_marks(pairs, similarity))))
+        """Links the pairs (a, b, scheme, of_a, of_b, n_a, n_b) that are similar; the frames with their new components."""
+        found = scratch.keep(linked(scratch.keep(each_once(pairs))))
         if found.isEmpty():
             return frames
         moved = connected_components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch)
@@ -237,7 +227,7 @@ def line_components(lines: DataFrame, scratch: Scratch, schemes: list[Scheme], s
         """Pairs of a line and a head, smaller id first."""
         swap = F.col("line_id") > F.col("head")
         ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in (("line_id", "head", "a"), ("head", "line_id", "b"), ("component", "of_head", "of_a"), ("of_head", "component", "of_b"))]
-        return rows.select(*ends, scheme.alias("scheme"), *marks_of_both)
+        return rows.select(*ends, scheme.alias("scheme"), "n_a", "n_b")
 
     labels = ids.withColumn("component", F.col("line_id"))
     rows = members.where("line_id <> head")
