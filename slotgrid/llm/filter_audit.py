@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import count, islice, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,14 @@ FILTERS = "ABCDE"
 #: The limits of the filters.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 ODD = b"#$%&*|"
-#: Bytes of text of one shard of the matrix, beyond which a further text starts the next one.
-SHARD_BYTES = 32_000_000
+#: Bytes of text and distinct words of one shard of the matrix, beyond which a further text starts the next one.
+SHARD_BYTES, SHARD_WORDS = 40_000_000, 800_000
+#: Bytes of text of one block of a shard's rows, and words of one row of its words: no row holds a whole shard, nor does a worker hold a shard's matrix.
+BLOCK_BYTES, WORDS = 250_000, 30_000
+#: Bytes that a document counts beside its text, so that blocks of empty texts end too.
+DOC_BYTES = 80
+#: Bytes of a row group of the stored shards, which a reader holds whole, and numbers that a task gathers before it hands them on.
+GROUP_BYTES, HELD = 16_000_000, 500_000
 #: Bytes of a long text that are cut into words at once.
 PIECE = 1_000_000
 #: Bits of a place that hold the position of a word in its shard, and the shards that one task may make.
@@ -45,21 +51,23 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 
 class Shard:
-    """Rows of the matrix with word numbers of their own, in the order of first occurrence, and what the other filters need of each text."""
+    """Rows of the matrix, handed on in blocks, with word numbers of the shard's own, in the order of first occurrence, and what the other filters need of each text."""
 
-    def __init__(self) -> None:
-        self.words: defaultdict[bytes, int] = defaultdict()
-        self.words.default_factory = self.words.__len__
-        self.size = 0
+    def __init__(self, number: int) -> None:
+        self.number, self.size = number, 0
+        # a counter, as a dictionary whose default is its own length refers to itself and outlives its shard
+        self.words: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held = 0
         self.ids, self.parts, self.points, self.capitals, self.odd, self.digests = [], [], [], [], [], []
-        self.columns, self.counts, self.widths = [], [], []
+        self.numbers = []
 
     def add(self, doc: int | None, part: str, text: bytes) -> None:
-        numbers = np.concatenate([np.fromiter(map(self.words.__getitem__, found := p.split()), np.int64, len(found)) for p in pieces(text)])
-        columns, counts = np.unique(numbers, return_counts=True)
-        self.columns.append(columns.astype(np.int32))
-        self.counts.append(counts.astype(np.int32))
-        self.widths.append(len(columns))
+        self.numbers.append(np.concatenate([np.fromiter(map(self.words.__getitem__, found := p.split()), np.int64, len(found)) for p in pieces(text)]))
+        if len(self.words) >> AT_BITS:
+            raise ValueError("a text has too many distinct words")
         points = np.frombuffer(text, np.uint8)
         self.ids.append(doc)
         self.parts.append(part)
@@ -67,46 +75,63 @@ class Shard:
         self.capitals.append(int(np.count_nonzero((points >= 65) & (points <= 90))))
         self.odd.append(any(c in text for c in ODD))
         self.digests.append(xxhash.xxh3_128_digest(text))
-        self.size += len(text)
-
-    def record(self, number: int) -> pa.RecordBatch:
-        if len(self.words) >> AT_BITS:
-            raise ValueError("a text has too many distinct words")
-        starts = np.concatenate([[0], np.cumsum(self.widths)])
+        self.size += len(text) + DOC_BYTES
+        self.held += len(text) + DOC_BYTES
+
+    def block(self) -> pa.RecordBatch:
+        """One row with the documents since the last block; a column of the matrix is stored as its difference from the one before it in the block."""
+        rows = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.numbers])
+        cells, counts = np.unique(rows << AT_BITS | np.concatenate(self.numbers), return_counts=True)
+        columns = (cells & ((1 << AT_BITS) - 1)).astype(np.int32)
         one = {
-            "shard": pa.array([number], pa.int64()),
             "ids": self.ids, "parts": self.parts, "points": self.points, "capitals": self.capitals, "odd": self.odd, "digests": self.digests,
-            "starts": starts, "columns": np.concatenate(self.columns), "counts": np.concatenate(self.counts), "words": list(self.words),
+            "starts": np.searchsorted(cells >> AT_BITS, np.arange(len(self.ids) + 1)).astype(np.int32), "steps": np.diff(columns, prepend=np.int32(0)), "counts": counts.astype(np.int32),
         }
-        kinds = {"ids": pa.int64(), "parts": pa.string(), "points": pa.int64(), "capitals": pa.int64(), "odd": pa.bool_(), "digests": pa.binary(), "starts": pa.int32(), "columns": pa.int32(), "counts": pa.int32(), "words": pa.binary()}
-        for name, kind in kinds.items():
-            values = one[name]
-            values = pa.array(values.astype(np.int32)) if isinstance(values, np.ndarray) else pa.array(values, kind)
-            one[name] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays(list(one.values()), names=list(one))
+        self.clear()
+        return _row(self.number, one)
+
+    def dictionary(self) -> Iterator[pa.RecordBatch]:
+        """Rows with the words of the shard, of which `first` is the number of the first."""
+        rest = iter(self.words)
+        for first in range(0, len(self.words), WORDS):
+            yield _row(self.number, {"first": first, "words": list(islice(rest, WORDS))})
 
 
+KINDS = {
+    "shard": pa.int64(), "ids": pa.list_(pa.int64()), "parts": pa.list_(pa.string()), "points": pa.list_(pa.int64()), "capitals": pa.list_(pa.int64()), "odd": pa.list_(pa.bool_()),
+    "digests": pa.list_(pa.binary()), "starts": pa.list_(pa.int32()), "steps": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "first": pa.int32(), "words": pa.list_(pa.binary()),
+}
 SHARDS = (
     "shard long, ids array<long>, parts array<string>, points array<long>, capitals array<long>, odd array<boolean>, digests array<binary>, "
-    "starts array<int>, columns array<int>, counts array<int>, words array<binary>"
+    "starts array<int>, steps array<int>, counts array<int>, first int, words array<binary>"
 )
 
 
+def _row(number: int, one: dict) -> pa.RecordBatch:
+    """One row of the shards; what `one` lacks is null."""
+    return pa.RecordBatch.from_arrays([pa.array([number if name == "shard" else one.get(name)], kind) for name, kind in KINDS.items()], names=list(KINDS))
+
+
 def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """One row per shard of about `SHARD_BYTES` of text; a long text is a shard of its own, and no document is split."""
-    most = SHARD_BYTES
+    """Rows of shards of about `SHARD_BYTES` of text: blocks of documents, where `ids` is not null, and the words of the shard; no document is split."""
+    most, most_words, most_block = SHARD_BYTES, SHARD_WORDS, BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number = Shard(), TaskContext.get().partitionId() * MOST_SHARDS
-        last = number + MOST_SHARDS - 1
+        shard = Shard(TaskContext.get().partitionId() * MOST_SHARDS)
+        last = shard.number + MOST_SHARDS - 1
         for batch in batches:
             for doc, part, text in zip(*(column.to_pylist() for column in batch.columns)):
-                if shard.ids and shard.size + len(text) > most and number < last:
-                    yield shard.record(number)
-                    shard, number = Shard(), number + 1
+                if shard.ids and shard.held + len(text) > most_block:
+                    yield shard.block()
+                if shard.size and (shard.size + len(text) > most or len(shard.words) > most_words) and shard.number < last:
+                    if shard.ids:
+                        yield shard.block()
+                    yield from shard.dictionary()
+                    shard = Shard(shard.number + 1)
                 shard.add(doc, part, text)
         if shard.ids:
-            yield shard.record(number)
+            yield shard.block()
+        yield from shard.dictionary()
 
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -114,57 +139,95 @@ def shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFr
     return plain.mapInArrow(run, SHARDS)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (place, number) gathered by shard, as (shard, at, number), both lists; a shard may have several."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        place, number = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
+        held.clear()
+        order = np.argsort(place)
+        place, number = place[order], number[order]
+        shard, first = np.unique(place >> AT_BITS, return_index=True)
+        offsets = pa.array(np.append(first, len(place)).astype(np.int32))
+        at = pa.array((place & ((1 << AT_BITS) - 1)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.ListArray.from_arrays(offsets, at), pa.ListArray.from_arrays(offsets, pa.array(number))], names=["shard", "at", "number"])
+
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield out()
+            n = 0
+    if n:
+        yield out()
+
+
 def numbered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, part_col: str) -> DataFrame:
-    """Shards with `width`, the number of their own words, and for those of them that a shard before has too, `at` and `number`, in no order.
+    """Blocks of shards, each shard's in one partition behind rows with `at` and `number` for those of its words that a shard before has too.
 
     A word's global number is the smallest place (shard and position there) that it has, so one shuffle by word numbers all of them, and only words
     whose number is not their own place are sent back. A row is a distinct word of a shard, not an occurrence: a frequent word has a row a shard.
     Words are maximal runs without ASCII white space; a null text is empty.
     """
-    found = scratch.keep(shards(docs, id_col, text_col, part_col))
-    own = found.select(F.shiftleft("shard", AT_BITS).alias("shard"), F.posexplode("words").alias("at", "word")).select((F.col("shard") + F.col("at")).alias("place"), "word")
+    # small row groups, as a reader holds the arrays of a whole one
+    found = scratch.keep(shards(docs, id_col, text_col, part_col), **{"compression": "zstd", "parquet.block.size": str(GROUP_BYTES)})
+    own = found.where("words IS NOT NULL").select("shard", "first", F.posexplode("words").alias("at", "word"))
+    own = own.select((F.shiftleft("shard", AT_BITS) + F.col("first") + F.col("at")).alias("place"), "word")
     own = own.select("place", F.min("place").over(Window.partitionBy("word")).alias("number")).where("number <> place")
-    codes = own.groupBy(F.shiftright("place", AT_BITS).alias("shard")).agg(F.collect_list(F.struct((F.col("place") % (1 << AT_BITS)).cast("int").alias("at"), "number")).alias("codes"))
-    return found.withColumn("width", F.size("words")).drop("words").join(codes.select("shard", "codes.at", "codes.number"), "shard", "left")
-
-
-def _global(shard: int, width: int, columns: pa.Array, at: pa.Array, number: pa.Array) -> np.ndarray:
-    """A shard's own columns as global ones: the number sent back for a word, else its own place."""
-    codes = (shard << AT_BITS) + np.arange(width, dtype=np.int64)
-    codes[at.to_numpy()] = number.to_numpy()
-    return codes[columns.to_numpy()]
+    codes = own.mapInArrow(_pack, "shard long, at array<int>, number array<long>")
+    rows = found.where("ids IS NOT NULL").drop("first", "words").unionByName(codes, allowMissingColumns=True)
+    return rows.repartition("shard").sortWithinPartitions("shard", F.col("ids").isNotNull())
+
+
+def _global(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """For each block of numbered shards its `names` and its columns as global ones: the number sent back for a word, else its own place."""
+    shard, at, number = None, [], []
+    codes = np.zeros(0, np.int64)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            if (here := batch.column("shard")[i].as_py()) != shard:
+                shard, at, number, codes = here, [], [], np.zeros(0, np.int64)
+            if not batch.column("ids")[i].is_valid:
+                at.append(batch.column("at").slice(i, 1).flatten().to_numpy())
+                number.append(batch.column("number").slice(i, 1).flatten().to_numpy())
+                continue
+            if at:
+                all_at = np.concatenate(at)
+                codes = (shard << AT_BITS) + np.arange(all_at.max() + 1, dtype=np.int64)
+                codes[all_at] = np.concatenate(number)
+                at, number = [], []
+            own = np.cumsum(batch.column("steps").slice(i, 1).flatten().to_numpy(), dtype=np.int64)
+            columns = (shard << AT_BITS) + own
+            back = own < len(codes)
+            columns[back] = codes[own[back]]
+            yield [batch.column(name).slice(i, 1) for name in names], columns
 
 
 def document_term_matrix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """(ids, starts, columns, counts): `docs` as CSR shards whose columns are global word numbers; row i of a shard is the document ids[i]."""
+    """(ids, starts, columns, counts): `docs` as CSR blocks whose columns are global word numbers; row i of a block is the document ids[i]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard, width, ids, starts, columns, counts, at, number = (c.slice(i, 1) for c in batch.columns)
-                found = pa.array(_global(shard[0].as_py(), width[0].as_py(), columns.flatten(), at.flatten(), number.flatten()))
-                yield pa.RecordBatch.from_arrays([ids, starts, pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found), counts], names=["ids", "starts", "columns", "counts"])
+        for (ids, starts, counts), found in _global(batches, ["ids", "starts", "counts"]):
+            columns = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))
+            yield pa.RecordBatch.from_arrays([ids, starts, columns, counts], names=["ids", "starts", "columns", "counts"])
 
-    found = numbered(docs, scratch, id_col, text_col, part_col).select("shard", "width", "ids", "starts", "columns", "counts", "at", "number")
-    return found.mapInArrow(run, "ids array<long>, starts array<int>, columns array<long>, counts array<int>")
+    return numbered(docs, scratch, id_col, text_col, part_col).mapInArrow(run, "ids array<long>, starts array<int>, columns array<long>, counts array<int>")
 
 
 def measures(found: DataFrame) -> DataFrame:
     """One row per document of numbered shards: row sums and nonzero counts of the matrix as n_words and n_distinct, and what the shard holds of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard, width = (c[i].as_py() for c in batch.columns[:2])
-                ids, parts, points, capitals, odd, digests, starts, columns, counts, at, number = (c.slice(i, 1).flatten() for c in batch.columns[2:])
-                starts = starts.to_numpy()
-                filled = _global(shard, width, columns, at, number) >= 0
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (counts.to_numpy().astype(np.int64), filled)]
-                words, distinct = (pa.array((x[starts[1:]] - x[starts[:-1]]).astype(np.int64)) for x in sums)
-                yield pa.RecordBatch.from_arrays([ids, parts, points, capitals, odd, digests, words, distinct], names=["id", "part", "points", "capitals", "odd", "digest", "n_words", "n_distinct"])
-
-    wanted = found.select("shard", "width", "ids", "parts", "points", "capitals", "odd", "digests", "starts", "columns", "counts", "at", "number")
-    return wanted.mapInArrow(run, "id long, part string, points long, capitals long, odd boolean, digest binary, n_words long, n_distinct long")
+        for lists, columns in _global(batches, ["starts", "counts", "ids", "parts", "points", "capitals", "odd", "digests"]):
+            starts, counts, *same = (x.flatten() for x in lists)
+            starts, filled = starts.to_numpy(), columns >= 0
+            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (counts.to_numpy().astype(np.int64), filled)]
+            words, distinct = (pa.array((x[starts[1:]] - x[starts[:-1]]).astype(np.int64)) for x in sums)
+            yield pa.RecordBatch.from_arrays([*same, words, distinct], names=["id", "part", "points", "capitals", "odd", "digest", "n_words", "n_distinct"])
+
+    return found.mapInArrow(run, "id long, part string, points long, capitals long, odd boolean, digest binary, n_words long, n_distinct long")
 
 
 def failures(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:

@@ -33,7 +33,8 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
+        """`options` are the writer's, for this table alone."""
         path = self.path()
-        df.write.options(**self.options).parquet(path)
+        df.write.options(**self.options | options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 """MinHash near-duplicates, the filter audit and the divergence audit against plain Python versions."""
 
+import gc
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from itertools import combinations, permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,64 @@ def test_document_term_matrix_has_global_columns(spark, docs, monkeypatch, size)
     assert seen == len(texts) and all(column.values()) and len(column) == len({w for t in texts.values() for w in words(t)})
 
 
+def test_no_row_holds_a_whole_shard(spark):
+    """Texts of one task that together have many words are stored as many rows."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20_000)), "s") for i in range(8)], "doc_id long, text string, source string").coalesce(1)
+    most = filter_audit.shards(docs, "doc_id", "text", "source").select(*[F.max(F.size(c)) for c in ("counts", "words")]).first()
+    assert max(most) < 100_000
+
+
+def shard_rows(spark, monkeypatch, docs):
+    """What a task makes of `docs` (id, text), in this process."""
+
+    class Docs:
+        sparkSession = spark  # noqa: N815
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: E731, N815
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(filter_audit, "TaskContext", Task)
+    ids, texts = zip(*docs)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["s"] * len(ids)), pa.array(texts, pa.binary())], names=["id", "part", "text"])
+    return filter_audit.shards(Docs(), "doc_id", "text", "source")(iter([batch]))
+
+
+def test_words_of_a_shard_are_freed_with_it(spark, monkeypatch):
+    """Python's collector of cycles seldom runs in a worker, so the words of a shard that is done must go without it."""
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 2_000)
+    rows = shard_rows(spark, monkeypatch, [(i, b" ".join(b"v%dx%d" % (i, j) for j in range(300))) for i in range(20)])
+    gc.collect()
+    gc.disable()
+    try:
+        assert len({row.column("shard")[0].as_py() for row in rows}) == 20
+        left = [x for x in gc.get_objects() if isinstance(x, defaultdict) and any(isinstance(k, bytes) and k.startswith(b"v") for k in x)]
+        assert len(left) <= 1
+    finally:
+        gc.enable()
+
+
+def test_shards_end_after_many_words_and_blocks_after_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(filter_audit, "SHARD_WORDS", 500)
+    rows = list(shard_rows(spark, monkeypatch, [(i, b" ".join(b"%dx%d" % (i, j) for j in range(300))) for i in range(8)]))
+    assert sorted(sum(len(x) for x in pa.Table.from_batches([row])["words"].to_pylist() if x) for row in rows if row.column("words")[0].is_valid) == [600] * 4
+    rows = [row for row in shard_rows(spark, monkeypatch, [(i, b"") for i in range(10_000)]) if row.column("ids")[0].is_valid]
+    assert len(rows) > 1 and [x for row in rows for x in row.column("ids")[0].as_py()] == list(range(10_000))
+
+
+def test_numbers_sent_back_are_gathered_by_shard(monkeypatch):
+    monkeypatch.setattr(filter_audit, "HELD", 7)
+    rng, bits = random.Random(5), filter_audit.AT_BITS
+    want = {(rng.randrange(4) << bits) + at: rng.randrange(1 << 40) for at in rng.sample(range(1 << bits), 40)}
+    items = list(want.items())
+    batches = [pa.RecordBatch.from_pydict({"place": [p for p, _ in items[i : i + 3]], "number": [n for _, n in items[i : i + 3]]}) for i in range(0, len(items), 3)]
+    rows = [r for b in filter_audit._pack(iter(batches)) for r in b.to_pylist()]
+    assert {(r["shard"] << bits) + at: n for r in rows for at, n in zip(r["at"], r["number"], strict=True)} == want
+    assert len(rows) > 4 and not list(filter_audit._pack(iter([])))
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(filter_audit, "PIECE", 10)
     for text in (b"", b" ", b"a" * 50, b"word " * 20, b"a" * 25 + b" b c\td" * 9):
